@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm._common import table
+from kmerloom.llm._common import new_path, table
 from kmerloom.llm.line_dedup import line_dedup
+from kmerloom.llm.packing import pack_documents
+from kmerloom.llm.simhash import simhash_components
 from kmerloom.llm.substring_dedup import substring_dedup
+from kmerloom.llm.token_records import read_records, write_records
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,14 +18,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_path(spark, "records")
+    manifest = write_records(table(spark, sf_dir, "documents"), root)
+    return read_records(spark, root, manifest).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_hilbert_packing": op2_hilbert_packing,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op10_token_records": op10_token_records,
 }
 
 ORACLES: dict[str, str] = {
