@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm._common import new_path, table
+from kmerloom.llm.decontaminate import contamination
 from kmerloom.llm.line_dedup import line_dedup
+from kmerloom.llm.media import media_features, store_texts
 from kmerloom.llm.packing import pack_documents
 from kmerloom.llm.simhash import simhash_components
 from kmerloom.llm.substring_dedup import substring_dedup
@@ -32,6 +34,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media_features(store_texts(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_path(spark, "records")
     manifest = write_records(table(spark, sf_dir, "documents"), root)
@@ -43,6 +56,8 @@ QUERIES = {
     "op2_hilbert_packing": op2_hilbert_packing,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_media_columns": op6_media_columns,
+    "op9_decontamination": op9_decontamination,
     "op10_token_records": op10_token_records,
 }
 
@@ -74,4 +89,19 @@ ORACLES: dict[str, str] = {
                CASE WHEN l.text IS NULL THEN NULL ELSE sha256(coalesce(k.s, '')) END AS kept_sha256
         FROM lines l LEFT JOIN kept k ON l.doc_id = k.doc_id
     """,
+    "op9_decontamination": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        sized AS (SELECT item, w, least(len(w), 13) AS n FROM items WHERE len(w) > 0),
+        starts AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM sized),
+        asked AS (SELECT DISTINCT item, n, array_to_string(w[p : p + n - 1], ' ') AS s FROM starts),
+        sizes AS (SELECT DISTINCT n FROM asked),
+        places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, sizes WHERE len(w) >= n),
+        found AS (SELECT r, p, places.n, item FROM (SELECT r, n, p, array_to_string(w[p : p + n - 1], ' ') AS s FROM places) places JOIN asked ON places.s = asked.s AND places.n = asked.n),
+        hit AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS i FROM found) GROUP BY r),
+        named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM found GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+    """,
 }
