@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm._common import new_path, table
+from kmerloom.llm.chat import rotate_perspectives
 from kmerloom.llm.decontaminate import contamination
 from kmerloom.llm.line_dedup import line_dedup
 from kmerloom.llm.media import media_features, store_texts
 from kmerloom.llm.packing import pack_documents
+from kmerloom.llm.quality import fit_quality, held_out, score_quality
 from kmerloom.llm.simhash import simhash_components
 from kmerloom.llm.substring_dedup import substring_dedup
 from kmerloom.llm.token_records import read_records, write_records
@@ -25,6 +27,12 @@ def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.withColumn("spans", spans)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -54,9 +68,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_hilbert_packing": op2_hilbert_packing,
+    "op3_perspectives": op3_perspectives,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_media_columns": op6_media_columns,
+    "op7_quality": op7_quality,
     "op9_decontamination": op9_decontamination,
     "op10_token_records": op10_token_records,
 }
@@ -75,6 +91,20 @@ ORACLES: dict[str, str] = {
         SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
         FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
     """,
+    "op3_perspectives": r"""
+        WITH base AS (SELECT DISTINCT conv_id, coalesce(turn // 64, -1) AS block, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+                      FROM conversations WHERE conv_id IS NOT NULL),
+        views AS (SELECT DISTINCT conv_id, role AS perspective FROM base),
+        parts AS (SELECT conv_id, perspective, block, turn, role, text, role = perspective AS own,
+                         '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
+                         text || '<|im_end|>' || chr(10) AS body
+                  FROM base JOIN views USING (conv_id)),
+        placed AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, role, text) AS stop FROM parts)
+        SELECT conv_id, perspective, block::BIGINT AS block, count(*)::BIGINT AS n_turns,
+               string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS dialogue,
+               coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS spans
+        FROM placed GROUP BY ALL
+    """,
     "op5_line_dedup": r"""
         WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS w FROM documents),
         starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM lines WHERE len(w) >= 3),
