@@ -14,6 +14,7 @@ from kmerloom.llm.packing import pack_documents
 from kmerloom.llm.quality import fit_quality, held_out, score_quality
 from kmerloom.llm.simhash import simhash_components
 from kmerloom.llm.substring_dedup import substring_dedup
+from kmerloom.llm.suffix_dedup import suffix_dedup
 from kmerloom.llm.token_records import read_records, write_records
 
 
@@ -53,6 +54,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -73,6 +79,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_media_columns": op6_media_columns,
     "op7_quality": op7_quality,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_records": op10_token_records,
 }
