@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
-import numpy as np
+#: Words the cache of one Python worker may hold (later ones are encoded each time), and the longest word it keeps.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
 
-#: Words the cache of one Python worker may hold, and the longest word it keeps.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+#: Byte-level alphabet: a byte that does not print stands for the next free character from 256 on.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+#: Latin-1 lower case, and for each byte: a letter or digit, a blank, a stop or comma, or something else.
+_LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+_KIND = bytes(ord("a" if c.isalpha() or c in "0123456789" else " " if c == " " else "." if c in ".," else "!") for c in map(chr, range(256)))
 
 
 def default_path() -> str:
@@ -17,10 +23,11 @@ def default_path() -> str:
 
 
 class Encoder(dict):
-    """Token ids (little-endian uint32 bytes) by stretch between blanks.
+    """Token ids (uint32 bytes) by stretch between blanks, for tokenizers that lower-case and drop white space.
 
-    The tokenizer drops white space and never joins characters across it, so ids of a text are the ids of its stretches,
-    one after the other. Stretches repeat, and each is then encoded once.
+    Such a tokenizer never joins characters across white space, so ids of a text are the ids of its stretches, one after
+    the other. Stretches repeat, and each is then encoded once. In texts of Latin-1 letters, where lower case is the same
+    for everyone, case and a single closing stop or comma are split off first, so that fewer stretches differ.
     """
 
     def __init__(self, path: str):
@@ -28,18 +35,36 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
+    def __missing__(self, word: str | bytes) -> bytes:
+        text = word.decode("latin-1") if isinstance(word, bytes) else word
+        if text.isalpha() and text.islower() and max(text) <= "ÿ":  # one run of letters: the model's own input
+            inner = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES)
+            found = [t.id for t in self.model.tokenize(inner)]
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = array("I", found).tobytes()
+        if len(word) <= CACHE_CHARS and len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if "<|" not in text:  # else it may hold a special token, whose case counts
+            try:
+                low = text.encode("latin-1").translate(_LOWER)
+            except UnicodeEncodeError:
+                pass
+            else:
+                low = low.replace(b"\n", b" ") + b" "
+                kind = low.translate(_KIND)
+                if b"!. " not in kind and b".. " not in kind:  # else the stop may belong to a longer run
+                    low = low.replace(b". ", b" . ").replace(b", ", b" , ")
+                return b"".join(map(self.__getitem__, low.split(b" ")))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=4)
