@@ -15,18 +15,18 @@ from kmerloom.sources.lines import read_lines
 
 
 def _field(i: int) -> Column:
-    return F.split(F.col("value"), "\t").getItem(i)
+    return F.get(F.split(F.col("value"), "\t"), i)
 
 
 def segments(lines: DataFrame) -> DataFrame:
     """(line_no, name, seq) of the S lines; names are integers."""
-    return lines.where("value LIKE 'S\t%'").select("line_no", _field(1).cast("long").alias("name"), F.coalesce(_field(2), F.lit("")).alias("seq"))
+    return lines.where("value LIKE 'S\t%'").select("line_no", _field(1).try_cast("long").alias("name"), F.coalesce(_field(2), F.lit("")).alias("seq"))
 
 
 def links(lines: DataFrame) -> DataFrame:
     """(line_no, a, b, forward) of the L lines; forward: both ends in forward orientation."""
     own = lines.where("value LIKE 'L\t%'")
-    return own.select("line_no", _field(1).cast("long").alias("a"), _field(3).cast("long").alias("b"), ((_field(2) == "+") & (_field(4) == "+")).alias("forward"))
+    return own.select("line_no", _field(1).try_cast("long").alias("a"), _field(3).try_cast("long").alias("b"), ((_field(2) == "+") & (_field(4) == "+")).alias("forward"))
 
 
 def path_nodes(lines: DataFrame) -> DataFrame:

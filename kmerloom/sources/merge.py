@@ -39,10 +39,10 @@ def cut_ranges(contigs: DataFrame, ranges: DataFrame, key: list[str], piece: int
     """ranges (chrom, key, start, size) with seq, taken from contigs (chrom, seq) piece by piece over a join."""
     raw = contigs.select("chrom", F.col("seq").cast("binary").alias("seq"), F.length("seq").alias("n"))
     pieces = raw.withColumn("piece", F.explode(F.expr(f"CASE WHEN n > 0 THEN sequence(0, (n - 1) div {piece}) END")))
-    pieces = pieces.select("chrom", "piece", F.substr("seq", (F.col("piece") * piece + 1).cast("int"), F.lit(piece)).alias("part"))
+    pieces = pieces.select("chrom", "piece", F.substr("seq", (F.col("piece") * piece + 1).cast("int"), F.lit(piece)).alias("_text"))
     wanted = ranges.withColumn("piece", F.explode(F.expr(f"CASE WHEN size > 0 THEN sequence(start div {piece}, (start + size - 1) div {piece}) END")))
     found = wanted.join(pieces, ["chrom", "piece"]).withColumn("low", F.greatest(F.col("start") - F.col("piece") * piece, F.lit(0)))
-    own = F.substr("part", (F.col("low") + 1).cast("int"), (F.least(F.col("start") + F.col("size") - F.col("piece") * piece, F.lit(piece)) - F.col("low")).cast("int")).cast("string")
+    own = F.substr("_text", (F.col("low") + 1).cast("int"), (F.least(F.col("start") + F.col("size") - F.col("piece") * piece, F.lit(piece)) - F.col("low")).cast("int")).cast("string")
     joined = found.withColumn("s", own).groupBy("chrom", *key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "s"))), lambda x: x["s"]), "").alias("seq"))
     return ranges.join(joined, ["chrom", *key], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 

@@ -23,11 +23,14 @@ def is_structural(allele: Column) -> Column:
 
 
 def records(lines: DataFrame, chromosome: int = ALL) -> DataFrame:
-    """(row_id, chrom, pos, ref, alt) of the variant lines as written, of one chromosome or all; pos counts from 1."""
-    own = F.split("value", "\t")
+    """(row_id, chrom, pos, ref, alt) of the variant lines as written, of one chromosome or all; pos counts from 1.
+
+    Lines with fewer than five columns, or whose position is no integer, are left out.
+    """
+    own = [F.get(F.split("value", "\t"), i) for i in range(5)]
     rows = lines.where("value NOT LIKE '#%' AND value <> ''").select(
-        F.col("line_no").alias("row_id"), chromosome_number(own[0]).alias("chrom"), own[1].cast("long").alias("pos"), own[3].alias("ref"), own[4].alias("alt")
-    )
+        F.col("line_no").alias("row_id"), chromosome_number(own[0]).alias("chrom"), own[1].try_cast("long").alias("pos"), own[3].alias("ref"), own[4].alias("alt")
+    ).where("pos IS NOT NULL AND alt IS NOT NULL")
     return rows if chromosome == ALL else rows.where(F.col("chrom") == chromosome)
 
 
