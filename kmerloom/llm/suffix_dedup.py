@@ -253,7 +253,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     shared = base.groupBy("_blk").applyInArrow(keepers, ASKED).groupBy("bucket").applyInArrow(answer_shared, ANSWER)
     told = base.groupBy("_blk").cogroup(shared.groupBy("_blk")).applyInArrow(stretches, ASKED).groupBy("bucket").applyInArrow(answer_stretches, ANSWER)
-    told = C.materialize(told, "stretches")
     equal = base.groupBy("_blk").cogroup(told.groupBy("_blk")).applyInArrow(ranks, ASKED).groupBy("bucket").applyInArrow(answer_shared, ANSWER)
     both = told.select("_blk", F.lit(2).alias("step"), *_COLUMNS).unionByName(equal.select("_blk", F.lit(3).alias("step"), *_COLUMNS))
     return base.groupBy("_blk").cogroup(both.groupBy("_blk")).applyInArrow(close, schema)
