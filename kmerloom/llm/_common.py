@@ -93,6 +93,13 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         a = min(b, n)
 
 
+def small_batches(batches, rows: int = 1000):
+    """The batches in slices of at most so many rows, so that what a task makes of them stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def packed(arrays, kind) -> pa.Array:
     return pa.array([np.ascontiguousarray(a).tobytes() for a in arrays], kind)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from array import array
 from functools import lru_cache
 
-#: Words the cache of one Python worker may hold (later ones are encoded each time), and the longest word it keeps.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+#: Words the cache of one Python worker may hold (later ones are encoded each time), and the longest word it keeps. A word
+#: enters when it comes a second time, judged by one of so many marks.
+CACHE_WORDS, CACHE_CHARS, CACHE_MARKS = 300_000, 64, 1 << 22
 
 #: Byte-level alphabet: a byte that does not print stands for the next free character from 256 on.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -36,6 +37,7 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.seen = bytearray(CACHE_MARKS)
         self.small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
 
     def __missing__(self, word: str | bytes) -> bytes:
@@ -46,7 +48,10 @@ class Encoder(dict):
         else:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
         ids = array("I", found).tobytes()
-        if len(word) <= CACHE_CHARS and len(self) < CACHE_WORDS:
+        mark = hash(word) % CACHE_MARKS
+        if not self.seen[mark]:
+            self.seen[mark] = 1
+        elif len(word) <= CACHE_CHARS and len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
 

@@ -75,7 +75,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID,
         own = _tokens.encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         wide = not own.small or end_id >= 1 << 16
-        for batch in batches:
+        for batch in C.small_batches(batches):
             n = batch.num_rows
             ids, vectors = [], np.zeros((n, BUCKETS))
             for i, text in enumerate(batch.column(1)):
@@ -90,7 +90,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID,
 
     def cut(batches):
         base, total = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
+        for batch in C.small_batches(batches):
             out = [[] for _ in names]
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.frombuffer(ids.as_buffer(), width)
