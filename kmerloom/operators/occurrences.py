@@ -8,15 +8,17 @@ tested in the join, so nothing grows that cannot end in a k-mer.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
-from kmerloom.plans.lineage import cut
+from kmerloom.plans.lineage import cut, held
 from kmerloom.plans.model import SequenceGraph
 
 #: Bases that one row of a long node spans before its k-mers are taken apart.
-CHUNK = 256
+CHUNK = 1 << 15
 #: Steps after which a path must have ended: k - 1 bases and a run of empty nodes between any two.
 MAX_STEPS = 10_000
 
@@ -33,17 +35,55 @@ def chunks(sequences: DataFrame, k: int, seq: str = "seq", chunk: int = CHUNK) -
     return cutout.withColumn("piece", F.substr(raw, F.col("piece_start") + 1, F.lit(chunk + k - 1)).cast("string")).drop(seq)
 
 
+def rolled(codes: np.ndarray, k: int, reverse: bool = False) -> np.ndarray:
+    """The hash of every k codes in a row, by doubling: the hash of 2n codes from those of n at two places."""
+    out, done = np.zeros(len(codes) - k + 1, np.int64), 0
+    step, size = codes.astype(np.int64), 1
+    while True:
+        if k & size:
+            part = step[done : done + len(out)]
+            out = out | part << 2 * done if reverse else out << 2 * size | part
+            done += size
+        if done == k:
+            return out
+        step = step[:-size] | step[size:] << 2 * size if reverse else step[:-size] << 2 * size | step[size:]
+        size *= 2
+
+
 def linear_kmers(sequences: DataFrame, k: int, seq: str = "seq", encoding: str = K.DEFAULT_ENCODING, reverse: bool = False) -> DataFrame:
     """One row for each k bases in a row of each sequence: the other columns, position and kmer (hash).
 
-    Sequences of other characters than A, C, G, T, N give null hashes; null and short ones give no row.
+    K-mers over other characters than A, C, G, T, N have null hashes; null and short sequences give no row. Pieces are
+    hashed as arrays, all k-mers of an Arrow batch at once.
     """
     K.check_k(k)
-    pieces = chunks(sequences, k, seq).withColumn("piece", K.digits(F.col("piece"), encoding))
-    at = pieces.withColumn("at", F.explode(F.expr(f"sequence(0, length(piece) - {k})")))
-    own = F.substr("piece", F.col("at") + 1, F.lit(k))
-    own = F.when(own.rlike("^[0-3]+$"), own)
-    return at.withColumns({"position": (F.col("piece_start") + F.col("at")).cast("long"), "kmer": K.hash_digits(F.reverse(own) if reverse else own)}).drop("piece", "piece_start", "at")
+    table = np.full(256, 4, np.uint8)
+    for i, base in enumerate(K.check_encoding(encoding)):
+        table[[ord(base), ord(base.lower())]] = i
+    table[[ord("N"), ord("n")]] = 0
+    pieces = chunks(sequences, k, seq)
+    others = [c for c in pieces.columns if c not in ("piece", "piece_start")]
+    pieces = pieces.select(*others, "piece_start", "piece")
+    out = pieces.select(*others, F.lit(0).cast("long").alias("position"), F.lit(None).cast("long").alias("kmer"))
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                texts = [x.as_buffer() for x in part.column(len(others) + 1).cast(pa.binary())]
+                sizes = np.array([len(t) for t in texts], np.int64)
+                codes = table[np.frombuffer(b"".join(texts), np.uint8)]
+                ends = np.cumsum(sizes)
+                live = np.repeat(ends, sizes) - np.arange(len(codes)) >= k  # starts whose k bases lie in one piece
+                at = np.flatnonzero(live)
+                bad = np.concatenate([[0], np.cumsum(codes > 3)])
+                kmers = rolled(codes & 3, k, reverse)[at]
+                row = np.repeat(np.arange(len(texts)), sizes)[at]
+                starts = np.asarray(part.column(len(others)), dtype=np.int64) - (ends - sizes)
+                kept = part.select(range(len(others))).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at + starts[row]), pa.array(kmers, mask=bad[at + k] > bad[at])], [*others, "position", "kmer"])
+
+    return pieces.mapInArrow(run, out.schema)
 
 
 def _steps(graph: SequenceGraph, k: int) -> DataFrame:
@@ -73,7 +113,6 @@ def occurrences(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, star
     ]
     if k == 1:
         return found[0]
-    steps = cut(_steps(graph, k))
     front = nodes.select(
         F.col("node_id").alias("start_node"),
         F.col("length").alias("len0"),
@@ -86,32 +125,33 @@ def occurrences(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, star
         F.expr("int(NOT is_ref)").alias("n_var"),
         F.lit(0).alias("ext"),
     )
-    for _ in range(max_steps):
-        grown = front.join(steps, (front.last == steps.src) & (front.n_var + steps.v <= max_variant_nodes)).select(
-            "start_node",
-            "len0",
-            F.expr(f"concat(text, left(prefix, least(ext + more, {k - 1}) - ext))").alias("text"),
-            "suffix",
-            F.col("dst").alias("last"),
-            F.array_append("path", F.col("dst")).alias("path"),
-            F.array_append("offsets", F.col("len0") + F.col("ext")).alias("offsets"),
-            F.array_append("ords", F.col("out_ord")).alias("ords"),
-            (F.col("n_var") + F.col("v")).alias("n_var"),
-            F.expr(f"least(ext + more, {k - 1})").alias("ext"),
-            F.expr(f"greatest(ext, {k - 1} - suffix)").alias("low"),
-            F.expr("more > 0").alias("bases"),
-        )
-        grown = cut(grown)
-        if grown.isEmpty():
-            break
-        ends = grown.where("bases AND ext > low").withColumn("e", F.explode(F.sequence(F.col("low") + 1, "ext")))
-        own = K.digits(F.expr(f"substr(text, suffix - {k} + e + 1, {k})"), graph.encoding)
-        found.append(
-            ends.select("start_node", F.expr(f"len0 - {k} + e").alias("p"), "path", "offsets", "ords", K.hash_digits(F.reverse(own) if reverse else own).alias("kmer"))
-        )
-        front = grown.where(f"ext < {k - 1}").drop("low", "bases")
-    else:
-        raise RuntimeError(f"paths still grow after {max_steps} steps; is there a cycle of empty nodes?")
+    with held(_steps(graph, k), "src") as steps:
+        for _ in range(max_steps):
+            grown = front.join(steps, (front.last == steps.src) & (front.n_var + steps.v <= max_variant_nodes)).select(
+                "start_node",
+                "len0",
+                F.expr(f"concat(text, left(prefix, least(ext + more, {k - 1}) - ext))").alias("text"),
+                "suffix",
+                F.col("dst").alias("last"),
+                F.array_append("path", F.col("dst")).alias("path"),
+                F.array_append("offsets", F.col("len0") + F.col("ext")).alias("offsets"),
+                F.array_append("ords", F.col("out_ord")).alias("ords"),
+                (F.col("n_var") + F.col("v")).alias("n_var"),
+                F.expr(f"least(ext + more, {k - 1})").alias("ext"),
+                F.expr(f"greatest(ext, {k - 1} - suffix)").alias("low"),
+                F.expr("more > 0").alias("bases"),
+            )
+            grown = cut(grown)
+            if grown.isEmpty():
+                break
+            ends = grown.where("bases AND ext > low").withColumn("e", F.explode(F.sequence(F.col("low") + 1, "ext")))
+            own = K.digits(F.expr(f"substr(text, suffix - {k} + e + 1, {k})"), graph.encoding)
+            found.append(
+                ends.select("start_node", F.expr(f"len0 - {k} + e").alias("p"), "path", "offsets", "ords", K.hash_digits(F.reverse(own) if reverse else own).alias("kmer"))
+            )
+            front = grown.where(f"ext < {k - 1}").drop("low", "bases")
+        else:
+            raise RuntimeError(f"paths still grow after {max_steps} steps; is there a cycle of empty nodes?")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -141,19 +181,20 @@ def behind(graph: SequenceGraph, centres: DataFrame, k: int, max_variant_nodes:
     centres: centre. Only the least number of bases to each node is kept, so the reach grows with nodes, not with paths.
     """
     size = graph.nodes.select(F.col("node_id").alias("new"), "length")
-    back = cut(graph.edges.select(F.col("src").alias("new"), F.col("dst").alias("node_id")).distinct().join(size, "new"))
+    back_edges = graph.edges.select(F.col("src").alias("new"), F.col("dst").alias("node_id")).distinct().join(size, "new")
     # used: the least number of bases from a node's first one to the centre; 0 for the centre itself
     best = front = cut(centres.select("centre", F.col("centre").alias("node_id"), F.lit(0).alias("used")).distinct())
     if k == 1:
         return best.select("centre", "node_id")
-    for _ in range(max_steps):
-        step = front.where(f"used <= {k - 2}").join(back, "node_id").groupBy("centre", "new").agg(F.min(F.col("used") + F.col("length")).alias("used"))
-        known = best.select("centre", F.col("node_id").alias("new"), F.col("used").alias("had"))
-        step = step.join(known, ["centre", "new"], "left").where("had IS NULL OR used < had")
-        front = cut(step.select("centre", F.col("new").alias("node_id"), "used"))
-        if front.isEmpty():
-            return best.select("centre", "node_id")
-        best = cut(best.unionByName(front).groupBy("centre", "node_id").agg(F.min("used").alias("used")))
+    with held(back_edges, "node_id") as back:
+        for _ in range(max_steps):
+            step = front.where(f"used <= {k - 2}").join(back, "node_id").groupBy("centre", "new").agg(F.min(F.col("used") + F.col("length")).alias("used"))
+            known = best.select("centre", F.col("node_id").alias("new"), F.col("used").alias("had"))
+            step = step.join(known, ["centre", "new"], "left").where("had IS NULL OR used < had")
+            front = cut(step.select("centre", F.col("new").alias("node_id"), "used"))
+            if front.isEmpty():
+                return best.select("centre", "node_id")
+            best = cut(best.unionByName(front).groupBy("centre", "node_id").agg(F.min("used").alias("used")))
     raise RuntimeError(f"the search backwards still grows after {max_steps} steps")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +19,17 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def held(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """df dealt by its join key and kept on the executors, for a table that every round of a loop joins.
+
+    The rounds then shuffle only what they add; a lost executor's part is dealt anew from df, whose lineage is short.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = df.repartition(n, *keys).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
