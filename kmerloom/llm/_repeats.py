@@ -3,7 +3,8 @@
 Documents are dealt once into blocks by a hash of their id; that one exchange of texts feeds every pass. A block sends
 each distinct window hash once, however often it stands in the block, so a passage that a third of all documents share
 costs one entry a block. Buckets of hashes answer each block with those of its hashes whose first occurrence lies in
-another block; what repeats inside a block is settled there. Windows are compared by 128 bits of hash.
+another block; what repeats inside a block is settled there. Windows are compared by 128 bits of hash; answers name them
+by 96, enough within a block. Ids travel by byte place, so that their common high bytes compress away.
 """
 
 from __future__ import annotations
@@ -70,6 +71,15 @@ def _concat(column, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T
+
+
+def _from_planes(column) -> np.ndarray:
+    parts = [p.reshape(8, -1).T.copy().view(np.int64).ravel() for p in C.unpacked(column, np.uint8)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _owners(table: pa.Table) -> np.ndarray:
     sizes = np.array([len(x) // 8 for x in table["h1"].to_pylist()], np.int64)
     return np.repeat(np.asarray(table["blk"], dtype=np.int64), sizes)
@@ -84,6 +94,10 @@ def _by_block(owner, h1, h2) -> pa.Table:
     return pa.table({"_blk": pa.array(blocks, pa.int64()), "h1": C.packed([h1[a:b] for a, b in cut], pa.binary()), "h2": C.packed([h2[a:b] for a, b in cut], pa.binary())})
 
 
+def _short(h2: np.ndarray) -> np.ndarray:
+    return (h2 >> np.uint64(32)).astype(np.uint32)
+
+
 def answer_repeated(table: pa.Table) -> pa.Table:
     """To each block, its hashes that another block has too."""
     h1, owner = _concat(table["h1"], np.uint64), _owners(table)
@@ -93,17 +107,17 @@ def answer_repeated(table: pa.Table) -> pa.Table:
     many[1:] |= same
     many[:-1] |= same
     found = order[many]
-    return _by_block(owner[found], h1[found], np.zeros(len(found), np.uint64))
+    return _by_block(owner[found], h1[found], np.zeros(len(found), np.uint32))
 
 
 def answer_later(table: pa.Table) -> pa.Table:
     """To each block, its windows that start earlier in another block."""
-    h1, h2, doc, owner = _concat(table["h1"], np.uint64), _concat(table["h2"], np.uint64), _concat(table["doc"], np.int64), _owners(table)
+    h1, h2, doc, owner = _concat(table["h1"], np.uint64), _concat(table["h2"], np.uint64), _from_planes(table["doc"]), _owners(table)
     order = np.lexsort((doc, h2, h1))
     h1, h2, owner = h1[order], h2[order], owner[order]
     later = np.zeros(len(h1), bool)
     later[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-    return _by_block(owner[later], h1[later], h2[later])
+    return _by_block(owner[later], h1[later], _short(h2[later]))
 
 
 ASKED = "bucket int, blk long, h1 binary, h2 binary, doc binary"
@@ -114,7 +128,8 @@ def _ask(block: int, buckets: int, h1, h2, doc) -> pa.Table:
     cut = slices(h1, buckets)
     return pa.table(
         {"bucket": pa.array([b for b, _, _ in cut], pa.int32()), "blk": pa.array([block] * len(cut), pa.int64())}
-        | {n: C.packed([x[a:b] for _, a, b in cut], pa.binary()) for n, x in (("h1", h1), ("h2", h2), ("doc", doc))}
+        | {n: C.packed([x[a:b] for _, a, b in cut], pa.binary()) for n, x in (("h1", h1), ("h2", h2))}
+        | {"doc": C.packed([_planes(doc[a:b]) for _, a, b in cut], pa.binary())}
     )
 
 
@@ -129,7 +144,7 @@ def ask_windows(key, block: Block, starts: np.ndarray, length: int, buckets: int
 
 
 def answered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return _concat(table["h1"], np.uint64), _concat(table["h2"], np.uint64)
+    return _concat(table["h1"], np.uint64), _concat(table["h2"], np.uint32)
 
 
 def remove_later(docs: DataFrame, split, length: int, finish, schema: str, id_col: str, text_col: str, cover=None) -> DataFrame:
@@ -188,7 +203,7 @@ def remove_later(docs: DataFrame, split, length: int, finish, schema: str, id_co
         block = load(table)
         starts = block.starts(length)
         h1, h2 = block.hashes(starts, length)
-        later = C.later_local(h1, h2) | C.lookup(h1, h2, *answered(elsewhere))
+        later = C.later_local(h1, h2) | C.lookup(h1, _short(h2), *answered(elsewhere))
         return finish(block.table.drop_columns(["_blk"]), block.first, C.covered(len(block.units[0]), starts[later], length))
 
     if cover:
