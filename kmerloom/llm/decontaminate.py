@@ -120,10 +120,13 @@ def find_windows(table: pa.Table, windows: list[np.ndarray], slop: int):
     lists = C.unpacked(named["postings"], "<u4")
     order = np.argsort(terms)
     terms, sizes = terms[order], np.array([len(lists[i]) for i in order], np.int64)
-    for w, own in enumerate(windows):
-        at = np.minimum(np.searchsorted(terms, own), len(terms) - 1) if len(terms) else own
-        if not len(terms) or (terms[at] != own).any():
-            continue
+    if not len(terms) or not len(windows):
+        return
+    asked, heads = np.concatenate(windows), np.cumsum([0, *(len(x) for x in windows)])
+    place = np.minimum(np.searchsorted(terms, asked), len(terms) - 1)
+    whole = np.logical_and.reduceat(terms[place] == asked, heads[:-1])  # windows whose every term the segment has
+    for w in np.flatnonzero(whole).tolist():
+        at = place[heads[w] : heads[w + 1]]
         rarest, starts = np.argsort(sizes[at], kind="stable"), None
         for offset in rarest.tolist():
             have = lists[order[at[offset]]].astype(np.int64) - offset
