@@ -52,9 +52,11 @@ class KmerFinder:
                 raise ValueError("as many variant as reference nodes are needed")
             rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(reference_nodes, variant_nodes, strict=True))]
             pairs = self.graph.spark.createDataFrame(rows, "pair_id long, ref_node long, var_node long")
-        if self._frequencies is None:
-            self.create_frequency_index(max_variant_nodes)
-        return signatures.find_variant_signatures(self.graph, self.k, pairs, self._frequencies, max_variant_nodes, minimize_overlaps, align_windows, self.reverse_kmers)
+        found = None
+        if self._frequencies is None:  # one walk over the graph for the index and the windows
+            found = occurrences.occurrences(self.graph, self.k, max_variant_nodes)
+            self._frequencies = frequency.kmer_counts(found)
+        return signatures.find_variant_signatures(self.graph, self.k, pairs, self._frequencies, max_variant_nodes, minimize_overlaps, align_windows, self.reverse_kmers, found)
 
 
 def get_variant_signatures(graph: SequenceGraph, pairs: DataFrame, frequencies: DataFrame | Mapping[int, int], k: int = MAX_K) -> DataFrame:

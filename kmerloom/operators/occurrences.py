@@ -125,30 +125,31 @@ def occurrences(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, star
         F.expr("int(NOT is_ref)").alias("n_var"),
         F.lit(0).alias("ext"),
     )
+    near = F.expr(f"least(ext + more, {k - 1})")
+    grow = [
+        F.col("start_node"),
+        F.col("len0"),
+        F.expr(f"concat(text, left(prefix, least(ext + more, {k - 1}) - ext))").alias("text"),
+        F.col("suffix"),
+        F.col("dst").alias("last"),
+        F.array_append("path", F.col("dst")).alias("path"),
+        F.array_append("offsets", F.col("len0") + F.col("ext")).alias("offsets"),
+        F.array_append("ords", F.col("out_ord")).alias("ords"),
+        (F.col("n_var") + F.col("v")).alias("n_var"),
+        near.alias("ext"),
+        F.expr(f"greatest(ext, {k - 1} - suffix)").alias("low"),
+        F.expr("more > 0").alias("bases"),
+    ]
+    fits = F.expr(f"last = src AND n_var + v <= {max_variant_nodes}")
+    end = F.explode(F.expr("sequence(low + 1, ext)"))
+    own = K.digits(F.expr(f"substr(text, suffix - {k} + e + 1, {k})"), graph.encoding)
+    ended = [F.col("start_node"), F.expr(f"len0 - {k} + e").alias("p"), F.col("path"), F.col("offsets"), F.col("ords"), K.hash_digits(F.reverse(own) if reverse else own).alias("kmer")]
     with held(_steps(graph, k), "src") as steps:
         for _ in range(max_steps):
-            grown = front.join(steps, (front.last == steps.src) & (front.n_var + steps.v <= max_variant_nodes)).select(
-                "start_node",
-                "len0",
-                F.expr(f"concat(text, left(prefix, least(ext + more, {k - 1}) - ext))").alias("text"),
-                "suffix",
-                F.col("dst").alias("last"),
-                F.array_append("path", F.col("dst")).alias("path"),
-                F.array_append("offsets", F.col("len0") + F.col("ext")).alias("offsets"),
-                F.array_append("ords", F.col("out_ord")).alias("ords"),
-                (F.col("n_var") + F.col("v")).alias("n_var"),
-                F.expr(f"least(ext + more, {k - 1})").alias("ext"),
-                F.expr(f"greatest(ext, {k - 1} - suffix)").alias("low"),
-                F.expr("more > 0").alias("bases"),
-            )
-            grown = cut(grown)
+            grown = cut(front.join(steps, fits).select(grow))
             if grown.isEmpty():
                 break
-            ends = grown.where("bases AND ext > low").withColumn("e", F.explode(F.sequence(F.col("low") + 1, "ext")))
-            own = K.digits(F.expr(f"substr(text, suffix - {k} + e + 1, {k})"), graph.encoding)
-            found.append(
-                ends.select("start_node", F.expr(f"len0 - {k} + e").alias("p"), "path", "offsets", "ords", K.hash_digits(F.reverse(own) if reverse else own).alias("kmer"))
-            )
+            found.append(grown.where("bases AND ext > low").withColumn("e", end).select(ended))
             front = grown.where(f"ext < {k - 1}").drop("low", "bases")
         else:
             raise RuntimeError(f"paths still grow after {max_steps} steps; is there a cycle of empty nodes?")
@@ -175,7 +176,7 @@ def find(graph: SequenceGraph, k: int, include_spanning_nodes: bool = False, max
     return found.select("kmer", F.col("start_node").alias("node_id"), F.col("p").alias("start_position"), F.lit(0).alias("kmer_position"))
 
 
-def behind(graph: SequenceGraph, centres: DataFrame, k: int, max_variant_nodes: int = 255, max_steps: int = MAX_STEPS) -> DataFrame:
+def behind(graph: SequenceGraph, centres: DataFrame, k: int, max_steps: int = MAX_STEPS) -> DataFrame:
     """(centre, node_id): nodes from which some path reaches the centre with at most k - 2 bases of other nodes between.
 
     centres: centre. Only the least number of bases to each node is kept, so the reach grows with nodes, not with paths.
@@ -198,10 +199,13 @@ def behind(graph: SequenceGraph, centres: DataFrame, k: int, max_variant_nodes:
     raise RuntimeError(f"the search backwards still grows after {max_steps} steps")
 
 
-def occurrences_over(graph: SequenceGraph, k: int, centres: DataFrame, max_variant_nodes: int = 255, reverse: bool = False) -> DataFrame:
-    """Rows of spread() at each centre: all occurrences whose path holds it, each once; with a centre column."""
-    reach = behind(graph, centres, k, max_variant_nodes)
-    found = occurrences(graph, k, max_variant_nodes, reach.select("node_id"), reverse)
+def occurrences_over(graph: SequenceGraph, k: int, centres: DataFrame, max_variant_nodes: int = 255, reverse: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """Rows of spread() at each centre: all occurrences whose path holds it, each once; with a centre column.
+
+    Paths start only where one can reach a centre. found: the occurrences of the whole graph, where they are at hand.
+    """
+    if found is None:
+        found = occurrences(graph, k, max_variant_nodes, behind(graph, centres, k).select("node_id"), reverse)
     return spread(found).join(centres.select(F.col("centre").alias("node_id")).distinct(), "node_id", "left_semi").withColumn("centre", F.col("node_id"))
 
 
@@ -210,7 +214,7 @@ def find_spanning_node(graph: SequenceGraph, k: int, node_id: int, max_variant_n
     centre = graph.spark.createDataFrame([(node_id,)], "centre long")
     if not include_spanning_nodes:
         return occurrences_over(graph, k, centre, max_variant_nodes, reverse).select("kmer")
-    reach = behind(graph, centre, k, max_variant_nodes)
+    reach = behind(graph, centre, k)
     found = occurrences(graph, k, max_variant_nodes, reach.select("node_id"), reverse)
     return spread(found.where(F.array_contains("path", F.lit(node_id).cast("long")))).select("kmer", "node_id", "start_position", "kmer_position")
 

@@ -39,14 +39,15 @@ def back_keys(graph: SequenceGraph, k: int, starts: DataFrame, max_steps: int =
     raise RuntimeError(f"the search backwards still grows after {max_steps} steps")
 
 
-def kmer_windows(graph: SequenceGraph, k: int, pairs: DataFrame, frequencies: DataFrame, max_variant_nodes: int = 255) -> DataFrame:
+def kmer_windows(graph: SequenceGraph, k: int, pairs: DataFrame, frequencies: DataFrame, max_variant_nodes: int = 255, found: DataFrame | None = None) -> DataFrame:
     """(pair_id, side, node_id, window, start_position, kmer_position, kmers, max_frequency) of both nodes of each pair.
 
     k-mers over a node that lie alike on it form a window. kmers keeps repeats, in order of discovery; window counts the
-    windows of a side from 0 in the order of their first k-mer; max_frequency is the greatest of its k-mers.
+    windows of a side from 0 in the order of their first k-mer; max_frequency is the greatest of its k-mers. found: the graph's
+    occurrences under the same k and limit, where they are at hand.
     """
     wanted = sides(pairs)
-    rows = cut(occurrences_over(graph, k, wanted.select("centre"), max_variant_nodes))
+    rows = cut(occurrences_over(graph, k, wanted.select("centre"), max_variant_nodes, found=found))
     keyed = rows.join(back_keys(graph, k, rows.select("centre", "start_node")), ["centre", "start_node"])
     keyed = with_frequency(keyed, frequencies)
     own = F.struct("back_key", "ords", "p", "kmer", "frequency")
@@ -138,15 +139,17 @@ def find_variant_signatures(
     minimize_overlaps: bool = False,
     align_windows: bool = False,
     reverse: bool = False,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """(pair_id, reference_kmers, variant_kmers, max_frequency, hypotenuse_frequency), one row for each pair.
 
     pairs: pair_id, ref_node, var_node. frequencies: see frequency_table(). A pair without windows, or without an aligned
     pair of them, keeps its row with empty arrays and null scores. reverse: the k-mers found are hashed in reverse order.
+    found: see kmer_windows().
     """
-    windows = cut(kmer_windows(graph, k, pairs, frequencies, max_variant_nodes))
-    found = aligned_signatures(window_pairs(graph, k, windows), minimize_overlaps) if align_windows else unaligned_signatures(windows, minimize_overlaps)
-    out = pairs.select("pair_id").join(found, "pair_id", "left")
+    windows = cut(kmer_windows(graph, k, pairs, frequencies, max_variant_nodes, found))
+    best = aligned_signatures(window_pairs(graph, k, windows), minimize_overlaps) if align_windows else unaligned_signatures(windows, minimize_overlaps)
+    out = pairs.select("pair_id").join(best, "pair_id", "left")
     for side in ("reference_kmers", "variant_kmers"):
         own = F.coalesce(F.col(side), F.expr("cast(array() as array<bigint>)"))
         out = out.withColumn(side, F.transform(own, lambda x: K.reverse_hash(x, k)) if reverse else own)

@@ -75,7 +75,8 @@ def variant_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _windows(spark: SparkSession, sf_dir: str):
     own = D.bubble_graph(spark, sf_dir)
-    return own, signatures.kmer_windows(own, K_PAIRS, D.variant_pairs(spark, sf_dir), cut(frequency.frequency_index(own, K_PAIRS, BUDGET)), BUDGET)
+    found = occurrences.occurrences(own, K_PAIRS, BUDGET)
+    return own, signatures.kmer_windows(own, K_PAIRS, D.variant_pairs(spark, sf_dir), frequency.kmer_counts(found), BUDGET, found)
 
 
 def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +93,8 @@ def window_pairs_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _signatures(minimize: bool, align: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = D.bubble_graph(spark, sf_dir)
-        given = cut(frequency.frequency_index(own, K_PAIRS, BUDGET))
-        found = signatures.find_variant_signatures(own, K_PAIRS, D.variant_pairs(spark, sf_dir), given, BUDGET, minimize, align)
+        walked = occurrences.occurrences(own, K_PAIRS, BUDGET)
+        found = signatures.find_variant_signatures(own, K_PAIRS, D.variant_pairs(spark, sf_dir), frequency.kmer_counts(walked), BUDGET, minimize, align, found=walked)
         sides = F.explode_outer(F.array(F.struct(F.lit("ref").alias("side"), F.col("reference_kmers").alias("kmers")), F.struct(F.lit("var").alias("side"), F.col("variant_kmers").alias("kmers"))))
         each = found.select("pair_id", "max_frequency", "hypotenuse_frequency", sides.alias("x"))
         return each.select("pair_id", "max_frequency", "hypotenuse_frequency", F.col("x.side").alias("side"), F.posexplode_outer("x.kmers").alias("ord", "kmer"))
