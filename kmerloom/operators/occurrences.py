@@ -61,7 +61,8 @@ def linear_kmers(sequences: DataFrame, k: int, seq: str = "seq", encoding: str =
     for i, base in enumerate(K.check_encoding(encoding)):
         table[[ord(base), ord(base.lower())]] = i
     table[[ord("N"), ord("n")]] = 0
-    pieces = chunks(sequences, k, seq)
+    # pieces are dealt anew: one long sequence, or one large file, would else be taken apart by one task
+    pieces = chunks(sequences, k, seq).repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     others = [c for c in pieces.columns if c not in ("piece", "piece_start")]
     pieces = pieces.select(*others, "piece_start", "piece")
     out = pieces.select(*others, F.lit(0).cast("long").alias("position"), F.lit(None).cast("long").alias("kmer"))
