@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
-from kmerloom.plans.lineage import cut
+from kmerloom.plans.lineage import cut, held
 from kmerloom.plans.model import SequenceGraph, with_in_order
 from kmerloom.plans.numbering import number_rows
 
@@ -82,6 +82,27 @@ def required_empty_nodes(graph: SequenceGraph) -> DataFrame:
     return graph.edges.join(wide, "dst").groupBy(F.col("src").alias("node_id")).agg(F.sum("wide").alias("n"))
 
 
+def required_empty_node_count(graph: SequenceGraph) -> int:
+    """By how many edges the longest path from the root to the last node exceeds the shortest.
+
+    Layer by layer: the nodes that some walk of d edges reaches. Rounds grow with the longest path, so this is for
+    compacted or small graphs. ValueError on a cycle that the root reaches; 0 if there is no root or no last node.
+    """
+    root, last = root_node(graph).first()[0], last_node(graph).first()[0]
+    if root is None or last is None:
+        return 0
+    n, depths = graph.nodes.count(), []
+    layer = graph.nodes.where(F.col("node_id") == root).select(F.col("node_id").alias("src"))
+    with held(graph.edges.select("src", "dst").distinct(), "src") as edges:
+        for depth in range(n + 1):
+            if not layer.where(F.col("src") == last).isEmpty():
+                depths.append(depth)
+            layer = cut(layer.join(edges, "src").select(F.col("dst").alias("src")).distinct())
+            if layer.isEmpty():
+                return max(depths) - min(depths) if depths else 0
+    raise ValueError("the graph has a cycle")
+
+
 def chain_map(graph: SequenceGraph) -> DataFrame:
     """(node_id, head, place, new_id): the chain each node belongs to, and its place there.
 

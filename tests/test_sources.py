@@ -1,6 +1,6 @@
 import pytest
 
-from kmerloom.operators.graph import add_empty_nodes, compress, describe_node, get_node, node_base, root_node
+from kmerloom.operators.graph import add_empty_nodes, compress, describe_node, get_node, node_base, required_empty_node_count, root_node
 from kmerloom.sources import fasta, gfa, merge, store, vcf
 from kmerloom.sources.literals import GraphBuilder, from_codes, from_lists, from_tables
 
@@ -159,6 +159,13 @@ def test_builders_and_lookups(spark):
         GraphBuilder().add_edge(0, 1)
 
 
+def test_required_empty_node_count(spark):
+    assert required_empty_node_count(from_lists(spark, ["A"] * 5, [[1, 4], [2, 3], [3], [4], []])) == 3
+    assert required_empty_node_count(from_lists(spark, ["A"] * 2, [[1], [0]])) == 0
+    with pytest.raises(ValueError, match="cycle"):
+        required_empty_node_count(from_lists(spark, ["A"] * 4, [[1], [2, 3], [1], []]))
+
+
 def test_empty_graph(spark):
     from kmerloom.operators.occurrences import find
 
