@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kmerloom.llm import _common as C
 from kmerloom.llm import _tokens
@@ -58,12 +57,31 @@ def curve_cells(vectors: np.ndarray) -> np.ndarray:
     return np.clip((np.tanh(v @ _AXES) + 1) / 2 * (1 << CURVE_BITS), 0, (1 << CURVE_BITS) - 1).astype(np.int64)
 
 
+def _powers(pieces: list[tuple], total: int) -> list[list[tuple]]:
+    """Pieces (key, start, raw, n) of so many ids in all, as sequences whose lengths are the powers of two of that sum."""
+    out, left = [], list(reversed(pieces))
+    for bit in reversed(range(total.bit_length())):
+        room = total & 1 << bit
+        own = []
+        while room:
+            key, start, raw, n = left.pop()
+            size = min(room, len(raw) // 4)
+            own.append((key, start, raw[: 4 * size], n))
+            if 4 * size < len(raw):
+                left.append((key, start + size, raw[4 * size :], n))
+            room -= size
+        if own:
+            out.append(own)
+    return out
+
+
 def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, start, length, tokens (little-endian uint32), doc_tokens, sequence_id, offset.
 
     A document is its token ids (null or empty text: none) and end_id. Documents are range-sorted by the Hilbert key of
     their projected token counts, ties by id, so equal keys spread over partitions. Each partition lays its documents
-    end to end and cuts every length tokens; only its last sequence is shorter. sequence_id is the partition times
+    end to end and cuts every length tokens; what is left at its end becomes sequences of power-of-two lengths, so no
+    sequence needs padding beyond its own length. sequence_id is the partition times
     2**32 plus a count. start counts the ids of the document before the piece, offset those of the sequence. Repeated
     rows are packed each for itself; columns besides id and text are ignored; an empty table gives none.
     """
@@ -89,21 +107,36 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID,
     names = [id_col, "start", "length", "tokens", "doc_tokens", "sequence_id", "offset"]
 
     def cut(batches):
-        base, total = TaskContext.get().partitionId() << 32, 0
-        for batch in C.small_batches(batches):
+        base, count, room, open_pieces, kinds = TaskContext.get().partitionId() << 32, 0, length, [], None
+
+        def rows_of(sequences):
+            nonlocal count
             out = [[] for _ in names]
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(ids.as_buffer(), width)
-                start, n = 0, len(ids)
-                while start < n:
-                    offset = total % length
-                    size = min(length - offset, n - start)
-                    for column, value in zip(out, (key, start, size, ids[start : start + size].astype("<u4").tobytes(), n, base + total // length, offset), strict=True):
+            for pieces in sequences:
+                offset = 0
+                for key, start, raw, n in pieces:
+                    for column, value in zip(out, (key, start, len(raw) // 4, raw, n, base + count, offset), strict=True):
                         column.append(value)
-                    start += size
-                    total += size
+                    offset += len(raw) // 4
+                count += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
+        for batch in C.small_batches(batches):
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+            full = []
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = np.frombuffer(ids.as_buffer(), width).astype("<u4").tobytes()
+                start, n = 0, len(raw) // 4
+                while start < n:
+                    size = min(room, n - start)
+                    open_pieces.append((key, start, raw[4 * start : 4 * (start + size)], n))
+                    start, room = start + size, room - size
+                    if not room:
+                        full.append(open_pieces)
+                        open_pieces, room = [], length
+            yield rows_of(full)
+        if open_pieces:
+            yield rows_of(_powers(open_pieces, length - room))
 
     encoded = C.materialize(docs.select(id_col, text_col).mapInArrow(tokens, f"`{id_col}` {kind}, ids binary, key long"), "tokens")
     laid = encoded.repartitionByRange(C.shuffle_partitions(spark), "key", id_col).sortWithinPartitions("key", id_col, "ids")

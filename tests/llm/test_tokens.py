@@ -56,13 +56,15 @@ def test_packing_places_every_id_once(spark, corpus, length):
         want = [*ids_of(texts[doc]), 1]
         assert np.frombuffer(b"".join(bytes(r.tokens) for r in own), "<u4").tolist() == want
         assert [r.start for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist() and {r.doc_tokens for r in own} == {len(want)}
-    short = 0
+    short = []
     for own in by_sequence.values():
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist()
-        short += sum(r.length for r in own) < length
-        assert sum(r.length for r in own) <= length
-    assert short <= 4  # the last sequence of each partition
+        size = sum(r.length for r in own)
+        assert size <= length
+        if size < length:
+            short.append((own[0].sequence_id >> 32, size))
+    assert all(size & (size - 1) == 0 for _, size in short) and len(set(short)) == len(short)  # a partition's rest, each power once
     assert P.pack_documents(frame(spark, [])).count() == 0
 
 
