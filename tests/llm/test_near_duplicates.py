@@ -84,3 +84,9 @@ def test_stages_from_near_duplicates_on(spark, corpus, folder):  # noqa: F811
     assert set(pieces) == {i for i, _ in texts[4]}
     for i, t in texts[4]:
         assert np.frombuffer(b"".join(x for _, x in sorted(pieces[i])), "<u4").tolist() == [*ids_of(t), 1]
+
+
+def test_stage_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a b c d e f"), (None, "x y z u v w"), (1, "p q r s t u"), (1, "p q r s t u"), (1, "k l m n o p"), (2, "p q r s t u"), (3, "X Y Z u v w")]
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, "a b c d e f"), (1, "p q r s t u"), (1, "k l m n o p"), (3, "X Y Z u v w")], key=repr)
