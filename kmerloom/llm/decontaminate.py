@@ -228,6 +228,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id contamination() marks."""
-    marked = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(marked, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows that contamination() marks. Rows are known by the hash of their text, so ids may be null or repeat."""
+    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    marked = contamination(own, benchmark, id_col="_text_hash", text_col=text_col).where("contaminated").select(F.col("_text_hash").alias("_gone")).distinct()
+    return own.join(marked, F.col("_text_hash") == F.col("_gone"), "left_anti").select(docs.columns)

@@ -90,3 +90,11 @@ def test_stage_with_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, "a b c d e f"), (None, "x y z u v w"), (1, "p q r s t u"), (1, "p q r s t u"), (1, "k l m n o p"), (2, "p q r s t u"), (3, "X Y Z u v w")]
     kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows), str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, "a b c d e f"), (1, "p q r s t u"), (1, "k l m n o p"), (3, "X Y Z u v w")], key=repr)
+
+
+def test_benchmark_stage_with_null_and_repeated_ids(spark, tmp_path):
+    passage = " ".join(f"b{i}" for i in range(40))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, passage), (None, "clean one"), (1, passage), (1, "clean two"), (1, "clean two"), (2, None), (None, None)]
+    kept = corpus_pipeline.benchmark_stage(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(((i, t) for i, t in rows if t != passage), key=repr)
