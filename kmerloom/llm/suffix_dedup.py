@@ -1,4 +1,4 @@
-"""Exact substring dedup over bytes by distributed prefix doubling.
+"""Exact substring dedup over bytes by sampled keepers with one distributed doubling, in place of plain prefix doubling.
 
 A position's rank at length h names the h bytes from it; the rank at 2h is the pair of ranks at the position and h bytes
 on. Ranks are 128-bit names of their content, so equal strings meet in one bucket, which sorts the pairs it gets and
