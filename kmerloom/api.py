@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kmerloom.functions.kmers import MAX_K, check_k
+from kmerloom.functions.kmers import MAX_K, check_k, reverse_hash
 from kmerloom.operators import frequency, occurrences, signatures
 from kmerloom.plans.model import SequenceGraph
 from kmerloom.sources.literals import from_codes
@@ -17,10 +18,11 @@ class KmerFinder:
 
     def __init__(self, graph: SequenceGraph, k: int, reverse_kmers: bool = False):
         self.graph, self.k, self.reverse_kmers = graph, check_k(k), reverse_kmers
-        self._frequencies: DataFrame | None = None
+        self._given: DataFrame | None = None
+        self._counted: dict[int, DataFrame] = {}  # by the limit on variant nodes
 
-    def find(self, include_spanning_nodes: bool = False, max_variant_nodes: int = 255) -> DataFrame:
-        return occurrences.find(self.graph, self.k, include_spanning_nodes, max_variant_nodes, self.reverse_kmers)
+    def find(self, include_spanning_nodes: bool = False, max_variant_nodes: int = 255, node_id: int | None = None) -> DataFrame:
+        return occurrences.find(self.graph, self.k, include_spanning_nodes, max_variant_nodes, self.reverse_kmers, node_id)
 
     def find_kmers_spanning_node(self, node_id: int, max_variant_nodes: int = 255, include_spanning_nodes: bool = False) -> DataFrame:
         return occurrences.find_spanning_node(self.graph, self.k, node_id, max_variant_nodes, include_spanning_nodes, self.reverse_kmers)
@@ -29,21 +31,25 @@ class KmerFinder:
         return occurrences.variant_kmers(self.graph, self.k, pairs, max_variant_nodes, self.reverse_kmers)
 
     def create_frequency_index(self, max_variant_nodes: int = 255, set_index: bool = True) -> DataFrame:
-        """(kmer, frequency), keyed like find(); kept for signatures if set_index."""
+        """(kmer, frequency), keyed like find(); used by all later signatures if set_index. One walk over the graph."""
+        if max_variant_nodes not in self._counted:
+            self._counted[max_variant_nodes] = frequency.frequency_index(self.graph, self.k, max_variant_nodes)
+        own = self._counted[max_variant_nodes]
         if set_index:
-            self._frequencies = frequency.frequency_index(self.graph, self.k, max_variant_nodes)
-        return frequency.frequency_index(self.graph, self.k, max_variant_nodes, reverse=self.reverse_kmers)
+            self._given = own
+        return own.withColumn("kmer", reverse_hash(F.col("kmer"), self.k)) if self.reverse_kmers else own
 
     def set_frequency_index(self, given: DataFrame | Mapping[int, int]) -> None:
         """Use the caller's frequencies, keyed like find(); k-mers that are not in them count 0."""
-        self._frequencies = frequency.frequency_table(self.graph.spark, given, self.k, self.reverse_kmers)
+        self._given = frequency.frequency_table(self.graph.spark, given, self.k, self.reverse_kmers)
 
     def find_variant_signatures(
         self, reference_nodes: Sequence[int] | DataFrame, variant_nodes: Sequence[int] | None = None, max_variant_nodes: int = 255, minimize_overlaps: bool = False, align_windows: bool = False
     ) -> DataFrame:
         """Signatures of pairs, given as two lists of node ids or as a table (pair_id, ref_node, var_node).
 
-        Without an index set before, frequencies are those of this graph under the same number of variant nodes.
+        Without an index set before, frequencies are those of this graph under the same number of variant nodes; they
+        are kept for later calls with that number.
         """
         if isinstance(reference_nodes, DataFrame):
             pairs = reference_nodes
@@ -52,11 +58,11 @@ class KmerFinder:
                 raise ValueError("as many variant as reference nodes are needed")
             rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(reference_nodes, variant_nodes, strict=True))]
             pairs = self.graph.spark.createDataFrame(rows, "pair_id long, ref_node long, var_node long")
-        found = None
-        if self._frequencies is None:  # one walk over the graph for the index and the windows
+        found, counts = None, self._given if self._given is not None else self._counted.get(max_variant_nodes)
+        if counts is None:  # one walk over the graph for the index and the windows
             found = occurrences.occurrences(self.graph, self.k, max_variant_nodes)
-            self._frequencies = frequency.kmer_counts(found)
-        return signatures.find_variant_signatures(self.graph, self.k, pairs, self._frequencies, max_variant_nodes, minimize_overlaps, align_windows, self.reverse_kmers, found)
+            counts = self._counted[max_variant_nodes] = frequency.kmer_counts(found)
+        return signatures.find_variant_signatures(self.graph, self.k, pairs, counts, max_variant_nodes, minimize_overlaps, align_windows, self.reverse_kmers, found)
 
 
 def get_variant_signatures(graph: SequenceGraph, pairs: DataFrame, frequencies: DataFrame | Mapping[int, int], k: int = MAX_K) -> DataFrame:

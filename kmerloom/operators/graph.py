@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
-from kmerloom.plans.lineage import cut, held
+from kmerloom.plans.lineage import cut
 from kmerloom.plans.model import SequenceGraph, with_in_order
 from kmerloom.plans.numbering import number_rows
 
@@ -93,13 +93,13 @@ def required_empty_node_count(graph: SequenceGraph) -> int:
         return 0
     n, depths = graph.nodes.count(), []
     layer = graph.nodes.where(F.col("node_id") == root).select(F.col("node_id").alias("src"))
-    with held(graph.edges.select("src", "dst").distinct(), "src") as edges:
-        for depth in range(n + 1):
-            if not layer.where(F.col("src") == last).isEmpty():
-                depths.append(depth)
-            layer = cut(layer.join(edges, "src").select(F.col("dst").alias("src")).distinct())
-            if layer.isEmpty():
-                return max(depths) - min(depths) if depths else 0
+    edges = cut(graph.edges.select("src", "dst").distinct(), "edges")
+    for depth in range(n + 1):
+        if not layer.where(F.col("src") == last).isEmpty():
+            depths.append(depth)
+        layer = cut(layer.join(edges, "src").select(F.col("dst").alias("src")).distinct())
+        if layer.isEmpty():
+            return max(depths) - min(depths) if depths else 0
     raise ValueError("the graph has a cycle")
 
 

@@ -8,19 +8,23 @@ tested in the join, so nothing grows that cannot end in a k-mer.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
-from kmerloom.plans.lineage import cut, held
+from kmerloom.plans.lineage import cut
 from kmerloom.plans.model import SequenceGraph
 
 #: Bases that one row of a long node spans before its k-mers are taken apart.
 CHUNK = 1 << 15
 #: Steps after which a path must have ended: k - 1 bases and a run of empty nodes between any two.
 MAX_STEPS = 10_000
+#: Steps of a walk between two writes to the shared folder.
+ROUND = 3
 
 
 def chunks(sequences: DataFrame, k: int, seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
@@ -50,8 +54,8 @@ def rolled(codes: np.ndarray, k: int, reverse: bool = False) -> np.ndarray:
         size *= 2
 
 
-def linear_kmers(sequences: DataFrame, k: int, seq: str = "seq", encoding: str = K.DEFAULT_ENCODING, reverse: bool = False) -> DataFrame:
-    """One row for each k bases in a row of each sequence: the other columns, position and kmer (hash).
+def linear_kmers(sequences: DataFrame, k: int, seq: str = "seq", encoding: str = K.DEFAULT_ENCODING, reverse: bool = False, positions: bool = True) -> DataFrame:
+    """One row for each k bases in a row of each sequence: the other columns, position (if asked for) and kmer (hash).
 
     K-mers over other characters than A, C, G, T, N have null hashes; null and short sequences give no row. Pieces are
     hashed as arrays, all k-mers of an Arrow batch at once.
@@ -61,11 +65,13 @@ def linear_kmers(sequences: DataFrame, k: int, seq: str = "seq", encoding: str =
     for i, base in enumerate(K.check_encoding(encoding)):
         table[[ord(base), ord(base.lower())]] = i
     table[[ord("N"), ord("n")]] = 0
-    # pieces are dealt anew: one long sequence, or one large file, would else be taken apart by one task
+    # pieces are dealt anew: one long sequence, or one large file, would else be taken apart by one task. This moves each
+    # base once, where the k-mers that follow take eight bytes for each
     pieces = chunks(sequences, k, seq).repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     others = [c for c in pieces.columns if c not in ("piece", "piece_start")]
     pieces = pieces.select(*others, "piece_start", "piece")
-    out = pieces.select(*others, F.lit(0).cast("long").alias("position"), F.lit(None).cast("long").alias("kmer"))
+    out = pieces.select(*others, *[F.lit(0).cast("long").alias("position")] * positions, F.lit(None).cast("long").alias("kmer"))
+    names = out.columns
 
     def run(batches):
         for batch in batches:
@@ -79,10 +85,12 @@ def linear_kmers(sequences: DataFrame, k: int, seq: str = "seq", encoding: str =
                 at = np.flatnonzero(live)
                 bad = np.concatenate([[0], np.cumsum(codes > 3)])
                 kmers = rolled(codes & 3, k, reverse)[at]
-                row = np.repeat(np.arange(len(texts)), sizes)[at]
-                starts = np.asarray(part.column(len(others)), dtype=np.int64) - (ends - sizes)
-                kept = part.select(range(len(others))).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at + starts[row]), pa.array(kmers, mask=bad[at + k] > bad[at])], [*others, "position", "kmer"])
+                columns = [pa.array(kmers, mask=bad[at + k] > bad[at])]
+                if others or positions:
+                    row = np.repeat(np.arange(len(texts)), sizes)[at]
+                    starts = np.asarray(part.column(len(others)), dtype=np.int64) - (ends - sizes)
+                    columns = [*part.select(range(len(others))).take(pa.array(row)).columns, *[pa.array(at + starts[row])] * positions, *columns]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return pieces.mapInArrow(run, out.schema)
 
@@ -93,8 +101,10 @@ def _steps(graph: SequenceGraph, k: int) -> DataFrame:
     return graph.edges.select("src", "dst", "out_ord").join(ahead, "dst")
 
 
-def occurrences(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: DataFrame | None = None, reverse: bool = False, max_steps: int = MAX_STEPS) -> DataFrame:
-    """(start_node, p, path, offsets, ords, kmer) of every occurrence, each once.
+def occurrences(
+    graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: DataFrame | None = None, reverse: bool = False, max_steps: int = MAX_STEPS, paths: bool = True
+) -> DataFrame:
+    """(start_node, p, path, offsets, ords, kmer) of every occurrence, each once; only start_node, p and kmer without paths.
 
     path: its nodes; offsets: their places counted from the start of the first node (the first is 0); ords: the out-list
     places of its edges; p: where the k-mer starts in the first node; kmer: its hash, of the reversed bases if reverse.
@@ -107,11 +117,8 @@ def occurrences(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, star
     if starts is not None:
         nodes = nodes.join(starts.select("node_id").distinct(), "node_id", "left_semi")
     inner = linear_kmers(nodes.select(F.col("node_id").alias("start_node"), "seq"), k, "seq", graph.encoding, reverse)
-    found = [
-        inner.select(
-            "start_node", F.col("position").cast("int").alias("p"), F.array("start_node").alias("path"), F.expr("array(0)").alias("offsets"), F.expr("cast(array() as array<int>)").alias("ords"), "kmer"
-        )
-    ]
+    first = {"path": F.array("start_node"), "offsets": F.expr("array(0)"), "ords": F.expr("cast(array() as array<int>)")} if paths else {}
+    found = [inner.select("start_node", F.col("position").cast("int").alias("p"), *(c.alias(n) for n, c in first.items()), "kmer")]
     if k == 1:
         return found[0]
     front = nodes.select(
@@ -120,44 +127,41 @@ def occurrences(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, star
         F.expr(f"right(seq, {k - 1})").alias("text"),
         F.expr(f"least(length, {k - 1})").alias("suffix"),
         F.col("node_id").alias("last"),
-        F.array("node_id").alias("path"),
-        F.expr("array(0)").alias("offsets"),
-        F.expr("cast(array() as array<int>)").alias("ords"),
         F.expr("int(NOT is_ref)").alias("n_var"),
         F.lit(0).alias("ext"),
-    )
-    near = F.expr(f"least(ext + more, {k - 1})")
+    ).select("*", *(c.alias(n) for n, c in first.items()))
+    front = front.repartition(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), "start_node")  # paths grow where they are dealt, also over a small edge table
+    longer = {"path": F.array_append("path", F.col("dst")), "offsets": F.array_append("offsets", F.col("len0") + F.col("ext")), "ords": F.array_append("ords", F.col("out_ord"))}
     grow = [
         F.col("start_node"),
         F.col("len0"),
         F.expr(f"concat(text, left(prefix, least(ext + more, {k - 1}) - ext))").alias("text"),
         F.col("suffix"),
         F.col("dst").alias("last"),
-        F.array_append("path", F.col("dst")).alias("path"),
-        F.array_append("offsets", F.col("len0") + F.col("ext")).alias("offsets"),
-        F.array_append("ords", F.col("out_ord")).alias("ords"),
         (F.col("n_var") + F.col("v")).alias("n_var"),
-        near.alias("ext"),
+        F.expr(f"least(ext + more, {k - 1})").alias("ext"),
+        *(longer[n].alias(n) for n in first),
         F.expr(f"greatest(ext, {k - 1} - suffix)").alias("low"),
         F.expr("more > 0").alias("bases"),
     ]
     fits = F.expr(f"last = src AND n_var + v <= {max_variant_nodes}")
     end = F.explode(F.expr("sequence(low + 1, ext)"))
     own = K.digits(F.expr(f"substr(text, suffix - {k} + e + 1, {k})"), graph.encoding)
-    ended = [F.col("start_node"), F.expr(f"len0 - {k} + e").alias("p"), F.col("path"), F.col("offsets"), F.col("ords"), K.hash_digits(F.reverse(own) if reverse else own).alias("kmer")]
-    with held(_steps(graph, k), "src") as steps:
-        for _ in range(max_steps):
-            grown = cut(front.join(steps, fits).select(grow))
-            if grown.isEmpty():
-                break
-            found.append(grown.where("bases AND ext > low").withColumn("e", end).select(ended))
-            front = grown.where(f"ext < {k - 1}").drop("low", "bases")
-        else:
-            raise RuntimeError(f"paths still grow after {max_steps} steps; is there a cycle of empty nodes?")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    ended = [F.col("start_node"), F.expr(f"len0 - {k} + e").alias("p"), *first, K.hash_digits(F.reverse(own) if reverse else own).alias("kmer")]
+    steps = cut(_steps(graph, k), "edges")
+    for _ in range(0, max_steps, ROUND):
+        rounds = []  # several steps between two writes; Spark shares their exchanges
+        for i in range(ROUND):
+            rounds.append(front.join(steps, fits).select(*grow, F.lit(i).alias("step")))
+            front = rounds[-1].where(f"ext < {k - 1}").drop("low", "bases", "step")
+        grown = cut(reduce(DataFrame.unionByName, rounds), "paths")
+        found.append(grown.where("bases AND ext > low").withColumn("e", end).select(ended))
+        front = grown.where(f"step = {ROUND - 1} AND ext < {k - 1}").drop("low", "bases", "step")
+        if front.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"paths still grow after {max_steps} steps; is there a cycle of empty nodes?")
+    return reduce(DataFrame.unionByName, found)
 
 
 def spread(found: DataFrame) -> DataFrame:
@@ -169,12 +173,21 @@ def spread(found: DataFrame) -> DataFrame:
     ).drop("i")
 
 
-def find(graph: SequenceGraph, k: int, include_spanning_nodes: bool = False, max_variant_nodes: int = 255, reverse: bool = False) -> DataFrame:
-    """(kmer, node_id, start_position, kmer_position) of all occurrences: a row at the first node, or one for each node."""
-    found = occurrences(graph, k, max_variant_nodes, reverse=reverse)
+def find(graph: SequenceGraph, k: int, include_spanning_nodes: bool = False, max_variant_nodes: int = 255, reverse: bool = False, node_id: int | None = None) -> DataFrame:
+    """(kmer, node_id, start_position, kmer_position) of all occurrences: a row at the first node, or one for each node.
+
+    node_id: only the rows of that node; paths then start only where they can have one.
+    """
+    starts = None
+    if node_id is not None:
+        centre = graph.spark.createDataFrame([(node_id,)], "centre long")
+        starts = behind(graph, centre, k).select("node_id") if include_spanning_nodes else centre.select(F.col("centre").alias("node_id"))
+    found = occurrences(graph, k, max_variant_nodes, starts, reverse, paths=include_spanning_nodes)
     if include_spanning_nodes:
-        return spread(found).select("kmer", "node_id", "start_position", "kmer_position")
-    return found.select("kmer", F.col("start_node").alias("node_id"), F.col("p").alias("start_position"), F.lit(0).alias("kmer_position"))
+        out = spread(found).select("kmer", "node_id", "start_position", "kmer_position")
+    else:
+        out = found.select("kmer", F.col("start_node").alias("node_id"), F.col("p").alias("start_position"), F.lit(0).alias("kmer_position"))
+    return out if node_id is None else out.where(F.col("node_id") == node_id)
 
 
 def behind(graph: SequenceGraph, centres: DataFrame, k: int, max_steps: int = MAX_STEPS) -> DataFrame:
@@ -188,15 +201,15 @@ def behind(graph: SequenceGraph, centres: DataFrame, k: int, max_steps: int = MA
     best = front = cut(centres.select("centre", F.col("centre").alias("node_id"), F.lit(0).alias("used")).distinct())
     if k == 1:
         return best.select("centre", "node_id")
-    with held(back_edges, "node_id") as back:
-        for _ in range(max_steps):
-            step = front.where(f"used <= {k - 2}").join(back, "node_id").groupBy("centre", "new").agg(F.min(F.col("used") + F.col("length")).alias("used"))
-            known = best.select("centre", F.col("node_id").alias("new"), F.col("used").alias("had"))
-            step = step.join(known, ["centre", "new"], "left").where("had IS NULL OR used < had")
-            front = cut(step.select("centre", F.col("new").alias("node_id"), "used"))
-            if front.isEmpty():
-                return best.select("centre", "node_id")
-            best = cut(best.unionByName(front).groupBy("centre", "node_id").agg(F.min("used").alias("used")))
+    back = cut(back_edges, "edges")
+    for _ in range(max_steps):
+        step = front.where(f"used <= {k - 2}").join(back, "node_id").groupBy("centre", "new").agg(F.min(F.col("used") + F.col("length")).alias("used"))
+        known = best.select("centre", F.col("node_id").alias("new"), F.col("used").alias("had"))
+        step = step.join(known, ["centre", "new"], "left").where("had IS NULL OR used < had")
+        front = cut(step.select("centre", F.col("new").alias("node_id"), "used"))
+        if front.isEmpty():
+            return best.select("centre", "node_id")
+        best = cut(best.unionByName(front).groupBy("centre", "node_id").agg(F.min("used").alias("used")))
     raise RuntimeError(f"the search backwards still grows after {max_steps} steps")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions import kmers as K
 from kmerloom.operators.frequency import with_frequency
 from kmerloom.operators.occurrences import MAX_STEPS, occurrences_over, sides
-from kmerloom.plans.lineage import cut, held
+from kmerloom.plans.lineage import cut
 from kmerloom.plans.model import SequenceGraph
 
 
@@ -24,18 +26,16 @@ def back_keys(graph: SequenceGraph, k: int, starts: DataFrame, max_steps: int =
     live = cut(starts.select("centre", F.col("start_node").alias("node_id")).distinct())
     front = starts.select("centre").distinct().select("centre", F.col("centre").alias("node_id"), F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("back_key"))
     front, found = cut(front), []
-    with held(back_edges, "node_id") as back:
-        for _ in range(max_steps):
-            found.append(front.select("centre", "node_id", "back_key"))
-            step = front.where(f"used <= {k - 2}").join(back, "node_id")
-            step = step.select("centre", F.col("src").alias("node_id"), (F.col("used") + F.col("length")).alias("used"), F.array_append("back_key", F.col("place")).alias("back_key"), "length")
-            step = step.join(live.withColumn("alive", F.lit(True)), ["centre", "node_id"], "left").where("length = 0 OR alive")
-            front = cut(step.groupBy("centre", "node_id", "used").agg(F.min("back_key").alias("back_key")))
-            if front.isEmpty():
-                out = found[0]
-                for more in found[1:]:
-                    out = out.unionByName(more)
-                return out.join(live, ["centre", "node_id"], "left_semi").groupBy("centre", F.col("node_id").alias("start_node")).agg(F.min("back_key").alias("back_key"))
+    back = cut(back_edges, "edges")
+    for _ in range(max_steps):
+        found.append(front.select("centre", "node_id", "back_key"))
+        step = front.where(f"used <= {k - 2}").join(back, "node_id")
+        step = step.select("centre", F.col("src").alias("node_id"), (F.col("used") + F.col("length")).alias("used"), F.array_append("back_key", F.col("place")).alias("back_key"), "length")
+        step = step.join(live.withColumn("alive", F.lit(True)), ["centre", "node_id"], "left").where("length = 0 OR alive")
+        front = cut(step.groupBy("centre", "node_id", "used").agg(F.min("back_key").alias("back_key")))
+        if front.isEmpty():
+            out = reduce(DataFrame.unionByName, found)
+            return out.join(live, ["centre", "node_id"], "left_semi").groupBy("centre", F.col("node_id").alias("start_node")).agg(F.min("back_key").alias("back_key"))
     raise RuntimeError(f"the search backwards still grows after {max_steps} steps")
 
 

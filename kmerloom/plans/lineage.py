@@ -3,33 +3,37 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the cluster's checkpoint folder, so that a lost executor costs no long recomputation.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; where it is unset, as in local tests, a temporary folder is used.
+    Where it is unset, a local session gets a temporary one, and any other is an error: executors of a cluster could not
+    read what others wrote.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
-@contextmanager
-def held(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
-    """df dealt by its join key and kept on the executors, for a table that every round of a loop joins.
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
-    The rounds then shuffle only what they add; a lost executor's part is dealt anew from df, whose lineage is short.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = df.repartition(n, *keys).persist()
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
+
+def cut(df: DataFrame, what: str = "step") -> DataFrame:
+    """df written once to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -30,11 +30,11 @@ def pack_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linear_kmer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.kmer_counts(occurrences.linear_kmers(D.letters(spark, sf_dir), K_LARGE))
+    return frequency.kmer_counts(occurrences.linear_kmers(D.letters(spark, sf_dir).select("seq"), K_LARGE, positions=False))
 
 
 def distinct_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.distinct_kmers(occurrences.linear_kmers(D.letters(spark, sf_dir), K_SMALL))
+    return frequency.distinct_kmers(occurrences.linear_kmers(D.letters(spark, sf_dir).select("seq"), K_SMALL, positions=False))
 
 
 def find_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,7 @@ def fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str):
-    return merge.merge(fasta.contigs(D.fasta_lines(spark, sf_dir)), vcf.from_vcf_lines(D.vcf_lines(spark, sf_dir)))
+    return merge.merge(fasta.contig_pieces(D.fasta_lines(spark, sf_dir)), vcf.from_vcf_lines(D.vcf_lines(spark, sf_dir)))
 
 
 def kept_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,32 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kmerloom.plans.lineage import cut
+from kmerloom.plans.numbering import running
 from kmerloom.sources.lines import read_lines
 from kmerloom.sources.vcf import ALL, chromosome_number
 
-#: Lines within which a header is looked for by a window; further back, over one row for each so many lines.
-SPAN = 1 << 16
+#: Bases in a piece of a contig.
+PIECE = 1 << 16
 
 
-def contigs(lines: DataFrame, chromosome: int = ALL) -> DataFrame:
-    """(contig, name, chrom, seq) of FASTA lines (value, line_no), of one chromosome or all; contig is the header's line_no.
+def _owned(lines: DataFrame) -> DataFrame:
+    """(value, line_no, contig, head): each line with the header it stands below; lines before the first belong to none."""
+    at = lines.select("value", "line_no", F.expr("CASE WHEN value LIKE '>%' THEN line_no END").alias("head"))
+    above = running(at, None, ["line_no"], above=("max", "head"))
+    return above.withColumn("contig", F.coalesce("head", "above")).where("contig IS NOT NULL").select("value", "line_no", "contig", "head")
+
+
+def _named(heads: DataFrame) -> DataFrame:
+    """(contig, name, chrom) of header lines."""
+    return heads.select("contig", F.expr("substring(value, 2)").alias("name")).withColumn("chrom", chromosome_number(F.col("name")))
+
 
-    A sequence keeps its A, C, G, T and N in either case and nothing else, so other letters shift what follows. Lines
-    before the first header belong to none. A header without a sequence gives an empty one.
+def contig_pieces(lines: DataFrame, chromosome: int = ALL, piece: int = PIECE) -> DataFrame:
+    """(contig, name, chrom, n, piece, text) of FASTA lines (value, line_no): contigs in pieces of so many bases.
+
+    contig is the header's line_no, n the number of bases of the whole contig, piece counts from 0. A sequence keeps its
+    A, C, G, T and N in either case and nothing else, so other letters shift what follows. A header without a sequence
+    has one empty piece. No row holds more than one piece or one line.
     """
-    at = lines.select("value", "line_no", F.floor(F.col("line_no") / SPAN).alias("span"), F.expr("CASE WHEN value LIKE '>%' THEN line_no END").alias("head"))
-    last = at.groupBy("span").agg(F.max("head").alias("last"))
-    before = last.select("span", F.max("last").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)).alias("before"))  # a row for SPAN lines
-    near = F.max("head").over(W.partitionBy("span").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    owned = at.withColumn("near", near).join(before, "span").withColumn("contig", F.coalesce("near", "before")).where("contig IS NOT NULL")
-    parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("head").isNull(), F.struct("line_no", F.regexp_replace("value", "[^ACGTNacgtn]", "").alias("s"))))), lambda x: x["s"])
-    out = owned.groupBy("contig").agg(F.max(F.when(F.col("head").isNotNull(), F.expr("substring(value, 2)"))).alias("name"), F.array_join(parts, "").alias("seq"))
-    out = out.select("contig", "name", chromosome_number(F.col("name")).alias("chrom"), "seq")
-    return out if chromosome == ALL else out.where(F.col("chrom") == chromosome)
+    owned = cut(_owned(lines).withColumn("s", F.when(F.col("head").isNull(), F.regexp_replace("value", "[^ACGTNacgtn]", "")).otherwise("")), "lines")
+    heads = _named(owned.where("head IS NOT NULL"))
+    heads = heads if chromosome == ALL else heads.where(F.col("chrom") == chromosome)
+    placed = running(owned.select("contig", "line_no", "s"), "contig", ["line_no"], until=("sum", "length(s)"))
+    each = placed.where("length(s) > 0").withColumn("start", F.col("until") - F.length("s"))
+    parts = each.select("contig", "start", "s", F.explode(F.expr(f"sequence(start div {piece}, (until - 1) div {piece})")).alias("piece"))
+    low = F.greatest(F.col("piece") * piece - F.col("start"), F.lit(0))
+    high = F.least((F.col("piece") + 1) * piece - F.col("start"), F.length("s"))
+    parts = parts.select("contig", "piece", F.struct("start", F.substr("s", (low + 1).cast("int"), (high - low).cast("int")).alias("s")).alias("x"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), "")
+    whole = parts.groupBy("contig", "piece").agg(text.alias("text"))
+    sizes = placed.groupBy("contig").agg(F.max("until").alias("n"))
+    out = heads.join(sizes, "contig").join(whole, "contig", "left")
+    return out.select("contig", "name", "chrom", F.col("n").cast("long").alias("n"), F.coalesce("piece", F.lit(0).cast("long")).alias("piece"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def contigs(lines: DataFrame, chromosome: int = ALL) -> DataFrame:
+    """(contig, name, chrom, seq): contig_pieces() put together, for contigs that fit into a row."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "")
+    return contig_pieces(lines, chromosome).groupBy("contig", "name", "chrom").agg(text.alias("seq"))
 
 
 def read_fasta(spark: SparkSession, path: str, chromosome: int = ALL) -> DataFrame:
-    return contigs(read_lines(spark, path), chromosome)
+    """contig_pieces() of a file."""
+    return contig_pieces(read_lines(spark, path), chromosome)

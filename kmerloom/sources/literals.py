@@ -51,6 +51,7 @@ class GraphBuilder:
         self._nodes: list[tuple] = []
         self._edges: list[tuple] = []
         self._out: dict[int, int] = {}
+        self._in: dict[int, int] = {}
 
     def add_node(self, seq: str = "", is_ref: bool = True, ref_index: int | None = None) -> int:
         self._nodes.append((len(self._nodes), seq, len(seq), is_ref, ref_index))
@@ -63,9 +64,9 @@ class GraphBuilder:
         for end in (src, dst):
             if not 0 <= end < len(self._nodes):
                 raise ValueError(f"there is no node {end}")
-        place = self._out.get(src, 0)
-        self._out[src] = place + 1
-        self._edges.append((src, dst, place, sum(1 for e in self._edges if e[1] == dst)))
+        out, into = self._out.get(src, 0), self._in.get(dst, 0)
+        self._out[src], self._in[dst] = out + 1, into + 1
+        self._edges.append((src, dst, out, into))
 
     def build(self, spark: SparkSession) -> SequenceGraph:
         """The graph; in-lists in the order in which the edges were added."""

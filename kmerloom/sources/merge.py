@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 from kmerloom.functions.kmers import DEFAULT_ENCODING
 from kmerloom.plans.lineage import cut
 from kmerloom.plans.model import SequenceGraph, with_in_order
-from kmerloom.sources.fasta import read_fasta
+from kmerloom.plans.numbering import number_rows, running
+from kmerloom.sources.fasta import PIECE, read_fasta
 from kmerloom.sources.vcf import ALL, read_vcf
 
-#: Bases in a piece of a contig.
-PIECE = 1 << 16
-
 
 def kept_variants(variants: DataFrame) -> DataFrame:
     """variants without those that begin before the end of the last kept one, in order of (pos, row_id) per chromosome.
@@ -22,10 +20,8 @@ def kept_variants(variants: DataFrame) -> DataFrame:
     Where a variant begins at or past the end of all before it, it is kept and the sweep starts afresh; so only the
     variants between two such places, few and overlapping, are swept one after the other.
     """
-    order = W.partitionBy("chrom").orderBy("pos", "row_id")
-    stop = F.col("pos") + F.length("ref")
-    ends = variants.withColumn("past", F.max(stop).over(order.rowsBetween(W.unboundedPreceding, -1)))
-    islands = ends.withColumn("island", F.sum(F.when(F.col("past").isNull() | (F.col("pos") >= F.col("past")), 1).otherwise(0)).over(order))
+    ends = running(variants, "chrom", ["pos", "row_id"], past=("max", "pos + length(ref)"))
+    islands = running(ends, "chrom", ["pos", "row_id"], island=("sum", "CASE WHEN past IS NULL OR pos >= past THEN 1 ELSE 0 END"))
     swept = islands.groupBy("chrom", "island").agg(F.sort_array(F.collect_list(F.struct("pos", "row_id", "ref", "alts"))).alias("own"))
     fold = """
         aggregate(own, named_struct('at', -1L, 'kept', filter(own, x -> false)),
@@ -35,20 +31,27 @@ def kept_variants(variants: DataFrame) -> DataFrame:
     return swept.select("chrom", F.explode(F.expr(fold)).alias("x")).select("chrom", "x.*")
 
 
-def cut_ranges(contigs: DataFrame, ranges: DataFrame, key: list[str], piece: int = PIECE) -> DataFrame:
-    """ranges (chrom, key, start, size) with seq, taken from contigs (chrom, seq) piece by piece over a join."""
-    raw = contigs.select("chrom", F.col("seq").cast("binary").alias("seq"), F.length("seq").alias("n"))
-    pieces = raw.withColumn("piece", F.explode(F.expr(f"CASE WHEN n > 0 THEN sequence(0, (n - 1) div {piece}) END")))
-    pieces = pieces.select("chrom", "piece", F.substr("seq", (F.col("piece") * piece + 1).cast("int"), F.lit(piece)).alias("_text"))
+def in_pieces(contigs: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(chrom, n, piece, text) of contigs that are whole (chrom, seq) or in such pieces already."""
+    if "piece" in contigs.columns:
+        return contigs.select("chrom", "n", "piece", "text")
+    raw = contigs.select("chrom", F.col("seq").cast("binary").alias("seq"), F.length("seq").cast("long").alias("n"))
+    at = raw.withColumn("piece", F.explode(F.expr(f"CASE WHEN n > 0 THEN sequence(0L, (n - 1) div {piece}) ELSE array(0L) END")))
+    return at.select("chrom", "n", "piece", F.substr("seq", (F.col("piece") * piece + 1).cast("int"), F.lit(piece)).cast("string").alias("text"))
+
+
+def cut_ranges(pieces: DataFrame, ranges: DataFrame, key: list[str], piece: int = PIECE) -> DataFrame:
+    """ranges (chrom, key, start, size) with seq, taken from in_pieces() of the same size over a join."""
+    own = pieces.select("chrom", "piece", F.col("text").cast("binary").alias("_text"))
     wanted = ranges.withColumn("piece", F.explode(F.expr(f"CASE WHEN size > 0 THEN sequence(start div {piece}, (start + size - 1) div {piece}) END")))
-    found = wanted.join(pieces, ["chrom", "piece"]).withColumn("low", F.greatest(F.col("start") - F.col("piece") * piece, F.lit(0)))
-    own = F.substr("_text", (F.col("low") + 1).cast("int"), (F.least(F.col("start") + F.col("size") - F.col("piece") * piece, F.lit(piece)) - F.col("low")).cast("int")).cast("string")
-    joined = found.withColumn("s", own).groupBy("chrom", *key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "s"))), lambda x: x["s"]), "").alias("seq"))
+    found = wanted.join(own, ["chrom", "piece"]).withColumn("low", F.greatest(F.col("start") - F.col("piece") * piece, F.lit(0)))
+    part = F.substr("_text", (F.col("low") + 1).cast("int"), (F.least(F.col("start") + F.col("size") - F.col("piece") * piece, F.lit(piece)) - F.col("low")).cast("int")).cast("string")
+    joined = found.withColumn("s", part).groupBy("chrom", *key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "s"))), lambda x: x["s"]), "").alias("seq"))
     return ranges.join(joined, ["chrom", *key], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
 def merge(contigs: DataFrame, variants: DataFrame, encoding: str = DEFAULT_ENCODING) -> SequenceGraph:
-    """The bubble graph of contigs (chrom, seq) and normalised variants (row_id, chrom, pos, ref, alts).
+    """The bubble graph of contigs, see in_pieces(), and normalised variants (row_id, chrom, pos, ref, alts).
 
     Along each chromosome: a reference node for every gap between kept variants and for the tail; for each variant a
     reference node of its bases as the contig has them (empty for an insertion) and a non-reference node for each alt
@@ -56,33 +59,28 @@ def merge(contigs: DataFrame, variants: DataFrame, encoding: str = DEFAULT_ENCOD
     before. Ids and reference indices count on over the chromosomes in order. Variants beyond the contig's end are left
     out, and so are those of chromosomes without a contig.
     """
-    sizes = contigs.select("chrom", F.length("seq").cast("long").alias("n"))
-    sites = kept_variants(variants.join(sizes, "chrom").where("pos >= 0 AND pos + length(ref) <= n").select(variants.columns))
-    order = W.partitionBy("chrom").orderBy("pos", "row_id")
-    sites = sites.withColumns({"prev": F.coalesce(F.lag(F.col("pos") + F.length("ref")).over(order), F.lit(0).cast("long")), "last": F.lead("pos").over(order).isNull(), "site": F.row_number().over(order)})
-    sites = cut(sites)
+    pieces = cut(in_pieces(contigs), "pieces")
+    sizes = pieces.where("piece = 0").select("chrom", "n")
+    kept = kept_variants(variants.join(sizes, "chrom").where("pos >= 0 AND pos + length(ref) <= n").select(variants.columns))
+    sites = cut(running(kept, "chrom", ["pos", "row_id"], prev=("max", "pos + length(ref)"), site=("sum", "1")).withColumn("prev", F.coalesce("prev", F.lit(0).cast("long"))), "sites")
     # rows in order of (chrom, site, part): the gap before a site is part 0, its reference allele 1, its alts from 2 on
     gaps = sites.where("pos > prev").select("chrom", "site", F.lit(0).alias("part"), F.col("prev").alias("start"), (F.col("pos") - F.col("prev")).alias("size"))
     refs = sites.select("chrom", "site", F.lit(1).alias("part"), F.col("pos").alias("start"), F.length("ref").cast("long").alias("size"))
-    ends = sizes.join(sites.where("last").select("chrom", "site", (F.col("pos") + F.length("ref")).alias("start")), "chrom", "left")
+    ends = sizes.join(sites.groupBy("chrom").agg(F.max("site").alias("site"), F.max(F.col("pos") + F.length("ref")).alias("start")), "chrom", "left")
     tails = ends.select("chrom", (F.coalesce("site", F.lit(0)) + 1).alias("site"), F.lit(0).alias("part"), F.coalesce("start", F.lit(0).cast("long")).alias("start"), "n")
     tails = tails.withColumn("size", F.col("n") - F.col("start")).where("size > 0").drop("n")
-    reference = cut_ranges(contigs, gaps.unionByName(refs).unionByName(tails), ["site", "part"]).select("chrom", "site", "part", "seq", F.lit(True).alias("is_ref"))
+    reference = cut_ranges(pieces, gaps.unionByName(refs).unionByName(tails), ["site", "part"]).select("chrom", "site", "part", "seq", F.lit(True).alias("is_ref"))
     alts = sites.select("chrom", "site", F.posexplode("alts").alias("i", "seq")).select("chrom", "site", (F.col("i") + 2).alias("part"), "seq", F.lit(False).alias("is_ref"))
-    rows = reference.unionByName(alts)
-    own = W.partitionBy("chrom").orderBy("site", "part")
-    rows = cut(rows.withColumns({"i": F.row_number().over(own) - 1, "r": F.sum(F.col("is_ref").cast("long")).over(own) - 1}))
-    totals = rows.groupBy("chrom").agg(F.count("*").alias("nodes"), F.sum(F.col("is_ref").cast("long")).alias("refs"))
-    by_chrom = W.orderBy("chrom").rowsBetween(W.unboundedPreceding, -1)  # a row a chromosome
-    base = totals.select("chrom", F.coalesce(F.sum("nodes").over(by_chrom), F.lit(0)).alias("n0"), F.coalesce(F.sum("refs").over(by_chrom), F.lit(0)).alias("r0"))
-    rows = cut(rows.join(base, "chrom").withColumns({"node_id": F.col("i") + F.col("n0"), "ref_index": F.when(F.col("is_ref"), F.col("r") + F.col("r0"))}))
-    # a step is a gap by itself or all nodes of a site; each step follows the one before it in its chromosome
+    rows = number_rows(reference.unionByName(alts), "node_id", "chrom", "site", "part")
+    rows = cut(running(rows, None, ["node_id"], refs=("sum", "int(is_ref)")).withColumn("ref_index", F.expr("CASE WHEN is_ref THEN refs - 1 END")), "nodes")
+    # a step is a gap by itself (even) or all nodes of a site (odd); it is followed by the next number, or, after a site
+    # without a gap behind it, by the one after that
     steps = rows.select("chrom", "node_id", (F.col("site") * 2 + F.when(F.col("part") > 0, 1).otherwise(0)).alias("step"))
-    seen = steps.select("chrom", "step").distinct().withColumn("next", F.lead("step").over(W.partitionBy("chrom").orderBy("step")))
-    a = steps.join(seen, ["chrom", "step"]).select("chrom", F.col("node_id").alias("src"), F.col("next").alias("step"))
-    edges = a.join(steps.select("chrom", F.col("node_id").alias("dst"), "step"), ["chrom", "step"])
+    gap = steps.where("step % 2 = 0").select("chrom", (F.col("step") - 1).alias("step"), F.lit(True).alias("gap"))
+    onward = steps.join(gap, ["chrom", "step"], "left").select("chrom", F.col("node_id").alias("src"), F.expr("step + CASE WHEN step % 2 = 0 OR gap THEN 1 ELSE 2 END").alias("step"))
+    edges = onward.join(steps.select("chrom", F.col("node_id").alias("dst"), "step"), ["chrom", "step"])
     edges = edges.withColumn("out_ord", (F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).cast("int"))
-    nodes = rows.select("node_id", "seq", F.length("seq").alias("length"), "is_ref", "ref_index")
+    nodes = rows.select("node_id", "seq", F.length("seq").alias("length"), "is_ref", F.col("ref_index").cast("long").alias("ref_index"))
     return SequenceGraph(nodes, with_in_order(edges.select("src", "dst", "out_ord")), encoding)
 
 

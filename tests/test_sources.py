@@ -86,12 +86,8 @@ FASTA = "junk\n>1 one\nACgt\nNRA\n\n>2\nGG\nAX\n>3 empty\n>X\nT"
 def test_fasta(spark):
     rows = {r.name: (r.chrom, r.seq) for r in fasta.contigs(lines(spark, FASTA)).collect()}
     assert rows == {"1 one": (1, "ACgtNA"), "2": (2, "GGA"), "3 empty": (3, ""), "X": (0, "T")}
-    fasta_span, fasta.SPAN = fasta.SPAN, 2
-    try:
-        again = {r.name: (r.chrom, r.seq) for r in fasta.contigs(lines(spark, FASTA)).collect()}
-    finally:
-        fasta.SPAN = fasta_span
-    assert again == rows
+    pieces = {(r.name, r.piece): (r.n, r.text) for r in fasta.contig_pieces(lines(spark, FASTA), piece=4).collect()}
+    assert pieces == {("1 one", 0): (6, "ACgt"), ("1 one", 1): (6, "NA"), ("2", 0): (3, "GGA"), ("3 empty", 0): (0, ""), ("X", 0): (1, "T")}
     assert fasta.contigs(lines(spark, FASTA), 2).first().seq == "GGA"
 
 
@@ -113,7 +109,7 @@ def test_merge(spark):
 def test_merge_reads_pieces_of_long_contigs(spark):
     contigs = spark.createDataFrame([(1, "ACGTTGCA" * 5)], "chrom int, seq string")
     ranges = spark.createDataFrame([(1, 0, 0, 40), (1, 1, 3, 9), (1, 2, 8, 0), (1, 3, 39, 1)], "chrom int, i int, start long, size long")
-    got = {r.i: r.seq for r in merge.cut_ranges(contigs, ranges, ["i"], piece=4).collect()}
+    got = {r.i: r.seq for r in merge.cut_ranges(merge.in_pieces(contigs, 4), ranges, ["i"], piece=4).collect()}
     text = "ACGTTGCA" * 5
     assert got == {0: text, 1: text[3:12], 2: "", 3: text[39:]}
 
