@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kmerloom.sources.merge import from_fasta_vcf
-from kmerloom.sources.store import write_graph
+from kmerloom.sources.store import read_graph, write_graph
+
+
+def build(spark: SparkSession, fasta: str, vcf: str, out: str) -> DataFrame:
+    """Merge the files, write the graph to out, and give its size (n_nodes) as read from there."""
+    write_graph(from_fasta_vcf(spark, fasta, vcf), out)
+    return read_graph(spark, out).nodes.agg(F.count("*").alias("n_nodes"))
 
 
 def main(args: list[str]) -> int:
     if len(args) != 3:
         print(__doc__)
         return 2
-    graph = from_fasta_vcf(SparkSession.builder.getOrCreate(), args[0], args[1])
-    write_graph(graph, args[2])
-    print(graph.nodes.count())
+    print(build(SparkSession.builder.getOrCreate(), *args).first().n_nodes)
     return 0
 
 

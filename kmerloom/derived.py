@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.plans.lineage import new_path
 from kmerloom.plans.model import SequenceGraph, with_in_order
 
 
@@ -107,3 +108,30 @@ def fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = each.crossJoin(F.broadcast(size)).select(text.alias("value"), ((n + 1) * (F.col("c") - 1) + 1 + F.col("i")).alias("line_no"))
     heads = spark.range(1, 4).crossJoin(F.broadcast(size)).select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit(" contig")).alias("value"), ((n + 1) * (F.col("id") - 1)).alias("line_no"))
     return heads.unionByName(lines)
+
+
+def fasta_vcf_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The FASTA and the VCF lines as text files in the shared folder."""
+    paths = new_path(spark, "fasta"), new_path(spark, "vcf")
+    for lines, path in zip((fasta_lines(spark, sf_dir), vcf_lines(spark, sf_dir)), paths, strict=True):
+        lines.orderBy("line_no").select("value").write.text(path)
+    return paths
+
+
+def chain_gfa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value, line_no): chain_graph() as text, names without gaps from 100 on; every fourth node is off the one path."""
+    graph = chain_graph(spark, sf_dir)
+    name = lambda c: (F.col(c) + 100).cast("string")
+    s = graph.nodes.select(F.concat_ws("\t", F.lit("S"), name("node_id"), "seq").alias("value"), F.col("node_id").alias("line_no"))
+    line = F.concat_ws("\t", F.lit("L"), name("src"), F.lit("+"), name("dst"), F.lit("+"), F.lit("0M"))
+    links = graph.edges.select(line.alias("value"), (F.col("src") * 2 + F.col("out_ord") + 10_000_000_000).alias("line_no"))
+    paths = graph.nodes.where("is_ref").select(F.concat(F.lit("P\tp"), name("node_id"), F.lit("\t"), name("node_id"), F.lit("+\t*")).alias("value"), (F.col("node_id") + 20_000_000_000).alias("line_no"))
+    return s.unionByName(links).unionByName(paths)
+
+
+def heap_graph(spark: SparkSession, sf_dir: str) -> SequenceGraph:
+    """Nodes of single parts; part i leads to 2i, 2i + 1 and 3i, so that walks are short and of several lengths."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
+    nodes = part.select(F.col("i").alias("node_id"), F.lit("A").alias("seq"), F.lit(1).alias("length"), F.lit(True).alias("is_ref"), F.lit(None).cast("long").alias("ref_index"))
+    ends = part.select(F.col("i").alias("src"), F.posexplode(F.array(F.col("i") * 2, F.col("i") * 2 + 1, F.col("i") * 3)).alias("out_ord", "dst"))
+    return SequenceGraph(nodes, with_in_order(ends.where("dst > src").join(part.select(F.col("i").alias("dst")), "dst", "left_semi")))

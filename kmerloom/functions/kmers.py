@@ -20,6 +20,11 @@ def check_encoding(encoding: str) -> str:
     return encoding.upper()
 
 
+def is_encoding(name: Column) -> Column:
+    """Whether a text is an encoding: four characters, A, C, G and T in some order and either case; false for null."""
+    return F.coalesce((F.length(name) == 4) & F.forall(F.array(*(F.lit(b) for b in "ACGT")), lambda b: F.contains(F.upper(name), b)), F.lit(False))
+
+
 def check_k(k: int) -> int:
     if isinstance(k, bool) or not isinstance(k, int) or not 1 <= k <= MAX_K:
         raise ValueError(f"k is an integer from 1 to {MAX_K}, not {k!r}")

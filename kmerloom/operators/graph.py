@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
@@ -28,18 +28,34 @@ def get_node(graph: SequenceGraph, node_id: int) -> DataFrame:
     return graph.nodes.where(F.col("node_id") == node_id)
 
 
+def get_nodes(graph: SequenceGraph, ids: DataFrame) -> DataFrame:
+    """The rows of the nodes that a table (node_id) lists, each once."""
+    return graph.nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def base_codes(nodes: DataFrame, i: int | Column, encoding: str = K.DEFAULT_ENCODING) -> DataFrame:
+    """(node_id, code): the code of base i, counted from 0, of each node; null outside the node."""
+    return nodes.select("node_id", K.base_code(F.col("seq"), i, encoding).alias("code"))
+
+
 def node_base(graph: SequenceGraph, node_id: int, i: int) -> DataFrame:
-    """(code): the code of the node's base i, counted from 0; null outside the node."""
-    return get_node(graph, node_id).select(K.base_code(F.col("seq"), i, graph.encoding).alias("code"))
+    """(code) of one node's base i."""
+    return base_codes(get_node(graph, node_id), i, graph.encoding).select("code")
 
 
-def describe_node(graph: SequenceGraph, node_id: int) -> DataFrame:
-    """The node's row with out_nodes and in_nodes, in the order of its lists."""
-    def listed(own: str, other: str, place: str, name: str) -> DataFrame:
-        at = graph.edges.where(F.col(own) == node_id)
-        return at.agg(F.transform(F.sort_array(F.collect_list(F.struct(place, other))), lambda x: x[other]).alias(name))
+def describe_nodes(graph: SequenceGraph) -> DataFrame:
+    """The nodes with out_nodes and in_nodes, in the order of their lists."""
+    out = graph.nodes
+    for own, other, place, name in (("src", "dst", "out_ord", "out_nodes"), ("dst", "src", "in_ord", "in_nodes")):
+        listed = graph.edges.groupBy(F.col(own).alias("node_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(place).alias("at"), F.col(other).alias("node")))), lambda x: x["node"]).alias(name))
+        out = out.join(listed, "node_id", "left").withColumn(name, F.coalesce(name, F.expr("cast(array() as array<bigint>)")))
+    return out
+
 
-    return get_node(graph, node_id).crossJoin(listed("src", "dst", "out_ord", "out_nodes")).crossJoin(listed("dst", "src", "in_ord", "in_nodes"))  # one row each
+def describe_node(graph: SequenceGraph, node_id: int) -> DataFrame:
+    """One node's row of describe_nodes()."""
+    near = graph.edges.where((F.col("src") == node_id) | (F.col("dst") == node_id))
+    return describe_nodes(graph.with_tables(get_node(graph, node_id), near))
 
 
 def root_node(graph: SequenceGraph) -> DataFrame:

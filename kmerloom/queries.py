@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom import __main__ as command
+from kmerloom import api
 from kmerloom import derived as D
 from kmerloom.functions import kmers as K
 from kmerloom.operators import frequency, graph, occurrences, signatures
-from kmerloom.plans.lineage import cut
-from kmerloom.sources import fasta, gfa, merge, store, vcf
+from kmerloom.plans.lineage import cut, new_path
+from kmerloom.sources import fasta, gfa, literals, merge, store, vcf
 
 #: Parameters of the registered queries.
 K_SMALL, K_LARGE, K_PAIRS, BUDGET = 5, 31, 9, 4
@@ -45,6 +47,14 @@ def find_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences.find(D.bubble_graph(spark, sf_dir), K_SMALL, True, BUDGET)
 
 
+def find_spanning_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences.find(D.bubble_graph(spark, sf_dir), K_LARGE, True, BUDGET)
+
+
+def find_one_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences.find(D.bubble_graph(spark, sf_dir), K_LARGE, True, BUDGET, node_id=21)
+
+
 def find_max_variants_0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences.find(D.bubble_graph(spark, sf_dir), K_LARGE, True, 0)
 
@@ -73,6 +83,10 @@ def variant_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences.variant_kmers(D.bubble_graph(spark, sf_dir), K_PAIRS, D.variant_pairs(spark, sf_dir), BUDGET)
 
 
+def variant_kmers_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences.variant_kmers(D.bubble_graph(spark, sf_dir), K_LARGE, D.variant_pairs(spark, sf_dir), BUDGET)
+
+
 def _windows(spark: SparkSession, sf_dir: str):
     own = D.bubble_graph(spark, sf_dir)
     found = occurrences.occurrences(own, K_PAIRS, BUDGET)
@@ -90,18 +104,40 @@ def window_pairs_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "ref_window", "var_window", "max_frequency", "hypotenuse_frequency", "overlap")
 
 
-def _signatures(minimize: bool, align: bool):
+def _listed(found: DataFrame) -> DataFrame:
+    """A row for each k-mer of each side of a signature, and one without a k-mer for an empty side."""
+    sides = F.explode_outer(F.array(F.struct(F.lit("ref").alias("side"), F.col("reference_kmers").alias("kmers")), F.struct(F.lit("var").alias("side"), F.col("variant_kmers").alias("kmers"))))
+    each = found.select("pair_id", "max_frequency", "hypotenuse_frequency", sides.alias("x"))
+    return each.select("pair_id", "max_frequency", "hypotenuse_frequency", F.col("x.side").alias("side"), F.posexplode_outer("x.kmers").alias("ord", "kmer"))
+
+
+def _signatures(minimize: bool, align: bool, k: int = K_PAIRS):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = D.bubble_graph(spark, sf_dir)
-        walked = occurrences.occurrences(own, K_PAIRS, BUDGET)
-        found = signatures.find_variant_signatures(own, K_PAIRS, D.variant_pairs(spark, sf_dir), frequency.kmer_counts(walked), BUDGET, minimize, align, found=walked)
-        sides = F.explode_outer(F.array(F.struct(F.lit("ref").alias("side"), F.col("reference_kmers").alias("kmers")), F.struct(F.lit("var").alias("side"), F.col("variant_kmers").alias("kmers"))))
-        each = found.select("pair_id", "max_frequency", "hypotenuse_frequency", sides.alias("x"))
-        return each.select("pair_id", "max_frequency", "hypotenuse_frequency", F.col("x.side").alias("side"), F.posexplode_outer("x.kmers").alias("ord", "kmer"))
+        finder = api.KmerFinder(D.bubble_graph(spark, sf_dir), k)
+        return _listed(finder.find_variant_signatures(D.variant_pairs(spark, sf_dir), max_variant_nodes=BUDGET, minimize_overlaps=minimize, align_windows=align))
 
     return query
 
 
+def signatures_given_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the k-mer counts of the documents' letters in place of the graph's."""
+    finder = api.KmerFinder(D.bubble_graph(spark, sf_dir), K_PAIRS)
+    finder.set_frequency_index(frequency.kmer_counts(occurrences.linear_kmers(D.letters(spark, sf_dir).select("seq"), K_PAIRS, positions=False)))
+    return _listed(finder.find_variant_signatures(D.variant_pairs(spark, sf_dir), max_variant_nodes=BUDGET))
+
+
+def signatures_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = D.bubble_graph(spark, sf_dir)
+    counts = api.KmerFinder(own, K_LARGE, reverse_kmers=True).create_frequency_index(BUDGET)
+    return _listed(api.get_variant_signatures(own, D.variant_pairs(spark, sf_dir), counts, K_LARGE))
+
+
+def signature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.KmerFinder(D.bubble_graph(spark, sf_dir), K_PAIRS).find_variant_signatures(D.variant_pairs(spark, sf_dir), max_variant_nodes=BUDGET)
+    text = store.signature_text(found, K_PAIRS)
+    return text.select("pair_id", F.array_join("reference", ",").alias("reference"), F.array_join("variant", ",").alias("variant"), "max_frequency")
+
+
 def in_edges_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = graph.add_in_edges(D.bubble_graph(spark, sf_dir))
     listed = own.edges.groupBy(F.col("dst").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("in_ord", "src"))), lambda x: x["src"].cast("string")), ",").alias("in_nodes"))
@@ -132,6 +168,67 @@ def graph_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.to_arrays(D.bubble_graph(spark, sf_dir)).select("node_id", "length", text("codes"), text("edges"), "is_ref", "is_nonempty_ref")
 
 
+def _described(own) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return graph.describe_nodes(own).select("node_id", "seq", "is_ref", text("out_nodes"), text("in_nodes"))
+
+
+def describe_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _described(D.bubble_graph(spark, sf_dir))
+
+
+def edge_list_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = D.chain_graph(spark, sf_dir)
+    listed = store.to_arrays(own).select("node_id", "edges")
+    return _described(literals.from_tables(own.nodes.select("node_id", "seq").join(listed, "node_id"), ref=own.nodes.where("is_ref").select("node_id")))
+
+
+def code_table_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _described(literals.from_code_table(store.to_arrays(D.chain_graph(spark, sf_dir)), ENCODING))
+
+
+def binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "graph")
+    store.write_binary(graph.compress(D.chain_graph(spark, sf_dir)), path)
+    return _described(store.read_binary(spark, path))
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "graph")
+    store.write_graph(D.bubble_graph(spark, sf_dir), path)
+    return _described(store.read_graph(spark, path))
+
+
+def extended_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty node for every tenth site after the nodes that are there."""
+    new = D.sites(spark, sf_dir).where("site % 10 = 0").select("site", F.lit("").alias("seq"), F.lit(False).alias("is_ref"))
+    return literals.add_nodes(D.bubble_graph(spark, sf_dir), new, "site").nodes
+
+
+def extended_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from every tenth site's reference node to that of the next site but one, after the edges that are there."""
+    own = D.bubble_graph(spark, sf_dir)
+    new = D.sites(spark, sf_dir).where("site % 10 = 0").select((F.col("site") * 2).alias("src"), (F.col("site") * 2 + 4).alias("dst"))
+    return literals.add_edges(own, new.join(own.nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi"), "src", "dst").edges
+
+
+def get_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.get_nodes(D.bubble_graph(spark, sf_dir), D.variant_pairs(spark, sf_dir).select(F.col("var_node").alias("node_id")))
+
+
+def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.base_codes(D.bubble_graph(spark, sf_dir).nodes, F.col("node_id").cast("int") % 7)
+
+
+def encoding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.substring(D.bases(F.col("p_partkey").cast("string")), 1, 3), F.when(F.col("p_partkey") % 2 == 0, "t").when(F.col("p_partkey") % 3 == 0, "AC").otherwise("G"))
+    return D.table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("valid", K.is_encoding(F.col("name")))
+
+
+def required_empty_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(graph.required_empty_node_count(D.heap_graph(spark, sf_dir)),)], "n long")
+
+
 def next_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.next_reference(D.bubble_graph(spark, sf_dir))
 
@@ -165,6 +262,14 @@ def gfa_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gfa.from_gfa_lines(D.gfa_lines(spark, sf_dir), compress=False).edges
 
 
+def gfa_dense_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gfa.from_gfa_lines(D.chain_gfa_lines(spark, sf_dir), compress=False).nodes
+
+
+def gfa_compressed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gfa.from_gfa_lines(D.chain_gfa_lines(spark, sf_dir)).nodes
+
+
 def vcf_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vcf.from_vcf_lines(D.vcf_lines(spark, sf_dir)).withColumn("alts", F.array_join("alts", ","))
 
@@ -178,6 +283,18 @@ def fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.contigs(D.fasta_lines(spark, sf_dir)).select("contig", "name", "chrom", F.md5("seq").alias("seq_md5"), F.length("seq").cast("long").alias("length"))
 
 
+def fasta_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta.contig_pieces(D.fasta_lines(spark, sf_dir)).withColumn("text", F.md5("text"))
+
+
+def fasta_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta.contig_pieces(D.fasta_lines(spark, sf_dir), 2).withColumn("text", F.md5("text"))
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return command.build(spark, *D.fasta_vcf_files(spark, sf_dir), new_path(spark, "graph"))
+
+
 def _merged(spark: SparkSession, sf_dir: str):
     return merge.merge(fasta.contig_pieces(D.fasta_lines(spark, sf_dir)), vcf.from_vcf_lines(D.vcf_lines(spark, sf_dir)))
 
@@ -194,14 +311,27 @@ def fasta_vcf_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).edges
 
 
-QUERIES = {f.__name__: f for f in (hash_decode_reverse, pack_kmers, linear_kmer_frequency, distinct_kmers, find_initial, find_spanning, find_max_variants_0, find_reversed, found_kmer_text, kmer_frequency_index, spanning_frequency_index, spanning_node, variant_kmers, kmer_windows, window_pairs_aligned)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(hash_decode_reverse, pack_kmers, encoding_check, linear_kmer_frequency, distinct_kmers),
+        *(find_initial, find_spanning, find_spanning_large, find_max_variants_0, find_reversed, find_one_node, found_kmer_text),
+        *(kmer_frequency_index, spanning_frequency_index, spanning_node, variant_kmers, variant_kmers_large, kmer_windows, window_pairs_aligned),
+        *(signatures_given_frequencies, signatures_wrapper, signature_text),
+        *(in_edges_degrees, root_last_nodes, edge_and_parent, graph_arrays, describe_nodes, get_nodes, base_codes, next_reference, required_empty_node_count),
+        *(compress_nodes, compress_edges, add_empty_nodes, edge_list_graph, code_table_graph, binary_round_trip, stored_graph, extended_nodes, extended_edges),
+        *(gfa_nodes, gfa_edges, gfa_dense_nodes, gfa_compressed_nodes, vcf_normalize, vcf_structural_filter),
+        *(fasta_contigs, fasta_pieces, fasta_chromosome, kept_variants, fasta_vcf_nodes, fasta_vcf_edges, command_line),
+    )
+}
 QUERIES |= {
     "signatures_unaligned": _signatures(False, False),
     "signatures_unaligned_min_overlap": _signatures(True, False),
     "signatures_aligned": _signatures(False, True),
     "signatures_aligned_min_overlap": _signatures(True, True),
+    "signatures_large_unaligned_min_overlap": _signatures(True, False, K_LARGE),
+    "signatures_large_aligned_min_overlap": _signatures(True, True, K_LARGE),
 }
-QUERIES |= {f.__name__: f for f in (in_edges_degrees, root_last_nodes, edge_and_parent, graph_arrays, next_reference, compress_nodes, compress_edges, add_empty_nodes, gfa_nodes, gfa_edges, vcf_normalize, vcf_structural_filter, fasta_contigs, kept_variants, fasta_vcf_nodes, fasta_vcf_edges)}
 
 # ---- SQL ----------------------------------------------------------------------------------------------------------
 
@@ -253,13 +383,12 @@ def _with(*parts: str) -> str:
 _K31 = _with(_GRAPH, _occurrences(K_LARGE, BUDGET))
 _K5 = _with(_GRAPH, _occurrences(K_SMALL, BUDGET))
 
-#: Windows of both nodes of each pair: k-mers in order of discovery, with the frequencies of the same graph.
-_WINDOWS = (
-    _with(_GRAPH, _occurrences(K_PAIRS, BUDGET))
-    + f""",
+def _windows_sql(k: int = K_PAIRS, freq: str = "SELECT s, count(*) AS n FROM occ GROUP BY s", item: str = _hash("s")) -> str:
+    """freq: frequencies (s, n); item: what stands for a k-mer s in the lists."""
+    return f"""{_with(_GRAPH, _occurrences(k, BUDGET))},
     pair AS (SELECT site AS pair_id, site * 2 AS ref_node, site * 2 + 1 AS var_node FROM site WHERE alt IS NOT NULL),
     side AS (SELECT pair_id, 'ref' AS side, ref_node AS centre FROM pair UNION ALL SELECT pair_id, 'var', var_node FROM pair),
-    freq AS (SELECT s, count(*) AS n FROM occ GROUP BY s),
+    freq AS ({freq}),
     over_centre AS (SELECT r.* FROM rows r JOIN (SELECT DISTINCT centre FROM side) c ON r.node_id = c.centre),
     live AS (SELECT DISTINCT node_id AS centre, start_node FROM over_centre),
     back(centre, node_id, used, key) AS (
@@ -267,23 +396,22 @@ _WINDOWS = (
         UNION ALL
         SELECT b.centre, e.src, b.used + n.length, list_append(b.key, -e.in_ord)
         FROM back b JOIN edges e ON e.dst = b.node_id JOIN nodes n ON n.node_id = e.src LEFT JOIN live l ON l.centre = b.centre AND l.start_node = e.src
-        WHERE b.used <= {K_PAIRS - 2} AND (n.length = 0 OR l.centre IS NOT NULL)),
+        WHERE b.used <= {k - 2} AND (n.length = 0 OR l.centre IS NOT NULL)),
     keys AS (SELECT b.centre, b.node_id AS start_node, min(b.key) AS key FROM back b JOIN live l ON l.centre = b.centre AND l.start_node = b.node_id GROUP BY ALL),
     found AS (SELECT o.node_id AS centre, o.start_position, o.kmer_position, o.s, k.key, o.ords, o.p, coalesce(f.n, 0) AS n
               FROM over_centre o JOIN keys k ON k.centre = o.node_id AND k.start_node = o.start_node LEFT JOIN freq f ON f.s = o.s),
-    grouped AS (SELECT centre, start_position, kmer_position, list({_hash('s')} ORDER BY key, ords, p) AS kmers, max(n)::BIGINT AS max_frequency,
+    grouped AS (SELECT centre, start_position, kmer_position, list({item} ORDER BY key, ords, p) AS kmers, max(n)::BIGINT AS max_frequency,
                        arg_min(row(key, ords, p), row(key, ords, p)) AS first
                 FROM found GROUP BY ALL),
     numbered AS (SELECT *, (row_number() OVER (PARTITION BY centre ORDER BY first) - 1)::INT AS window_no FROM grouped),
     windows AS (SELECT s.pair_id, s.side, g.centre AS node_id, g.window_no AS "window", g.start_position, g.kmer_position, g.kmers, g.max_frequency
                 FROM numbered g JOIN side s ON s.centre = g.centre)
     """
-)
 
-_ALIGNED = (
-    _WINDOWS
-    + f""",
-    sized AS (SELECT w.*, w.kmer_position - w.start_position AS l, {K_PAIRS} + w.start_position - n.length - w.kmer_position AS r FROM windows w JOIN nodes n ON n.node_id = w.node_id),
+
+def _aligned_sql(k: int = K_PAIRS) -> str:
+    return f"""{_windows_sql(k)},
+    sized AS (SELECT w.*, w.kmer_position - w.start_position AS l, {k} + w.start_position - n.length - w.kmer_position AS r FROM windows w JOIN nodes n ON n.node_id = w.node_id),
     aligned AS (SELECT a.pair_id, a."window" AS ref_window, b."window" AS var_window, a.kmers AS reference_kmers, b.kmers AS variant_kmers,
                        a.max_frequency + b.max_frequency AS max_frequency, sqrt(a.max_frequency ** 2 + b.max_frequency ** 2) AS hypotenuse_frequency
                 FROM sized a JOIN sized b ON a.pair_id = b.pair_id AND a.side = 'ref' AND b.side = 'var' AND (a.l = b.l OR a.r = b.r)),
@@ -294,19 +422,26 @@ _ALIGNED = (
                SELECT a.pair_id, a.ref_window, a.var_window FROM each_var a JOIN each_ref b ON a.pair_id = b.pair_id AND a.kmer = b.kmer AND (a.ref_window, a.var_window) <> (b.ref_window, b.var_window)),
     overlap_counts AS (SELECT pair_id, ref_window, var_window, count(*) AS overlap FROM shared GROUP BY ALL)
     """
-)
 
 
-def _signature_sql(minimize: bool, align: bool) -> str:
+_TAIL = """
+        both_sides AS (SELECT p.pair_id, max_frequency, hypotenuse_frequency, 'ref' AS side, reference_kmers AS kmers FROM pair p LEFT JOIN best USING (pair_id)
+                 UNION ALL SELECT p.pair_id, max_frequency, hypotenuse_frequency, 'var', variant_kmers FROM pair p LEFT JOIN best USING (pair_id))
+        SELECT pair_id, max_frequency, hypotenuse_frequency, side, ord::INT AS ord, kmers[ord + 1] AS kmer
+        FROM (SELECT *, unnest(CASE WHEN coalesce(len(kmers), 0) = 0 THEN [NULL] ELSE range(0, len(kmers)) END) AS ord FROM both_sides)"""
+
+
+def _signature_sql(minimize: bool, align: bool, k: int = K_PAIRS, **windows: str) -> str:
+    """WITH clauses up to best: the signature of each pair."""
     if align:
         rank = f"{'coalesce(o.overlap, 0)' if minimize else '0'}, a.hypotenuse_frequency, a.ref_window, a.var_window"
         best = f"""
             best AS (SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY a.pair_id ORDER BY {rank}) AS n
                      FROM aligned a LEFT JOIN overlap_counts o USING (pair_id, ref_window, var_window)) WHERE n = 1)"""
-        head = _ALIGNED
+        head = _aligned_sql(k)
     else:
         head = (
-            _WINDOWS
+            _windows_sql(k, **windows)
             + """,
             each AS (SELECT pair_id, side, "window", unnest(kmers) AS kmer FROM windows),
             overlap_counts AS (SELECT a.pair_id, a.side, a."window", count(*) AS overlap FROM each a JOIN each b ON a.pair_id = b.pair_id AND a.side <> b.side AND a.kmer = b.kmer GROUP BY ALL)
@@ -319,11 +454,7 @@ def _signature_sql(minimize: bool, align: bool) -> str:
             best AS (SELECT pair_id, a.kmers AS reference_kmers, b.kmers AS variant_kmers, a.max_frequency + b.max_frequency AS max_frequency,
                             sqrt(a.max_frequency ** 2 + b.max_frequency ** 2) AS hypotenuse_frequency
                      FROM (SELECT * FROM picked WHERE side = 'ref') a FULL JOIN (SELECT * FROM picked WHERE side = 'var') b USING (pair_id))"""
-    return f"""{head}, {best},
-        both_sides AS (SELECT p.pair_id, max_frequency, hypotenuse_frequency, 'ref' AS side, reference_kmers AS kmers FROM pair p LEFT JOIN best USING (pair_id)
-                 UNION ALL SELECT p.pair_id, max_frequency, hypotenuse_frequency, 'var', variant_kmers FROM pair p LEFT JOIN best USING (pair_id))
-        SELECT pair_id, max_frequency, hypotenuse_frequency, side, ord::INT AS ord, kmers[ord + 1] AS kmer
-        FROM (SELECT *, unnest(CASE WHEN coalesce(len(kmers), 0) = 0 THEN [NULL] ELSE range(0, len(kmers)) END) AS ord FROM both_sides)"""
+    return f"{head}, {best}"
 
 
 _VCF = """
@@ -397,17 +528,77 @@ ORACLES: dict[str, str] = {
         SELECT pair_id, side, {_hash('s')} AS kmer, node_id, start_position, kmer_position FROM rows JOIN side ON node_id = centre
     """,
     "kmer_windows": f"""
-        {_WINDOWS} SELECT pair_id, side, node_id, "window", start_position, kmer_position, max_frequency, (i - 1)::INT AS ord, kmers[i] AS kmer
+        {_windows_sql()} SELECT pair_id, side, node_id, "window", start_position, kmer_position, max_frequency, (i - 1)::INT AS ord, kmers[i] AS kmer
         FROM (SELECT *, unnest(range(1, len(kmers) + 1)) AS i FROM windows)
     """,
     "window_pairs_aligned": f"""
-        {_ALIGNED} SELECT pair_id, ref_window, var_window, max_frequency, hypotenuse_frequency, coalesce(overlap, 0)::BIGINT AS overlap
+        {_aligned_sql()} SELECT pair_id, ref_window, var_window, max_frequency, hypotenuse_frequency, coalesce(overlap, 0)::BIGINT AS overlap
         FROM aligned LEFT JOIN overlap_counts USING (pair_id, ref_window, var_window)
     """,
-    "signatures_unaligned": _signature_sql(False, False),
-    "signatures_unaligned_min_overlap": _signature_sql(True, False),
-    "signatures_aligned": _signature_sql(False, True),
-    "signatures_aligned_min_overlap": _signature_sql(True, True),
+    "signatures_unaligned": _signature_sql(False, False) + "," + _TAIL,
+    "signatures_unaligned_min_overlap": _signature_sql(True, False) + "," + _TAIL,
+    "signatures_aligned": _signature_sql(False, True) + "," + _TAIL,
+    "signatures_aligned_min_overlap": _signature_sql(True, True) + "," + _TAIL,
+    "signatures_large_unaligned_min_overlap": _signature_sql(True, False, K_LARGE) + "," + _TAIL,
+    "signatures_large_aligned_min_overlap": _signature_sql(True, True, K_LARGE) + "," + _TAIL,
+    "signatures_given_frequencies": _signature_sql(
+        False, False, freq=f"""SELECT s, count(*) AS n FROM (SELECT substring(t, p, {K_PAIRS}) AS s FROM (SELECT t, unnest(range(1, length(t) - {K_PAIRS - 2})) AS p
+                                FROM (SELECT regexp_replace(upper(text), '[^ACGT]', '', 'g') AS t FROM documents) WHERE length(t) >= {K_PAIRS})) GROUP BY s"""
+    ) + "," + _TAIL,
+    "signatures_wrapper": _signature_sql(True, False, K_LARGE, item=_hash("reverse(s)")) + "," + _TAIL,
+    "signature_text": _signature_sql(False, False, item="s")
+    + """ SELECT pair_id, coalesce(array_to_string(reference_kmers, ','), '') AS reference, coalesce(array_to_string(variant_kmers, ','), '') AS variant, max_frequency
+          FROM pair LEFT JOIN best USING (pair_id)""",
+    "find_spanning_large": f"{_K31} SELECT {_hash('s')} AS kmer, node_id, start_position, kmer_position FROM rows",
+    "find_one_node": f"{_K31} SELECT {_hash('s')} AS kmer, node_id, start_position, kmer_position FROM rows WHERE node_id = 21",
+    "variant_kmers_large": f"""
+        {_K31},
+        side AS (SELECT site AS pair_id, 'ref' AS side, site * 2 AS centre FROM site WHERE alt IS NOT NULL UNION ALL SELECT site, 'var', site * 2 + 1 FROM site WHERE alt IS NOT NULL)
+        SELECT pair_id, side, {_hash('s')} AS kmer, node_id, start_position, kmer_position FROM rows JOIN side ON node_id = centre
+    """,
+    "encoding_check": """
+        SELECT p_partkey, name, length(name) = 4 AND contains(upper(name), 'A') AND contains(upper(name), 'C') AND contains(upper(name), 'G') AND contains(upper(name), 'T') AS valid
+        FROM (SELECT p_partkey, translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT')[1:3] || CASE WHEN p_partkey % 2 = 0 THEN 't' WHEN p_partkey % 3 = 0 THEN 'AC' ELSE 'G' END AS name FROM part)
+    """,
+    "describe_nodes": f"""
+        WITH {_GRAPH} SELECT node_id, seq, is_ref, coalesce((SELECT string_agg(dst::VARCHAR, ',' ORDER BY out_ord) FROM edges WHERE src = node_id), '') AS out_nodes,
+        coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY in_ord) FROM edges WHERE dst = node_id), '') AS in_nodes FROM nodes
+    """,
+    "get_nodes": f"WITH {_GRAPH} SELECT * FROM nodes WHERE NOT is_ref",
+    "base_codes": f"""
+        WITH {_GRAPH} SELECT node_id, CASE WHEN node_id % 7 < length THEN translate(substring(seq, (node_id % 7 + 1)::INT, 1), 'ACGT', '0123')::INT END AS code FROM nodes
+    """,
+    "required_empty_node_count": """
+        WITH RECURSIVE edge AS (SELECT p_partkey AS src, d AS dst FROM part, LATERAL (VALUES (p_partkey * 2), (p_partkey * 2 + 1), (p_partkey * 3)) t(d) WHERE d > p_partkey AND d IN (SELECT p_partkey FROM part)),
+        root AS (SELECT min(p_partkey) AS i FROM part WHERE p_partkey NOT IN (SELECT dst FROM edge)), last AS (SELECT min(p_partkey) AS i FROM part WHERE p_partkey NOT IN (SELECT src FROM edge)),
+        walk(i, d) AS (SELECT i, 0 FROM root UNION SELECT e.dst, w.d + 1 FROM walk w JOIN edge e ON e.src = w.i)
+        SELECT coalesce(max(d) - min(d), 0)::BIGINT AS n FROM walk WHERE i = (SELECT i FROM last)
+    """,
+    "edge_list_graph": f"""
+        WITH RECURSIVE {_CHAINS} SELECT i AS node_id, seq, is_ref, coalesce((SELECT string_agg(dst::VARCHAR, ',' ORDER BY out_ord) FROM edge WHERE src = i), '') AS out_nodes,
+        coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src) FROM edge WHERE dst = i), '') AS in_nodes FROM bits
+    """,
+    "code_table_graph": f"""
+        WITH RECURSIVE {_CHAINS} SELECT i AS node_id, translate(seq, 'ACGT', '{ENCODING}') AS seq, is_ref, coalesce((SELECT string_agg(dst::VARCHAR, ',' ORDER BY out_ord) FROM edge WHERE src = i), '') AS out_nodes,
+        coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src) FROM edge WHERE dst = i), '') AS in_nodes FROM bits
+    """,
+    "binary_round_trip": f"""
+        WITH RECURSIVE {_CHAINS},
+        whole AS (SELECT new_id, string_agg(seq, '' ORDER BY n) AS seq, arg_min(is_ref, n) AS is_ref FROM located JOIN bits USING (i) GROUP BY new_id),
+        outer_edge AS (SELECT a.new_id AS src, b.new_id AS dst, out_ord FROM edge JOIN located a ON a.i = src JOIN located b ON b.i = dst WHERE NOT (a.head = b.head AND b.n = a.n + 1))
+        SELECT new_id AS node_id, seq, is_ref, coalesce((SELECT string_agg(dst::VARCHAR, ',' ORDER BY out_ord) FROM outer_edge WHERE src = new_id), '') AS out_nodes,
+        coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src) FROM outer_edge WHERE dst = new_id), '') AS in_nodes FROM whole
+    """,
+    "extended_nodes": f"""
+        WITH {_GRAPH} SELECT * FROM nodes UNION ALL SELECT (SELECT max(node_id) FROM nodes) + row_number() OVER (ORDER BY site), '', 0, false, NULL FROM site WHERE site % 10 = 0
+    """,
+    "extended_edges": f"""
+        WITH {_GRAPH} SELECT * FROM edges UNION ALL SELECT site * 2, site * 2 + 4, (SELECT count(*) FROM edges WHERE src = site * 2)::INT, (SELECT count(*) FROM edges WHERE dst = site * 2 + 4)::INT
+        FROM site WHERE site % 10 = 0 AND site + 2 IN (SELECT site FROM site)
+    """,
+    "gfa_dense_nodes": f"""
+        WITH RECURSIVE {_CHAINS} SELECT i - (SELECT min(i) FROM bits) AS node_id, seq, length(seq)::INT AS length, is_ref, CASE WHEN is_ref THEN 0::BIGINT END AS ref_index FROM bits
+    """,
     "in_edges_degrees": f"""
         WITH {_GRAPH} SELECT node_id, (SELECT count(*) FROM edges WHERE src = node_id) AS out_degree, (SELECT count(*) FROM edges WHERE dst = node_id) AS in_degree,
         coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY in_ord) FROM edges WHERE dst = node_id), '') AS in_nodes FROM nodes
@@ -462,6 +653,15 @@ _CONTIGS = """
     contig AS (SELECT c::INT AS chrom, string_agg(CASE WHEN i % 5 = 0 THEN lower(b) WHEN i % 11 = 0 THEN b || 'Nn' ELSE b END, '' ORDER BY i) AS seq FROM letters GROUP BY c)
 """
 
+
+def _pieces_sql(which: str) -> str:
+    return f"""
+        WITH {_CONTIGS} SELECT (chrom - 1) * ((SELECT count(*) FROM part) + 1) AS contig, chrom || ' contig' AS name, chrom, length(seq)::BIGINT AS n, i AS piece,
+        md5(substring(seq, (i * {fasta.PIECE} + 1)::INT, {fasta.PIECE})) AS text
+        FROM (SELECT *, unnest(range(0, (length(seq) - 1) // {fasta.PIECE} + 1)) AS i FROM contig) WHERE {which}
+    """
+
+
 _MERGED = f"""
     {_VCF}, {_KEPT}, {_CONTIGS},
     site AS (SELECT k.*, coalesce(lag(pos + length(ref)) OVER w, 0) AS prev, row_number() OVER w AS site, string_split(alts, ',') AS alt_list
@@ -477,6 +677,11 @@ _MERGED = f"""
 """
 
 ORACLES |= {
+    "stored_graph": ORACLES["describe_nodes"],
+    "gfa_compressed_nodes": ORACLES["compress_nodes"],
+    "command_line": f"WITH RECURSIVE {_MERGED} SELECT count(*) AS n_nodes FROM numbered",
+    "fasta_pieces": _pieces_sql("true"),
+    "fasta_chromosome": _pieces_sql("chrom = 2"),
     "fasta_contigs": f"""
         WITH {_CONTIGS} SELECT (chrom - 1) * ((SELECT count(*) FROM part) + 1) AS contig, chrom || ' contig' AS name, chrom, md5(seq) AS seq_md5, length(seq) AS length FROM contig
     """,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import DEFAULT_ENCODING, check_encoding
 from kmerloom.plans.model import EDGES, NODES, SequenceGraph, node_table, with_in_order
+from kmerloom.plans.numbering import number_rows
 
 
 def from_lists(spark: SparkSession, sequences: Sequence[str], edges: Sequence[Sequence[int]], encoding: str = DEFAULT_ENCODING, ref: Iterable[int] | None = None) -> SequenceGraph:
@@ -43,8 +45,37 @@ def from_codes(spark: SparkSession, codes: Sequence[Sequence[int]], edges: Seque
     return from_lists(spark, ["".join(order[int(c)] for c in own) for own in codes], edges, encoding, [i for i, r in enumerate(is_ref) if r])
 
 
+def from_code_table(table: DataFrame, encoding: str = DEFAULT_ENCODING) -> SequenceGraph:
+    """The same as from_codes() from a table (node_id, codes array, edges array, is_ref), as to_arrays() gives it."""
+    order = check_encoding(encoding)
+    letters = F.array(*(F.lit(c) for c in order))
+    own = table.select("node_id", F.array_join(F.transform("codes", lambda c: F.get(letters, c)), "").alias("seq"), "edges", "is_ref")
+    links = own.select(F.col("node_id").cast("long").alias("src"), F.posexplode("edges").alias("out_ord", "dst")).withColumn("dst", F.col("dst").cast("long"))
+    return SequenceGraph(node_table(own), with_in_order(links), encoding)
+
+
+def add_nodes(graph: SequenceGraph, table: DataFrame, *order: str) -> SequenceGraph:
+    """The graph with nodes (seq, is_ref) of a table after its own, ids counting on in the given order, without ties."""
+    top = graph.nodes.agg(F.coalesce(F.max("node_id"), F.lit(-1)).alias("top"))
+    new = number_rows(table.select(*dict.fromkeys(("seq", "is_ref", *order))), "i", *order).crossJoin(F.broadcast(top))  # one row
+    return graph.with_tables(graph.nodes.unionByName(node_table(new.withColumn("node_id", F.col("i") + F.col("top") + 1))), graph.edges)
+
+
+def add_edges(graph: SequenceGraph, table: DataFrame, *order: str) -> SequenceGraph:
+    """The graph with edges (src, dst) of a table after those that the nodes' lists have, in the given order."""
+    new = table.select("src", "dst", *(c for c in order if c not in ("src", "dst")))
+    for end, place in (("src", "out_ord"), ("dst", "in_ord")):
+        had = graph.edges.groupBy(end).agg((F.max(place) + 1).alias("_had"))
+        at = F.row_number().over(W.partitionBy(end).orderBy(*order)) - 1
+        new = new.withColumn(place, at).join(had, end, "left").withColumn(place, (F.col(place) + F.coalesce("_had", F.lit(0))).cast("int")).drop("_had")
+    return graph.with_tables(graph.nodes, graph.edges.unionByName(new.select("src", "dst", "out_ord", "in_ord")))
+
+
 class GraphBuilder:
-    """Collects nodes and edges; ids are dense, in the order of adding."""
+    """Collects nodes and edges one by one on the driver, for small graphs; ids are dense, in the order of adding.
+
+    add_nodes() and add_edges() do the same with tables.
+    """
 
     def __init__(self, encoding: str = DEFAULT_ENCODING):
         self.encoding = check_encoding(encoding)

@@ -67,19 +67,52 @@ def read_binary(spark: SparkSession, path: str) -> SequenceGraph:
     return SequenceGraph(nodes, with_in_order(links), order[0] if order else "ACGT")
 
 
-def write_binary(graph: SequenceGraph, path: str) -> None:
-    """The graph as one binary file on the driver's disk; node ids must be dense. It streams nodes in order of id."""
+def binary_nodes(graph: SequenceGraph) -> DataFrame:
+    """(node_id, record): each node as the binary file has it."""
     order = graph.edges.groupBy(F.col("src").alias("node_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("out_ord", "dst"))), lambda x: x["dst"]).alias("edges"))
-    rows = graph.nodes.join(order, "node_id", "left").withColumn("codes", digits(F.col("seq"), graph.encoding)).orderBy("node_id")
-    with open(path, "wb") as out:
-        out.write(MAGIC + bytes([VERSION]) + graph.encoding.encode() + struct.pack("<I", graph.nodes.count()))
-        for i, row in enumerate(rows.select("node_id", "codes", "edges", "is_ref").toLocalIterator()):
-            if row.node_id != i or len(row.edges or ()) > 255:
-                raise ValueError("the format needs dense ids and at most 255 edges a node")
-            words = [row.codes[a : a + 32].ljust(32, "0") for a in range(0, len(row.codes), 32)]
-            out.write(struct.pack("<II", len(row.codes), len(words)) + struct.pack(f"<{len(words)}Q", *(int(w, 4) for w in words)))
-            own = row.edges or []
-            out.write(bytes([len(own)]) + struct.pack(f"<{len(own)}I", *own) + bytes([row.is_ref]))
+    rows = graph.nodes.join(order, "node_id", "left").select("node_id", digits(F.col("seq"), graph.encoding).alias("codes"), "edges", "is_ref")
+
+    def pack(frames):
+        for frame in frames:
+            records = []
+            for codes, edges, is_ref in zip(frame["codes"], frame["edges"], frame["is_ref"], strict=True):
+                own = [] if edges is None else list(edges)
+                if len(own) > 255:
+                    raise ValueError("the format has at most 255 edges a node")
+                words = [int(codes[a : a + 32].ljust(32, "0"), 4) for a in range(0, len(codes), 32)]
+                records.append(struct.pack(f"<II{len(words)}QB{len(own)}IB", len(codes), len(words), *words, len(own), *own, is_ref))
+            yield pd.DataFrame({"node_id": frame["node_id"], "record": records})
+
+    return rows.mapInPandas(pack, "node_id long, record binary")
+
+
+def write_binary(graph: SequenceGraph, path: str) -> None:
+    """The graph as one binary file on any file system that Spark reaches; node ids must be dense.
+
+    Tasks pack the nodes and sort them; the driver passes the packed records on to the one file, a partition at a time,
+    and puts it into place when it is whole. write_graph() is the way without one file.
+    """
+    spark = graph.spark
+    n, top = graph.nodes.agg(F.count("*"), F.coalesce(F.max("node_id"), F.lit(-1))).first()
+    if top + 1 != n:
+        raise ValueError("the format needs dense ids")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, part = hadoop.Path(path), hadoop.Path(f"{path}.part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    try:
+        buffer = bytearray(MAGIC + bytes([VERSION]) + graph.encoding.encode() + struct.pack("<I", n))
+        for row in cut(binary_nodes(graph).orderBy("node_id"), "binary").orderBy("node_id").select("record").toLocalIterator():
+            buffer += row.record
+            if len(buffer) >= 1 << 20:
+                out.write(buffer)
+                buffer = bytearray()
+        out.write(buffer)
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot write {path}")
 
 
 def kmer_lines(rows: DataFrame) -> DataFrame:

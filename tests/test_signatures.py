@@ -9,6 +9,7 @@ from kmerloom.functions.kmers import hash_text
 from kmerloom.operators.signatures import kmer_windows, window_pairs
 from kmerloom.sources.literals import from_lists
 
+# Frequencies and the signatures that follow from them.
 SEVENS = "GATAC TATAC GATCT TATCT ATACT ATCTA TACTC TCTAC ACTCT CTACT CTCTG TACTG TCTGC ACTGC".split()
 FIRST = {"GGATA": 2, "GTATA": 4, "GGATC": 2, "GTATC": 3} | dict.fromkeys(SEVENS, 7)
 SECOND = FIRST | {"GTATA": 5, "ACTCT": 4, "CTACT": 3}
@@ -96,6 +97,19 @@ def test_pair_without_windows_keeps_its_row(spark):
     assert (got.reference_kmers, got.variant_kmers, got.max_frequency) == ([], [], None)
 
 
+def test_each_limit_has_its_own_frequencies(spark):
+    seqs, edges, ref = ["ACG", "A", "C", "G", "T", "GAT"], [[1, 2], [3, 4], [3, 4], [5], [5], []], [0, 1, 3, 5]
+    graph = from_lists(spark, seqs, edges, ref=ref)
+    finder = KmerFinder(graph, 3)
+    for most in (1, 2, 1):
+        got = finder.find_variant_signatures([1], [2], max_variant_nodes=most).first()
+        assert got == KmerFinder(graph, 3).find_variant_signatures([1], [2], max_variant_nodes=most).first()
+        want = Counter(hash_text(x) for _, _, x in brute.occurrences(seqs, edges, ref, 3, most))
+        assert {r.kmer: r.frequency for r in finder.create_frequency_index(most, set_index=False).collect()} == want
+    turned = KmerFinder(graph, 3, reverse_kmers=True).create_frequency_index(2)
+    assert {r.kmer: r.frequency for r in turned.collect()} == Counter(hash_text(x[::-1]) for _, _, x in brute.occurrences(seqs, edges, ref, 3, 2))
+
+
 def test_wrapper_reverses_keys_and_results(spark):
     graph = from_lists(spark, ["ACTG", "A", "G", "CCCC"], [[1, 2], [3], [3], []], ref=[0, 1, 3])
     pairs = spark.createDataFrame([(0, 1, 2)], "pair_id long, ref_node long, var_node long")
