@@ -30,16 +30,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); unset, as in local tests, a temporary one."""
+    """The folder that driver and executors share (spark.checkpoint.dir); unset, a local session gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder; what is written there goes when the driver ends, if not before."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like the given one that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -56,6 +71,14 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """A number with the bits that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 # ---- Arrow text as bytes ------------------------------------------------------------------------------------------
 
 
@@ -84,9 +107,9 @@ def ids_of(column) -> np.ndarray:
     return np.asarray(array, dtype=np.int64)
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """(first, end) document ranges of at most limit bytes, or one document."""
-    n, a = len(offsets) - 1, 0
+def chunks(offsets: np.ndarray, limit: int | None = None):
+    """(first, end) document ranges of at most limit bytes (CHUNK_BYTES), or one document."""
+    n, a, limit = len(offsets) - 1, 0, limit or CHUNK_BYTES
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         yield a, min(b, n)

@@ -1,10 +1,12 @@
 """Repeated windows of units (words, lines) over a whole corpus, first occurrence kept.
 
-Documents are dealt once into blocks by a hash of their id; that one exchange of texts feeds every pass. A block sends
+Documents are dealt once into blocks by a hash of their id, text and other columns; that one exchange of texts feeds
+every pass. The number of blocks follows from the bytes of text, so a block stays as small at any size. A block sends
 each distinct window hash once, however often it stands in the block, so a passage that a third of all documents share
-costs one entry a block. Buckets of hashes answer each block with those of its hashes whose first occurrence lies in
-another block; what repeats inside a block is settled there. Windows are compared by 128 bits of hash; answers name them
-by 96, enough within a block. Ids travel by byte place, so that their common high bytes compress away.
+costs one entry a block. Buckets of hashes, as many as the text needs, answer each block with those of its hashes whose
+first occurrence lies in another block; what repeats inside a block is settled there. A block sends a row to a bucket
+only if it has hashes for it, so there are never more rows than hashes. Windows are compared by 128 bits of hash;
+answers name them by 96, enough within a block. Ids travel by byte place, so that their common high bytes compress away.
 """
 
 from __future__ import annotations
@@ -17,14 +19,23 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm import _common as C
 
-#: Blocks for each shuffle partition.
-BLOCKS = 4
+#: Bytes of text in a block, and bytes of text whose hashes go to one bucket.
+BLOCK_BYTES, BUCKET_BYTES = 1 << 22, 1 << 24
 _NONE = np.zeros(0, np.uint64)
 
 
-def blocked(docs: DataFrame, id_col: str) -> DataFrame:
+def blocked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, int]:
+    """docs dealt into blocks, the name of the column that tells them, and the number of buckets.
+
+    There are at least as many blocks and buckets as shuffle partitions, so that every task has some. Rows of one id,
+    or of none, are dealt by their texts, and copies by the plain columns beside; only rows that repeat all of these lie
+    in one block.
+    """
     n = C.shuffle_partitions(docs.sparkSession)
-    return docs.withColumn("_blk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(BLOCKS * n))).repartition(n, "_blk")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    plain = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and kind in ("string", "bigint", "int", "boolean", "date", "timestamp")]
+    own, blk = F.xxhash64(id_col, text_col, *plain), C.free_name(docs, "blk")
+    return docs.withColumn(blk, F.pmod(own, F.lit(max(n, -(-size // BLOCK_BYTES))))).repartition(n, blk), blk, max(n, -(-size // BUCKET_BYTES))
 
 
 class Block:
@@ -154,8 +165,7 @@ def remove_later(docs: DataFrame, split, length: int, finish, schema: str, id_co
     first units, and which units are marked, to an Arrow table of the given schema. cover: (period, positions, anchor
     length) of a difference cover; then only windows that hold a repeated anchor are sent.
     """
-    buckets = C.shuffle_partitions(docs.sparkSession)
-    base = blocked(docs, id_col)
+    base, blk, buckets = blocked(docs, id_col, text_col)
 
     def load(table):
         return Block(table, split, id_col, text_col)
@@ -204,12 +214,12 @@ def remove_later(docs: DataFrame, split, length: int, finish, schema: str, id_co
         starts = block.starts(length)
         h1, h2 = block.hashes(starts, length)
         later = C.later_local(h1, h2) | C.lookup(h1, _short(h2), *answered(elsewhere))
-        return finish(block.table.drop_columns(["_blk"]), block.first, C.covered(len(block.units[0]), starts[later], length))
+        return finish(block.table.drop_columns([blk]), block.first, C.covered(len(block.units[0]), starts[later], length))
 
     if cover:
-        anchors = base.groupBy("_blk").applyInArrow(ask_anchors, ASKED).groupBy("bucket").applyInArrow(answer_repeated, ANSWER)
-        asked = base.groupBy("_blk").cogroup(anchors.groupBy("_blk")).applyInArrow(ask_candidates, ASKED)
+        anchors = base.groupBy(blk).applyInArrow(ask_anchors, ASKED).groupBy("bucket").applyInArrow(answer_repeated, ANSWER)
+        asked = base.groupBy(blk).cogroup(anchors.groupBy("_blk")).applyInArrow(ask_candidates, ASKED)
     else:
-        asked = base.groupBy("_blk").applyInArrow(ask_all, ASKED)
+        asked = base.groupBy(blk).applyInArrow(ask_all, ASKED)
     later = asked.groupBy("bucket").applyInArrow(answer_later, ANSWER)
-    return base.groupBy("_blk").cogroup(later.groupBy("_blk")).applyInArrow(close, schema)
+    return base.groupBy(blk).cogroup(later.groupBy("_blk")).applyInArrow(close, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from array import array
 from functools import lru_cache
 
@@ -23,8 +24,21 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _by_stretch(path: str) -> bool:
+    """Whether the tokenizer file lower-cases, drops white space and is a word-end BPE, and adds no tokens with white space."""
+    with open(path, encoding="utf-8") as handle:
+        own = json.load(handle)
+    steps = lambda x: [y for y in (x.get(k) for k in ("normalizers", "pretokenizers")) if y][0] if "Sequence" == x.get("type") else [x]
+    kinds = [x.get("type") for x in steps(own.get("normalizer") or {})]
+    splits = [x for x in steps(own.get("pre_tokenizer") or {}) if x.get("type") == "Split"]
+    removed = any(x.get("behavior") == "Removed" or (x.get("behavior") == "Isolated" and x.get("invert")) for x in splits)
+    added = all(not any(c.isspace() for c in t["content"]) and not t.get("lstrip") and not t.get("rstrip") for t in own.get("added_tokens", []))
+    return "Lowercase" in kinds and removed and added and bool(own["model"].get("end_of_word_suffix"))
+
+
 class Encoder(dict):
-    """Token ids (uint32 bytes) by stretch between blanks, for tokenizers that lower-case and drop white space.
+    """Token ids (uint32 bytes) by stretch between blanks, for tokenizers that lower-case and drop white space; any other
+    is asked for whole texts.
 
     Such a tokenizer never joins characters across white space, so ids of a text are the ids of its stretches, one after
     the other. Stretches repeat, and each is then encoded once. In texts of Latin-1 letters, where lower case is the same
@@ -36,6 +50,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_stretch = _by_stretch(path)
         self.model = self.tokenizer.model
         self.seen = bytearray(CACHE_MARKS)
         self.small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
@@ -58,6 +73,8 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.by_stretch:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if "<|" not in text:  # else it may hold a special token, whose case counts
             try:
                 low = text.encode("latin-1").translate(_LOWER)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Turns that one rendered row spans.
 BLOCK = 64
+#: Stands for the block of null turns in joins; no turn has it.
+NO_TURN = -(1 << 62)
 HEAD, TAIL = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -19,11 +21,13 @@ def rotate_perspectives(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     end marks, the ones a loss mask keeps. Null roles are named unknown and null or empty texts are empty messages.
     Rows that repeat all four columns are one message. Rows without conv_id are no conversation and are left out.
 
-    A row covers the turns of one block (turn div block), so a conversation of any length stays in bounded rows; blocks
-    follow each other. Texts are shuffled once, by (conv_id, block); roles are gathered per conversation without them.
+    A row covers the turns of one block (turn / block, rounded down; null turns are a block of their own, null), so a
+    conversation of any length, and of texts of any length, stays in rows of so many turns. Dialogues of the blocks
+    follow each other, null first; spans count from the start of the row's own. Texts are shuffled once, by (conv_id,
+    block); roles are gathered per conversation without them. An empty table gives none.
     """
     base = turns.where("conv_id IS NOT NULL").select(
-        "conv_id", F.expr(f"coalesce(turn div {block}, -1)").alias("block"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", F.expr(f"coalesce((turn - pmod(turn, {block})) div {block}, {NO_TURN}L)").alias("block"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     roles = base.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
     keys = base.select("conv_id", "block").distinct().join(roles, "conv_id")
@@ -39,4 +43,4 @@ def rotate_perspectives(turns: DataFrame, block: int = BLOCK) -> DataFrame:
             s -> s.spans)
     """
     dialogue = F.array_join(F.expr("transform(parts, x -> concat(x.head, x.body))"), "")
-    return parts.select("conv_id", "perspective", "block", F.size("messages").cast("long").alias("n_turns"), dialogue.alias("dialogue"), F.expr(walk).alias("spans"))
+    return parts.select("conv_id", "perspective", F.nullif(F.col("block"), F.lit(NO_TURN)).alias("block"), F.size("messages").cast("long").alias("n_turns"), dialogue.alias("dialogue"), F.expr(walk).alias("spans"))

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from kmerloom.llm import _common as C
 
 
+#: Parts that the links of one node are dealt into where they join its least neighbour; Spark splits larger ones further.
+PARTS = 4
+
+
+def _salted(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links with the row of least for their a, dealt by a and a part of b, so that no task has all links of a node."""
+    own = links.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    return own.join(least.withColumn("part", F.explode(F.array(*(F.lit(i).cast("long") for i in range(PARTS))))), ["a", "part"]).drop("part")
+
+
 def _stars(links: DataFrame, small: bool) -> DataFrame:
     """links: a > b. Hang the larger (small: the smaller) neighbours of each node on the least of its neighbourhood."""
     if small:
         least = links.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = links.join(least, "a")
-        out = pairs.select(F.col("b").alias("a"), "m").unionByName(least.select("a", "m"))
+        out = _salted(links, least).select(F.col("b").alias("a"), "m").unionByName(least.select("a", "m"))
     else:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("n")).select("a", F.least("a", "n").alias("m"))
-        out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), "m")
+        out = _salted(both, least).where("b > a").select(F.col("b").alias("a"), "m")
     return out.select("a", F.col("m").alias("b")).where("a > b").distinct()
 
 
@@ -30,7 +39,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     links = C.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
-    while True:
+    while not links.isEmpty():
         path = links.inputFiles()[0].rsplit("/", 1)[0] if state is not None and links.inputFiles() else None
         after = C.materialize(_stars(_stars(links, False), True), "stars")
         new = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

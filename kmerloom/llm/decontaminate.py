@@ -1,8 +1,8 @@
 """Benchmark decontamination over a positional inverted index.
 
 The index is split by document: a segment holds some whole documents and, for each term, the positions of its postings.
-Benchmark windows are looked up a block at a time: in each segment the offset-adjusted position lists of a window are
-intersected from its rarest term on. Segments are bounded by bytes, so a passage or a word that a third of all documents
+Benchmark windows up to a number of words go to every segment, more of them only to segments that have their first term:
+there the offset-adjusted position lists of a window are intersected from its rarest term on. Segments are bounded by bytes, so a passage or a word that a third of all documents
 share is spread over them like the documents are.
 """
 
@@ -18,7 +18,7 @@ from kmerloom.llm import _common as C
 
 #: Words in a window; the share of hit words, as 1 / SHARE, from which a document is contaminated.
 WINDOW, SHARE = 13, 20
-#: Bytes of text in a segment, empty positions between documents, benchmark words looked up at once.
+#: Bytes of text in a segment, empty positions between documents, words of windows that are broadcast.
 SEGMENT_BYTES, GAP, BLOCK_WORDS = 1 << 23, 1 << 10, 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -183,26 +183,38 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     if not 0 <= slop < GAP // 4 or not 0 < window < GAP // 2:
         raise ValueError("window or slop is too large for the gap between documents")
     spark = index.sparkSession
-    asked = C.materialize(windows_of(benchmark, window, item_col, text_col), "windows")
+    asked = C.materialize(windows_of(benchmark, window, item_col, text_col).groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
     total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = int(total) // BLOCK_WORDS + 1
-    found = []
-    for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == k).groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")).collect()  # about BLOCK_WORDS at most
+    kind = "segment string, row long, doc_id long, n_words long, spans array<array<long>>, items array<string>"
+    if blocks == 1:  # of a checked size: the windows go to every task
+        rows = asked.collect()
         windows, items = [np.array(r["terms"], np.int64) for r in rows], [r["items"] for r in rows]
-        vocabulary = sorted({t for x in windows for t in x.tolist()})
         given = spark.sparkContext.broadcast((windows, items))
-
-        terms = spark.createDataFrame([(t,) for t in vocabulary], "term long")
+        terms = spark.createDataFrame([(t,) for t in sorted({t for x in windows for t in x.tolist()})], "term long")
         own = index.where("term IS NULL").unionByName(index.join(F.broadcast(terms), "term", "left_semi").select(index.columns))
-        found.append(own.groupBy("segment").applyInArrow(_lookup(given, slop), "segment string, row long, doc_id long, n_words long, spans array<array<long>>, items array<string>"))
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
-    if len(found) > 1:
-        join = F.udf(lambda x: merged(np.array([s for y in x for s in y], np.int64).reshape(-1, 2)), "array<array<long>>")
-        out = out.groupBy("segment", "row", "doc_id", "n_words").agg(join(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.drop("segment", "row")
+        return own.groupBy("segment").applyInArrow(_lookup(given, slop), kind).drop("segment", "row")
+    # else each segment gets the windows that start with a term it has, over one join for all of them
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    near = index.join(terms, "term", "left_semi").select(index.columns)
+    first = asked.select(F.get("terms", F.lit(0)).alias("term"), "terms", "items")
+    sent = near.select(F.col("segment").alias("lot"), "term").join(first, "term").select("lot", "terms", "items")
+    own = index.where("term IS NULL").unionByName(near)
+    return own.groupBy("segment").cogroup(sent.groupBy("lot")).applyInArrow(_lookup_sent(slop), kind).drop("segment", "row")
+
+
+def _lookup_sent(slop: int):
+    """Searches one segment for the windows that are sent along."""
+
+    class Given:
+        def __init__(self, value):
+            self.value = value
+
+    def look(table: pa.Table, sent: pa.Table) -> pa.Table:
+        given = Given(([np.array(x, np.int64) for x in sent["terms"].to_pylist()], sent["items"].to_pylist()))
+        return _lookup(given, slop)(table)
+
+    return look
 
 
 def merged(spans: np.ndarray) -> list[list[int]]:
@@ -219,7 +231,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """search() over docs with n_hit, n_items and contaminated: some word is hit, and at least one in share of all.
 
     One row for each row of docs; ids are integers or null. Repeated rows are judged each for itself; other columns of
-    either table are ignored; an empty table of documents gives none.
+    either table are ignored; an empty table of documents gives none. Texts of any length are read whole, in a segment of
+    their own if they are longer than one.
     """
     out = search(build_index(docs, id_col, text_col), benchmark, window, slop)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
@@ -228,7 +241,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that contamination() marks. Rows are known by the hash of their text, so ids may be null or repeat."""
-    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    marked = contamination(own, benchmark, id_col="_text_hash", text_col=text_col).where("contaminated").select(F.col("_text_hash").alias("_gone")).distinct()
-    return own.join(marked, F.col("_text_hash") == F.col("_gone"), "left_anti").select(docs.columns)
+    """docs without the rows that contamination() marks.
+
+    Rows are known by the hash of their text, so ids may be null or repeat. All columns stay as they are, whatever their
+    names; texts are judged whole, and an empty table stays empty.
+    """
+    hashed, gone = C.free_name(docs, "text_hash"), C.free_name(docs, "gone")
+    own = docs.withColumn(hashed, F.xxhash64(text_col))
+    marked = contamination(own, benchmark, id_col=hashed, text_col=text_col).where("contaminated").select(F.col(hashed).alias(gone)).distinct()
+    return own.join(marked, F.col(hashed) == F.col(gone), "left_anti").select(docs.columns)

@@ -21,7 +21,8 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
     later if the same three lines start in a row of smaller id or further up in the same row. Lines in later windows go.
     A document of fewer lines has no window and keeps all. Null text stays null with no lines; an empty text is one empty
     line. Rows that share an id count as separate documents in the order of their texts, null ids come first, and of
-    equal rows all but one are later copies. Other columns pass through; n_lines and n_removed are replaced.
+    equal rows all but one are later copies. Other columns pass through; n_lines and n_removed are replaced. Texts of any
+    length are taken whole: one that is longer than a block is a block of its own. An empty table gives none.
     """
     docs = docs.drop("n_lines", "n_removed")
     at = docs.columns.index(text_col)

@@ -197,3 +197,9 @@ def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
 
     schema = media.withColumns({n: F.lit(None).cast({"int64": "long", "string": "string", "binary": "binary"}[str(t)]) for n, t in added.items()}).schema
     return media.mapInArrow(run, schema)
+
+
+def write_tiles(features: DataFrame, media_col: str = "media") -> DataFrame:
+    """Write the columns of media_features(), NPY tiles and difference hashes among them but not the images again, to the
+    shared folder; the stored table. Null tiles of null or broken images stay null."""
+    return C.materialize(features.drop(media_col), "tiles")

@@ -176,8 +176,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id
     """Fit on at most fit_rows labelled documents that are not held out, the ones of least id hash.
 
     Null labels and ids are skipped; of several labels of a document the highest counts; of rows of documents that
-    share an id each is used. A fifth of the rows only sets the temperature. Tasks send the driver a context matrix of fixed size each, and one feature vector a fitted row. Without any
-    labelled document every score is 0.5; with one class only, nearly that class.
+    share an id each is used. A fifth of the rows only sets the temperature. Tasks send the driver a context matrix of
+    fixed size each, and one feature vector a fitted row. Without any labelled document every score is 0.5; with one
+    class only, nearly that class.
     """
     spark = docs.sparkSession
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
@@ -212,13 +213,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id
     return QualityModel(vectors, mean, scale, layers, calibrate(_forward(x[aside], layers)[1], y[aside]))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher for better) and predicted (1 from 0.5 on).
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1, higher for better) and predicted (1 from 0.5 on), under other names if given.
 
     Only the whole text counts; null and empty texts get the score of an empty text. Other columns pass through, and
-    score and predicted are replaced. Equal texts score alike.
+    those of the two names are replaced. Equal texts score alike.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
     at = docs.columns.index(text_col)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -228,12 +229,12 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
             for a, b in C.chunks(offsets):
                 part = batch.slice(a, b - a)
                 score = given.value.score(pooled(part.column(at), given.value.vectors).astype(float))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return docs.mapInArrow(run, docs.withColumns(dict(zip(names, (F.lit(0.0), F.lit(0)), strict=True))).schema)
 
 
 def drop_rejected(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the classifier rejects; columns stay as they are."""
-    columns = docs.columns
-    return score_quality(docs, model, text_col).where("predicted = 1").select(columns)
+    """docs without the rows that the classifier rejects; all columns stay as they are, whatever their names."""
+    names = C.free_name(docs, "score"), C.free_name(docs, "predicted")
+    return score_quality(docs, model, text_col, names).where(f"`{names[1]}` = 1").select(docs.columns)

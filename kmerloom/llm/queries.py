@@ -9,7 +9,7 @@ from kmerloom.llm._common import new_path, table
 from kmerloom.llm.chat import rotate_perspectives
 from kmerloom.llm.decontaminate import contamination
 from kmerloom.llm.line_dedup import line_dedup
-from kmerloom.llm.media import media_features, store_texts
+from kmerloom.llm.media import media_features, store_texts, write_tiles
 from kmerloom.llm.packing import pack_documents
 from kmerloom.llm.quality import fit_quality, held_out, score_quality
 from kmerloom.llm.simhash import simhash_components
@@ -44,7 +44,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media_features(store_texts(table(spark, sf_dir, "documents")))
+    out = write_tiles(media_features(store_texts(table(spark, sf_dir, "documents"))))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"))
 
 
@@ -99,7 +99,7 @@ ORACLES: dict[str, str] = {
         FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
     """,
     "op3_perspectives": r"""
-        WITH base AS (SELECT DISTINCT conv_id, coalesce(turn // 64, -1) AS block, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+        WITH base AS (SELECT DISTINCT conv_id, floor(turn / 64)::BIGINT AS block, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
                       FROM conversations WHERE conv_id IS NOT NULL),
         views AS (SELECT DISTINCT conv_id, role AS perspective FROM base),
         parts AS (SELECT conv_id, perspective, block, turn, role, text, role = perspective AS own,
@@ -126,6 +126,21 @@ ORACLES: dict[str, str] = {
                CASE WHEN l.text IS NULL THEN NULL ELSE sha256(coalesce(k.s, '')) END AS kept_sha256
         FROM lines l LEFT JOIN kept k ON l.doc_id = k.doc_id
     """,
+    "op8_suffix_dedup": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (SELECT r, h, unnest(range(1, len(h) // 2 - 198)) AS p FROM docs WHERE len(h) >= 400),
+        named AS MATERIALIZED (SELECT r, p, hash(substring(h, 2 * p - 1, 400)) AS s FROM starts),
+        again AS (SELECT s FROM named GROUP BY s HAVING count(*) > 1),
+        twice AS (SELECT r, p FROM named SEMI JOIN again USING (s)),
+        runs AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run
+                 FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM twice)) GROUP BY r, run),
+        edges AS (SELECT r, a, b, lag(b, 1, 1::BIGINT) OVER (PARTITION BY r ORDER BY a) AS before FROM runs),
+        kept AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substring(h, 2 * before - 1, 2 * (a - before)), '' ORDER BY a) AS s
+                 FROM edges JOIN docs USING (r) GROUP BY r)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(s || substring(h, 2 * last - 1), h))) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r)
+    """,
     "op9_decontamination": r"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         items AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -3,15 +3,15 @@
 64-bit fingerprints of word shingles link at a small Hamming distance t. Bits that agree often are grouped into m
 partitions; partition i gets its own threshold t_i >= -1 with sum(t_i) = t - m + 1, so that any pair within t agrees on
 some partition within its threshold. A dynamic program over candidate counts, taken from all fingerprints, chooses the
-thresholds (and m). Fingerprints meet on the partition's value, probes with up to t_i flips on one side, and the full
-distance verifies them.
+thresholds (and m). Fingerprints meet on the partition's value, either side up to one bit off, and the full distance
+verifies them. A meeting that costs more than splitting it is split by partitions of the bits that are left, with
+thresholds from the same program on the rows that meet there, until no such meeting is left.
 """
 
 from __future__ import annotations
 
-from functools import partial
-from itertools import combinations
-from math import comb
+from functools import partial, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,16 @@ from xxhash import xxh64_intdigest
 
 from kmerloom.llm import _common as C
 from kmerloom.llm.components import connected_components
+from kmerloom.llm.near_duplicates import similar_components
 
 BITS = 64
 #: Words in a shingle, seed of its XXH64, greatest Hamming distance of a link.
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-#: Partition counts the plan may choose from.
-PARTITIONS = (2, 3, 4)
-#: Fingerprints that meet on one value and are compared pair by pair; larger meetings take the path over shared neighbours.
-MEETING = 32
+#: Partition counts the plan may choose from in the first rounds, and the number of these; later all bits left are one.
+PARTITIONS, ROUNDS = (1, 2, 3, 4), 2
+#: A meeting is split once each of its rows stands before more than so many pairs for each row that splitting makes of it.
+WORTH = 1.0
+_ALL = (1 << BITS) - 1
 
 _hash = partial(xxh64_intdigest, seed=SEED)
 
@@ -42,10 +44,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         h = np.array([_hash(b" ".join(words))], np.uint64)
     else:
         h = np.fromiter(map(_hash, map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))), np.uint64, len(words) - shingle + 1)
-    ones = np.zeros(BITS, np.int64)
-    for a in range(0, len(h), 1 << 15):
-        ones += np.unpackbits(h[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+    return int(C.majority(h))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -84,13 +83,13 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
     return n, both
 
 
-def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
-    """Bits in m groups of nearly equal size; each group grows by the bit most correlated with what it has."""
+def group_bits(n: int, both: np.ndarray, m: int, bits=range(BITS)) -> list[list[int]]:
+    """The bits in m groups of nearly equal size; each group grows by the bit most correlated with what it has."""
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     phi = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread))
     np.fill_diagonal(phi, 0)
-    left, groups = set(range(BITS)), []
+    left, groups = set(bits), []
     for g in range(m):
         size = len(left) // (m - g)
         seed = max(sorted(left), key=lambda b: phi[b, sorted(left)].sum())
@@ -103,11 +102,19 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def _mask(bits) -> int:
-    value = sum(1 << b for b in bits)
+def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
+def _mask(bits) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
+def _left(done: int) -> list[int]:
+    """The bits that are not in the mask."""
+    return [b for b in range(BITS) if not done >> b & 1]
+
+
 def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]]:
     """Thresholds, one for each partition with the given sum, of least total cost, by dynamic programming."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -121,62 +128,83 @@ def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int
     return best[total]
 
 
-def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition that is probed, chosen by counts over all fingerprints."""
-    n, both = bit_counts(fps)
+def plan(rows: DataFrame, dones: list[int], stats: tuple[int, np.ndarray], distance: int, partitions=PARTITIONS) -> dict[int, list[tuple[int, int]]]:
+    """(mask of a partition, threshold) of the partitions to probe, for each mask of bits on which rows have met before.
+
+    rows: (done, w, fp), done and w as in links(). Candidates are counted over all rows, in one pass for every layout.
+    """
+    n, both = stats
     p = np.diag(both) / max(n, 1)
     flip = 2 * p * (1 - p) / np.maximum(p * p + (1 - p) * (1 - p), 1e-9)  # odds that a pair differs in a bit
-    layouts = [group_bits(n, both, m) for m in PARTITIONS]
-    flat = [(k, i, bits) for k, groups in enumerate(layouts) for i, bits in enumerate(groups)]
-    keys = F.array(*(F.struct(F.lit(x).alias("at"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("v")) for x, (_, _, bits) in enumerate(flat)))
-    pairs = fps.select(F.explode(keys).alias("k")).groupBy("k").count().groupBy("k.at").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"))
-    equal = {r["at"]: r["pairs"] for r in pairs.collect()}
-    best = None
-    for k, groups in enumerate(layouts):
-        costs = []
-        for i, bits in enumerate(groups):
-            at = flat.index((k, i, bits))
-            own, e = {-1: 0.0}, np.zeros(distance + 1)
-            e[0] = 1
-            for b in bits:  # elementary symmetric sums: pairs at 1, 2, ... flips for each equal pair
-                e[1:] = e[1:] + e[:-1] * flip[b]
-            for t in range(distance + 1):
-                own[t] = (equal.get(at) or 0) * e[: t + 1].sum() + n * sum(comb(len(bits), x) for x in range(t + 1))
-            costs.append(own)
-        cost, chosen = allocate(costs, distance - len(groups) + 1)
-        if best is None or cost < best[0]:
-            best = (cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0])
-    return best[1]
+    layouts = {d: [group_bits(n, both, m, _left(d)) for m in partitions if m <= len(_left(d))] for d in dones}
+    flat = [(d, k, i, bits) for d, own in layouts.items() for k, groups in enumerate(own) for i, bits in enumerate(groups)]
+    value = lambda d, bits: F.col("w").bitwiseAND(F.lit(_signed(d | _mask(bits) & _ALL)))
+    keys = {d: F.array(*(F.struct(F.lit(x).alias("at"), value(d, bits).alias("v")) for x, (e, _, _, bits) in enumerate(flat) if e == d)) for d in dones}
+    chosen = reduce(lambda w, d: w.when(F.col("done") == _signed(d), keys[d]), dones, F)
+    met = rows.select(F.explode(chosen).alias("k")).groupBy("k").count()
+    counts = {r["at"]: r for r in met.groupBy("k.at").agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+    out = {}
+    for d, own in layouts.items():
+        best = None
+        for k, groups in enumerate(own):
+            costs = []
+            for i, bits in enumerate(groups):
+                seen = counts.get(flat.index((d, k, i, bits)))
+                size, equal = (seen["n"], seen["pairs"] if len(groups) > 1 else 0) if seen else (0, 0)  # one partition leaves no bit open
+                cost, e = {-1: 0.0}, np.zeros(distance + 1)
+                e[0] = 1
+                for b in bits:  # elementary symmetric sums: pairs at 1, 2, ... flips for each equal pair
+                    e[1:] = e[1:] + e[:-1] * flip[b]
+                for t in range(distance + 1):
+                    cost[t] = equal * e[: t + 1].sum() + size * (1 + len(bits) * (t > 0))
+                costs.append(cost)
+            total, thresholds = allocate(costs, distance - len(groups) + 1)
+            if best is None or total < best[0]:
+                best = (total, [(_mask(g) & _ALL, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0])
+        out[d] = best[1]
+    return out
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links that connect exactly what pairs of distinct fingerprints within the distance (at most 2) connect.
 
-    Where at most MEETING fingerprints and probes meet on a value, their pairs are verified. The fingerprints of a larger
-    meeting are linked over shared neighbours instead: two are within 2 exactly if some value lies within 1 of both, and
-    at most 65 lie within 1 of a value, so the rows stay in proportion to the fingerprints however large the meeting is.
+    A row is (done, w, fp): w is fp with at most one bit flipped, and rows meet where they agree in w on the bits of the
+    mask done. Two fingerprints within 2 differ in a partition by no more than its threshold for some partition, and so
+    meet there when each flips one of those bits at most; the same holds again for the bits that are left. So every
+    round is the same step on the rows of the meetings that are worth splitting, and once all bits are in the mask, a
+    meeting holds no more than the neighbours of one value. Rows grow with the fingerprints, whatever the groups.
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance is 0, 1 or 2")
-    rows = []
-    for x, (bits, t) in enumerate(plan(fps, distance)):
-        own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        flips = [_mask(c) for r in range(1, t + 1) for c in combinations(bits, r)]
-        probes = [F.struct(F.lit(x).alias("at"), own.bitwiseXOR(F.lit(f)).alias("v"), F.lit(True).alias("probe")) for f in flips]
-        rows += [F.struct(F.lit(x).alias("at"), own.alias("v"), F.lit(False).alias("probe")), *probes]
-    met = C.materialize(fps.select("fp", F.explode(F.array(*rows)).alias("k")).select("fp", "k.*"), "met")
-    sizes = met.groupBy("at", "v").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("stored")).where("n > 1 AND stored > 0")
-    sized = met.join(sizes.select("at", "v", "n"), ["at", "v"])
-    light, heavy = sized.where(f"n <= {MEETING}"), sized.where(f"n > {MEETING}").select("fp").distinct()
-    one, two = light.where(~F.col("probe")).select("at", "v", F.col("fp").alias("a")), light.select("at", "v", F.col("fp").alias("b"), "probe")
-    near = one.join(two, ["at", "v"]).where((F.col("a") != F.col("b")) & (F.col("probe") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-    ball = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS))]
-    if distance == 2:
-        shared = heavy.select("fp", F.explode(F.array(*ball)).alias("v")).groupBy("v").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
-        wide = shared.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b"))
-    else:  # within 1: one of the two is a neighbour of the other
-        wide = heavy.select("fp", F.explode(F.array(*ball[: 1 + 64 * distance])).alias("v")).join(heavy.select(F.col("fp").alias("v")), "v").select(F.col("fp").alias("a"), F.col("v").alias("b"))
-    return near.select("a", "b").unionByName(wide).where("a <> b")
+    stats = bit_counts(fps)
+    rows, dones, found = fps.select(F.lit(0).cast("long").alias("done"), F.col("fp").alias("w"), "fp"), [0], []
+    for depth in count():
+        plans = plan(rows, dones, stats, distance, PARTITIONS if depth < ROUNDS else (1,))
+        spread = F
+        for d, own in plans.items():
+            still, turned = [], []
+            for mask, t in own:
+                done = F.lit(_signed(d | mask)).alias("done")
+                still.append(F.struct(done, F.col("w").alias("w")))
+                turned += [F.struct(done, F.col("w").bitwiseXOR(F.lit(_mask([b]))).alias("w")) for b in range(BITS) if t > 0 and mask >> b & 1]
+            every = F.when(F.col("w") == F.col("fp"), F.array(*still, *turned)).otherwise(F.array(*still)) if turned else F.array(*still)
+            spread = spread.when(F.col("done") == _signed(d), every)
+        dones = sorted({d | mask for d, own in plans.items() for mask, _ in own} - {_ALL})
+        met = C.materialize(rows.select("fp", F.explode(spread).alias("k")).select("k.done", "k.w", "fp", F.col("k.w").bitwiseAND(F.col("k.done")).alias("v")), "met")
+        sizes = C.materialize(met.groupBy("done", "v").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        sized = met.join(sizes, ["done", "v"])
+        most = 2 * WORTH * (1 + BITS - F.bit_count("done"))
+        split = (F.col("done") != -1) & (F.col("n") > most)
+        near = sized.where(~split).groupBy("done", "v").agg(F.array_sort(F.collect_set("fp")).alias("fps")).where("size(fps) > 1")
+        pairs = near.select("done", "fps", F.explode("fps").alias("a"))
+        close = F.filter("fps", lambda x: (x > F.col("a")) & (F.bit_count(x.bitwiseXOR(F.col("a"))) <= distance))
+        if distance == 2:  # the neighbours of one value are all within 2, so one of them stands for the rest
+            close = F.when(F.col("done") == -1, F.when(F.col("a") > F.get("fps", F.lit(0)), F.slice("fps", 1, 1))).otherwise(close)
+        found.append(pairs.select("a", F.explode(close).alias("b")))
+        rows = C.materialize(sized.where(split).select("done", "w", "fp"), "split")
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def simhash_components(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -184,19 +212,43 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, id_col: str =
 
     fingerprint: 16 hex digits. component_id: the least id reachable over fingerprints that differ in at most distance
     bits. Equal fingerprints count once, so copies cost nothing beyond their row. Rows without words (null, empty or
-    white space) share fingerprint zero and are linked like any other. Repeated rows share a component; null ids never
-    become a component_id unless the component has no other. An empty table gives none.
+    white space) share fingerprint zero and are linked like any other. Texts of any length are taken whole. Repeated
+    rows share a component; null ids never become a component_id unless the component has no other. Other columns are
+    not looked at, whatever their names. An empty table gives none.
     """
     own = C.materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = C.materialize(own.select("fp").distinct(), "distinct")
-    roots = connected_components(links(distinct, distance)).withColumnRenamed("node", "fp")
-    placed = own.groupBy("fp").agg(F.min(id_col).alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = C.materialize(placed, "placed")
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row kept of each component: that of the least id (rows that repeat this id stay together)."""
-    kept = simhash_components(docs, distance, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    classes = C.materialize(own.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+    placed = C.materialize(rooted(classes, distance), "placed")
+    named = C.materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    by_print = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return own.join(by_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def rooted(classes: DataFrame, distance: int) -> DataFrame:
+    """classes, one row for each fp, with root: the least fp that links lead to."""
+    roots = connected_components(links(classes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] | None = None) -> DataFrame:
+    """docs with exactly one row kept of each component: that of the least id, null last, then of the least text hash.
+
+    Components are those of fingerprints within the distance. With similar, a fraction such as (4, 5), they are those of
+    sets of word shingles with at least this Jaccard similarity: fingerprints within the distance are then candidates
+    like any other, see similar_components(). Rows are told apart by id and text, so ids may be null or repeat; of rows
+    that repeat both one stays. Null, empty and white-space texts are copies of each other. Texts of any length are
+    taken whole. All columns pass through, whatever their names; an empty table gives none.
+    """
+    if similar:
+        rows = similar_components(docs, links, distance, similar, id_col, text_col, shingle)
+    else:
+        hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        own = C.materialize(fingerprints(hashed.select(F.struct("id", "text_hash").alias("row"), "text"), "row", "text", shingle), "fingerprints")
+        roots = C.materialize(rooted(own.select("fp").distinct(), distance), "placed")
+        rows = own.join(roots, "fp").select("row.id", "row.text_hash", "root")
+    least = C.materialize(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("m")).select("m.id", "m.text_hash"), "kept")
+    hidden, text_hash = C.free_name(docs, "text_hash"), F.xxhash64(text_col)
+    own = docs.withColumn(hidden, text_hash)
+    stay = least.select(F.col("id").alias(C.free_name(docs, "kept_id")), F.col("text_hash").alias(C.free_name(docs, "kept_hash")))
+    out = own.join(stay, own[id_col].eqNullSafe(stay[stay.columns[0]]) & (own[hidden] == stay[stay.columns[1]]), "left_semi")
+    return out.dropDuplicates([id_col, hidden]).select(docs.columns)

@@ -36,6 +36,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Null or empty text has no words and comes back empty. Rows that share an id count as separate documents in the order
     of their texts, null ids come first, and of equal rows all but one are later copies. Other columns pass through;
     a column named n_words or n_removed is replaced. Null or repeated rows never fail; an empty table gives none.
+    Texts of any length are taken whole: one that is longer than a block is a block of its own.
     """
     period = max((p for p in COVERS if p < window), default=0)
     if not period:

@@ -163,13 +163,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     A byte goes if a string of so many bytes over it, within its document, starts anywhere else too, overlaps included;
     all occurrences go, judged on the input. Null and empty texts are no bytes. Repeated rows are separate documents and
     so repeat each other. Other columns pass through; those of the four names are replaced. kept may end inside a
-    UTF-8 character.
+    UTF-8 character. Texts of any length are taken whole: one that is longer than a block is a block of its own.
     """
     if length < 4 or length % 2:
         raise ValueError("length is an even number from 4 on")
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    base = blocked(docs, id_col)
-    buckets = C.shuffle_partitions(docs.sparkSession)
+    base, blk, buckets = blocked(docs, id_col, text_col)
 
     def keepers(key, table):
         return _ask(key[0].as_py(), buckets, np.unique(Lot(table, length, id_col, text_col).keep))
@@ -246,13 +245,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         sums, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, gone & ~before))
         a, b = lot.offsets[:-1], lot.offsets[1:]
         kept = [lot.data[x:y][~gone[x:y]].tobytes() for x, y in zip(a, b, strict=True)]
-        out = lot.table.drop_columns(["_blk"])
+        out = lot.table.drop_columns([blk])
         for n, x in (("n_bytes", b - a), ("n_removed", sums[b] - sums[a]), ("n_spans", spans[b] - spans[a])):
             out = out.append_column(n, pa.array(x, pa.int64()))
         return out.append_column("kept", pa.array(kept, pa.binary()))
 
-    shared = base.groupBy("_blk").applyInArrow(keepers, ASKED).groupBy("bucket").applyInArrow(answer_shared, ANSWER)
-    told = base.groupBy("_blk").cogroup(shared.groupBy("_blk")).applyInArrow(stretches, ASKED).groupBy("bucket").applyInArrow(answer_stretches, ANSWER)
-    equal = base.groupBy("_blk").cogroup(told.groupBy("_blk")).applyInArrow(ranks, ASKED).groupBy("bucket").applyInArrow(answer_shared, ANSWER)
+    shared = base.groupBy(blk).applyInArrow(keepers, ASKED).groupBy("bucket").applyInArrow(answer_shared, ANSWER)
+    told = base.groupBy(blk).cogroup(shared.groupBy("_blk")).applyInArrow(stretches, ASKED).groupBy("bucket").applyInArrow(answer_stretches, ANSWER)
+    equal = base.groupBy(blk).cogroup(told.groupBy("_blk")).applyInArrow(ranks, ASKED).groupBy("bucket").applyInArrow(answer_shared, ANSWER)
     both = told.select("_blk", F.lit(2).alias("step"), *_COLUMNS).unionByName(equal.select("_blk", F.lit(3).alias("step"), *_COLUMNS))
-    return base.groupBy("_blk").cogroup(both.groupBy("_blk")).applyInArrow(close, schema)
+    return base.groupBy(blk).cogroup(both.groupBy("_blk")).applyInArrow(close, schema)

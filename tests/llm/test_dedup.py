@@ -63,6 +63,29 @@ def test_line_dedup(spark, corpus):
     assert line_dedup(frame(spark, [])).count() == 0
 
 
+def test_small_blocks_chunks_and_clashing_names(spark, corpus, monkeypatch):
+    from kmerloom.llm import _common, _repeats
+
+    monkeypatch.setattr(_repeats, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(_repeats, "BUCKET_BYTES", 5000)
+    rows = [*corpus, *[(None, f"{t} tail") for _, t in corpus[:9]], *[(4, t) for _, t in corpus[9:20]]]
+    docs = frame(spark, rows).selectExpr("*", "'own' AS _blk", "1 AS _BLK_")
+    old = _common.CHUNK_BYTES
+    try:
+        for limit in (old, 700):
+            _common.CHUNK_BYTES = limit
+            out = substring_dedup(docs, 5).collect()
+            want = Counter((i, " ".join(w for w, m in zip(own, marks, strict=True) if not m), len(own), sum(marks)) for i, _, own, marks in later_units(rows, words, 5))
+            assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in out) == want and {(r._blk, r._BLK_) for r in out} == {("own", 1)}
+            lines = Counter((r.doc_id, r.n_lines, r.n_removed) for r in line_dedup(docs).collect())
+            assert lines == Counter((i, len(own), sum(marks)) for i, _, own, marks in later_units(rows, lambda t: [] if t is None else t.split("\n"), 3))
+            short = [r for r in rows if r[0] != 126]
+            got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(frame(spark, short).selectExpr("*", "1 AS _blk"), 30).collect())
+            assert got == repeated_bytes(short, 30)
+    finally:
+        _common.CHUNK_BYTES = old
+
+
 def test_line_dedup_windows_overlap(spark):
     got = {r.doc_id: r.text for r in line_dedup(frame(spark, [(1, "a\nb\nc\nd\ne"), (2, "x\na\nb\nc\nd\ny"), (3, "c\nd")])).collect()}
     assert got == {1: "a\nb\nc\nd\ne", 2: "x\ny", 3: "c\nd"}
@@ -137,15 +160,15 @@ def test_spark_hash_is_the_same(spark):
 
 
 @pytest.mark.parametrize("distance", [0, 1, 2])
-@pytest.mark.parametrize("meeting", [2, 32])
-def test_links_connect_exactly_the_near_ones(spark, monkeypatch, distance, meeting):
+@pytest.mark.parametrize("worth", [0.02, 1.0])
+def test_links_connect_exactly_the_near_ones(spark, monkeypatch, distance, worth):
     import random
 
     rnd = random.Random(distance)
     centres = [rnd.getrandbits(64) for _ in range(12)]
     values = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for c in centres for _ in range(25)} | {0, 1, 3, 7, (1 << 64) - 1}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    monkeypatch.setattr(S, "MEETING", meeting)
+    monkeypatch.setattr(S, "WORTH", worth)  # 0.02: every meeting of three is split
     got = {r.node: r.root for r in connected_components(S.links(spark.createDataFrame([(v,) for v in signed], "fp long"), distance)).collect()}
     near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance]
     want = components(near, signed)
@@ -174,6 +197,15 @@ def test_simhash_components(spark, corpus):
     assert S.simhash_components(frame(spark, [])).count() == 0
 
 
+def test_drop_near_duplicates_of_null_and_repeated_ids(spark):
+    rows = [(None, "same text here"), (5, "same text here"), (5, "same text here"), (5, "other words stand there"), (None, "third one"), (None, "third one")]
+    docs = spark.createDataFrame([(i, t, k, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _kept int, _text_hash int, _TEXT_HASH_ int")
+    for similar in (None, (4, 5)):
+        out = S.drop_near_duplicates(docs, similar=similar)
+        assert out.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted({(5, "same text here"), (5, "other words stand there"), (None, "third one")}, key=repr)
+
+
 def test_drop_near_duplicates(spark, corpus):
     docs = frame(spark, corpus)
     kept = S.drop_near_duplicates(docs)

@@ -3,25 +3,13 @@
 import random
 
 import corpus_pipeline
-import numpy as np
 import pytest
 from conftest_llm import frame
 from test_dedup import components
-from test_pipeline import folder  # noqa: F401
-from test_texts import contamination
-from test_tokens import ids_of
+from test_pipeline import folder, shingles, similar  # noqa: F401
 
 from kmerloom.llm import near_duplicates as N
-from kmerloom.llm._common import materialize
-
-
-def shingles(text):
-    own = (text or "").encode().lower().split()
-    return frozenset(tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))) if own else frozenset()
-
-
-def similar(a, b):
-    return 5 * len(a & b) >= 4 * len(a | b)
+from kmerloom.llm import simhash as S
 
 
 def survivors(rows):
@@ -54,10 +42,10 @@ def copies(corpus):
 def test_components_are_those_of_similar_sets(spark, copies, monkeypatch, frequent):
     monkeypatch.setattr(N, "FREQUENT", frequent)
     docs = frame(spark, copies)
-    kept = N.drop_similar(docs)
+    kept = S.drop_near_duplicates(docs, shingle=5, similar=(4, 5))
     got = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and len(got) == len(set(got)) and set(got) == survivors(copies)
-    assert N.drop_similar(frame(spark, [])).count() == 0
+    assert S.drop_near_duplicates(frame(spark, []), shingle=5, similar=(4, 5)).count() == 0
 
 
 def test_stage_catches_one_changed_word(spark, tmp_path):
@@ -70,22 +58,6 @@ def test_stage_catches_one_changed_word(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {2 * i for i in range(40)}
 
 
-def test_stages_from_near_duplicates_on(spark, corpus, folder):  # noqa: F811
-    frames = [spark.read.parquet(f"{folder}/documents.parquet")]
-    for name, stage in corpus_pipeline.STAGES:
-        frames.append(materialize(stage(spark, frames[-1], folder), name))
-    texts = [[(r.doc_id, r.text) for r in f.collect()] for f in frames[:5]]
-    assert {i for i, _ in texts[3]} == survivors(texts[2]) and len(texts[3]) < len(texts[2])
-    bad = {r[0] for r in contamination([r for r in texts[3] if r[0] != 126], [(1, dict(corpus)[125])]) if r[-1]}
-    assert {i for i, _ in texts[4]} == {i for i, _ in texts[3]} - bad and bad
-    pieces = {}
-    for r in frames[5].collect():
-        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.tokens)))
-    assert set(pieces) == {i for i, _ in texts[4]}
-    for i, t in texts[4]:
-        assert np.frombuffer(b"".join(x for _, x in sorted(pieces[i])), "<u4").tolist() == [*ids_of(t), 1]
-
-
 def test_stage_with_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, "a b c d e f"), (None, "x y z u v w"), (1, "p q r s t u"), (1, "p q r s t u"), (1, "k l m n o p"), (2, "p q r s t u"), (3, "X Y Z u v w")]
     kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows), str(tmp_path)).collect()

@@ -66,6 +66,14 @@ def test_phrases_do_not_cross_documents_or_lose_proximity(spark):
         B.contamination(docs, bench, 4, slop=B.GAP)
 
 
+def test_decontaminate_with_null_ids_and_clashing_names(spark):
+    passage = " ".join(f"b{i}" for i in range(40))
+    rows = [(None, passage, 1, 2), (None, "clean", 3, 4), (1, passage, 5, 6), (1, "clean two", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _text_hash int")
+    out = B.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert out.columns == docs.columns and sorted(tuple(r)[1:] for r in out.collect()) == [("clean", 3, 4), ("clean two", 7, 8)]
+
+
 def test_decontaminate(spark, corpus, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, corpus)
@@ -125,6 +133,17 @@ def test_media_of_texts(spark, corpus, form):
     assert M.store_texts(frame(spark, [])).count() == 0
 
 
+def test_tiles_are_stored(spark, corpus):
+    found = M.media_features(M.store_texts(frame(spark, corpus)))
+    stored = {r.doc_id: r for r in M.write_tiles(found).collect()}
+    assert "media" not in M.write_tiles(found).columns and len(stored) == len(corpus)
+    for r in found.collect():
+        tile = np.load(__import__("io").BytesIO(stored[r.doc_id].tile))
+        assert (tile == M.tile_of(M.decode_image(r.media))).all()
+        bits = [int(b > a) for row in tile.tolist() for a, b in zip(row[:-1], row[1:], strict=True)]
+        assert stored[r.doc_id].dhash == f"{int(''.join(map(str, bits)), 2):016x}" == r.dhash
+
+
 def test_broken_media_become_nulls(spark):
     rows = spark.createDataFrame([(1, bytearray(b"P5 2 1 255\n\1\2"), "z"), (2, bytearray(b"nothing"), "y"), (3, None, None)], "i int, media binary, dhash string")
     out = {r.i: r for r in M.media_features(rows).collect()}
@@ -163,8 +182,27 @@ def test_quality_edge_cases(spark, corpus):
     assert Q.score_quality(empty, Q.fit_quality(empty, ones)).count() == 0
     rows, labels = labelled()
     model = Q.fit_quality(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), fit_rows=50)
-    kept = Q.drop_rejected(frame(spark, rows), model)
-    assert kept.columns == frame(spark, rows).columns and 0 < kept.count() < len(rows)
+    own = frame(spark, rows).selectExpr("*", "123.0 AS score", "7 AS predicted", "9 AS _Score")
+    kept = Q.drop_rejected(own, model)
+    assert kept.columns == own.columns and 0 < kept.count() < len(rows)
+    assert {(r.score, r.predicted, r._Score) for r in kept.collect()} == {(123, 7, 9)}
+
+
+def test_context_sums_by_definition():
+    import pyarrow as pa
+
+    words, shapes, first = Q.tokens(pa.array(["the cat, 12 Cats", None, "the THE", "x"]))
+    place, sign = Q._index_vectors()
+    want = np.zeros((Q.WORDS + Q.SHAPES, Q.DIMS))
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        for i in range(a, b):
+            for j in range(max(a, i - Q.CONTEXT), min(b, i + Q.CONTEXT + 1)):
+                if i != j:
+                    for target in (words[i], shapes[i] + Q.WORDS):
+                        for source in (words[j], shapes[j] + Q.WORDS):
+                            for d, v in zip(place[source], sign[source], strict=True):
+                                want[target, d] += v
+    assert np.allclose(Q.context_sums(words, shapes, first), want) and want.any()
 
 
 def test_pooling_is_the_mean_of_vectors(corpus):
@@ -188,14 +226,19 @@ def test_calibration_softens_overconfidence():
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "eve", ""), (1, 2, "eve", ""), (1, None, None, None), (2, 70, "user", "late"), (2, 1, "user", "x"), (None, 0, "user", "lost"), (3, 0, "bob", None)]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "eve", ""), (1, 2, "eve", ""), (1, None, None, None), (2, 70, "user", "late"), (2, 1, "user", "x"), (2, -1, "user", "before"), (None, 0, "user", "lost"), (3, 0, "bob", None)]
     turns = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
     out = {(r.conv_id, r.perspective, r.block): r for r in rotate_perspectives(turns).collect()}
-    assert set(out) == {(1, p, b) for p in ("user", "assistant", "eve", "unknown") for b in (0, -1)} | {(2, "user", 0), (2, "user", 1), (3, "bob", 0)}
+    assert set(out) == {(1, p, b) for p in ("user", "assistant", "eve", "unknown") for b in (0, None)} | {(2, "user", 0), (2, "user", 1), (2, "user", -1), (3, "bob", 0)}
     eve = out[(1, "eve", 0)]
     assert eve.dialogue == "<|im_start|>user name=user\nhi<|im_end|>\n<|im_start|>user name=assistant\nyo<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [eve.dialogue[s.start : s.end] for s in eve.spans] == ["<|im_end|>\n"] and eve.n_turns == 3
     user = out[(1, "user", 0)]
     assert [user.dialogue[s.start : s.end] for s in user.spans] == ["hi<|im_end|>\n"]
-    assert out[(1, "user", -1)].spans == [] and out[(3, "bob", 0)].n_turns == 1
+    assert out[(1, "user", None)].spans == [] and out[(3, "bob", 0)].n_turns == 1
     assert rotate_perspectives(turns.limit(0)).count() == 0
+    talk = spark.createDataFrame([(7, t, "ab"[t % 2], f"m{t} " * (20_000 if t == 5 else 1)) for t in range(200)], "conv_id long, turn long, role string, text string")
+    rows = sorted((r for r in rotate_perspectives(talk).collect() if r.perspective == "a"), key=lambda r: r.block)
+    assert [r.n_turns for r in rows] == [64, 64, 64, 8]
+    whole = "".join(f"<|im_start|>{'assistant' if t % 2 == 0 else 'user name=b'}\n{f'm{t} ' * (20_000 if t == 5 else 1)}<|im_end|>\n" for t in range(200))
+    assert "".join(r.dialogue for r in rows) == whole

@@ -27,6 +27,13 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(own.encode(t), "<u4").tolist() for t in texts] == [ids_of(t) for t in texts]
 
 
+def test_other_tokenizers_read_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = _tokens.Encoder(path), Tokenizer.from_file(path)
+    for text in ("Hello World. a b", " two  blanks\nÉ", "", "x" * 3000):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_with_a_full_cache(monkeypatch):
     monkeypatch.setattr(_tokens, "CACHE_WORDS", 2)
     own = _tokens.Encoder(_tokens.default_path())
@@ -68,6 +75,20 @@ def test_packing_places_every_id_once(spark, corpus, length):
     assert P.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_packing_follows_the_curve(spark, corpus):
+    """Documents of a partition lie in the order of their Hilbert keys, computed anew from the library's ids."""
+    texts = dict(corpus)
+    pieces = sorted(P.pack_documents(frame(spark, corpus)).collect(), key=lambda r: (r.sequence_id, r.offset))
+    vectors = np.stack([np.bincount(P._BUCKET[np.array([*ids_of(texts[i]), 1])], minlength=P.BUCKETS) for i in texts]).astype(float)
+    v = np.log1p(vectors) - np.log1p(vectors).mean(axis=1, keepdims=True)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    cells = np.minimum((np.tanh(v @ P._AXES) + 1) / 2 * 65536, 65535).astype(np.int64)
+    assert (cells == P.curve_cells(vectors)).all()
+    keys = dict(zip(texts, P.hilbert_key(cells).tolist(), strict=True))
+    first = [(r.sequence_id >> 32, keys[r.doc_id]) for r in pieces if r.start == 0]
+    assert first == sorted(first)
+
+
 def test_packing_repeated_rows(spark):
     pieces = P.pack_documents(frame(spark, [(1, "a b")] * 3 + [(1, None)], False), 2).collect()
     assert sum(r.length for r in pieces) == 3 * 3 + 1
