@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialize() writes within go at the end, but for those it is told to keep."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            discard(spark, path)
+
+
+def materialize(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and no executor holds the only copy."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

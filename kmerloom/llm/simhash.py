@@ -27,7 +27,7 @@ BITS = 64
 #: Words in a shingle, seed of its XXH64, greatest Hamming distance of a link.
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Partition counts the plan may choose from in the first rounds, and the number of these; later all bits left are one.
-PARTITIONS, ROUNDS = (1, 2, 3, 4), 2
+PARTITIONS, ROUNDS = (1, 2, 3, 4), 1
 #: A meeting is split once each of its rows stands before more than so many pairs for each row that splitting makes of it.
 WORTH = 1.0
 _ALL = (1 << BITS) - 1
@@ -239,14 +239,16 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str
     that repeat both one stays. Null, empty and white-space texts are copies of each other. Texts of any length are
     taken whole. All columns pass through, whatever their names; an empty table gives none.
     """
-    if similar:
-        rows = similar_components(docs, links, distance, similar, id_col, text_col, shingle)
-    else:
-        hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-        own = C.materialize(fingerprints(hashed.select(F.struct("id", "text_hash").alias("row"), "text"), "row", "text", shingle), "fingerprints")
-        roots = C.materialize(rooted(own.select("fp").distinct(), distance), "placed")
-        rows = own.join(roots, "fp").select("row.id", "row.text_hash", "root")
-    least = C.materialize(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("m")).select("m.id", "m.text_hash"), "kept")
+    with C.scratch(docs.sparkSession):
+        if similar:
+            rows = similar_components(docs, links, distance, similar, id_col, text_col, shingle)
+        else:
+            hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+            own = C.materialize(fingerprints(hashed.select(F.struct("id", "text_hash").alias("row"), "text"), "row", "text", shingle), "fingerprints")
+            roots = C.materialize(rooted(own.select("fp").distinct(), distance), "placed")
+            rows = own.join(roots, "fp").select("row.id", "row.text_hash", "root")
+        least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("m")).select("m.id", "m.text_hash")
+        least = C.materialize(least, "kept", keep=True)
     hidden, text_hash = C.free_name(docs, "text_hash"), F.xxhash64(text_col)
     own = docs.withColumn(hidden, text_hash)
     stay = least.select(F.col("id").alias(C.free_name(docs, "kept_id")), F.col("text_hash").alias(C.free_name(docs, "kept_hash")))
