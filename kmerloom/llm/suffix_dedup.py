@@ -71,7 +71,7 @@ class Lot:
         at = at[windows]
         heads = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
         lasts = np.append(heads[1:], len(at)) - 1 if len(at) else heads
-        return names[at[heads]], windows[heads] + start, windows[lasts] + start
+        return C.mix(names[at[heads]]), windows[heads] + start, windows[lasts] + start  # least hashes begin with zeros: mixed, they spread over buckets
 
     def names(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit names of ascending byte ranges, each within one document."""
