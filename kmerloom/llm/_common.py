@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one numpy pass takes; a longer document is one pass of its own.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that one numpy pass takes; a longer document is one pass of its own. A worker keeps some 60 bytes for each.
+CHUNK_BYTES = 1 << 18
 #: Order of null ids: before all others.
 NULL_ID = -(1 << 63)
 
