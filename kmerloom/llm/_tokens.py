@@ -13,6 +13,13 @@ CACHE_WORDS, CACHE_CHARS, CACHE_MARKS = 300_000, 64, 1 << 22
 #: Byte-level alphabet: a byte that does not print stands for the next free character from 256 on.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+
+
+def byte_alphabet() -> dict[int, int]:
+    """The character that stands for each byte in the entries of a byte-level vocabulary."""
+    return {b: _BYTES.get(b, b) for b in range(256)}
+
+
 #: Latin-1 lower case, and for each byte: a letter or digit, a blank, a stop or comma, or something else.
 _LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
 _KIND = bytes(ord("a" if c.isalpha() or c in "0123456789" else " " if c == " " else "." if c in ".," else "!") for c in map(chr, range(256)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm._common import new_path, table
+from kmerloom.llm.bpe import decode_bpe, encode_bpe
 from kmerloom.llm.chat import rotate_perspectives
 from kmerloom.llm.decontaminate import contamination
 from kmerloom.llm.line_dedup import line_dedup
@@ -71,6 +72,12 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, root, manifest).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode_bpe(encode_bpe(table(spark, sf_dir, "documents")))
+    ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_hilbert_packing": op2_hilbert_packing,
@@ -82,6 +89,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_records": op10_token_records,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
