@@ -148,6 +148,29 @@ def unpacked(column, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers by byte place, compressed."""
+    raw = np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    own = pa.decompress(raw[8:], 8 * n, "zstd", asbytes=True)
+    return np.frombuffer(own, np.uint8).reshape(8, n).T.copy().view(np.int64).ravel()
+
+
+def deltas(values: np.ndarray) -> bytes:
+    """squeezed() for numbers that mostly grow."""
+    return squeezed(np.diff(values, prepend=0))
+
+
+def from_deltas(raw: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(raw))
+
+
 # ---- Hashing ------------------------------------------------------------------------------------------------------
 
 _U = np.uint64

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm._common import new_path, table
+from kmerloom.llm.alignment import link_measures
 from kmerloom.llm.bpe import decode_bpe, encode_bpe
 from kmerloom.llm.chat import rotate_perspectives
 from kmerloom.llm.decontaminate import contamination
@@ -78,6 +79,11 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_measures(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_hilbert_packing": op2_hilbert_packing,
@@ -90,6 +96,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_records": op10_token_records,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
