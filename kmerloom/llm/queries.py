@@ -9,6 +9,7 @@ from kmerloom.llm._common import new_path, table
 from kmerloom.llm.alignment import link_measures
 from kmerloom.llm.bpe import decode_bpe, encode_bpe
 from kmerloom.llm.chat import rotate_perspectives
+from kmerloom.llm.collocations import collocations
 from kmerloom.llm.decontaminate import contamination
 from kmerloom.llm.line_dedup import line_dedup
 from kmerloom.llm.media import media_features, store_texts, write_tiles
@@ -73,6 +74,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, root, manifest).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decode_bpe(encode_bpe(table(spark, sf_dir, "documents")))
     ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256")
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_records": op10_token_records,
+    "op11_collocations": op11_collocations,
     "op12_bpe_round_trip": op12_bpe_round_trip,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -171,4 +177,25 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
     """,
+    "op11_collocations": r"""
+        WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+        pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(s, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM texts),
+        sizes AS (SELECT unnest([1, 2, 3, 4]) AS m),
+        starts AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, sizes WHERE len(w) >= m),
+        grams AS MATERIALIZED (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS s, count(*) AS f FROM starts GROUP BY ALL),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE m = 1 GROUP BY lang),
+        candidates AS (SELECT lang, m, s, string_split(s, ' ') AS w, f AS a FROM grams WHERE m >= 2 AND f >= 30),
+        cuts AS (SELECT lang, m, s, a, w, unnest(range(1, m)) AS k FROM candidates),
+        valued AS (SELECT c.lang, c.m, c.s, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+                   FROM cuts c JOIN grams x ON x.lang = c.lang AND x.s = array_to_string(c.w[1 : c.k], ' ')
+                               JOIN grams y ON y.lang = c.lang AND y.s = array_to_string(c.w[c.k + 1 : c.m], ' ')),
+        least AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1),
+        inner_sizes AS (SELECT lang, w, m, a, unnest(range(2, m)) AS q FROM candidates),
+        inner_starts AS (SELECT lang, w, a, q, unnest(range(1, m - q + 2)) AS i FROM inner_sizes),
+        around AS (SELECT lang, array_to_string(w[i : i + q - 1], ' ') AS s, max(a) AS longer FROM inner_starts GROUP BY ALL),
+        kept AS (SELECT v.* FROM least v LEFT JOIN around o ON o.lang = v.lang AND o.s = v.s WHERE o.longer IS NULL OR 100 * o.longer < 80 * v.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(s)) AS rank FROM kept)
+        SELECT r.lang, r.rank::BIGINT AS rank, r.s AS phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r, t.n, r.score::BIGINT AS score
+        FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+    """,
 }
