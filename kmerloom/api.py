@@ -60,8 +60,9 @@ class KmerFinder:
             pairs = self.graph.spark.createDataFrame(rows, "pair_id long, ref_node long, var_node long")
         found, counts = None, self._given if self._given is not None else self._counted.get(max_variant_nodes)
         if counts is None:  # one walk over the graph for the index and the windows
-            found = occurrences.occurrences(self.graph, self.k, max_variant_nodes)
-            counts = self._counted[max_variant_nodes] = frequency.kmer_counts(found)
+            walked = occurrences.walk(self.graph, self.k, max_variant_nodes)
+            found = occurrences.occurrences_of(walked)
+            counts = self._counted[max_variant_nodes] = frequency.walk_counts(walked)
         return signatures.find_variant_signatures(self.graph, self.k, pairs, counts, max_variant_nodes, minimize_overlaps, align_windows, self.reverse_kmers, found)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
-from kmerloom.operators.occurrences import find
+from kmerloom.operators.occurrences import Walk, linear_kmers, stretches_of, walk
+from kmerloom.operators.superkmers import LEAST_K, superkmer_counts
 from kmerloom.plans.model import SequenceGraph
 
 
@@ -17,9 +18,26 @@ def kmer_counts(rows: DataFrame) -> DataFrame:
     return rows.where("kmer IS NOT NULL").groupBy("kmer").agg(F.count("*").alias("frequency"))
 
 
+def sequence_counts(sequences: DataFrame, k: int, encoding: str = K.DEFAULT_ENCODING, reverse: bool = False, weight: str | None = None) -> DataFrame:
+    """(kmer, frequency) of the sequences (column seq): in bins of minimizers, or, where k allows few different k-mers, by
+    adding up in each task first. weight: a column that says how often a sequence counts."""
+    if k >= LEAST_K:
+        return superkmer_counts(sequences, k, encoding, reverse, weight)
+    own = sequences.select("seq", *([F.col(weight).alias("weight")] if weight else []))
+    rows = linear_kmers(own, k, "seq", encoding, reverse, positions=False)
+    if not weight:
+        return kmer_counts(rows)
+    return rows.where("kmer IS NOT NULL").groupBy("kmer").agg(F.sum("weight").cast("long").alias("frequency"))
+
+
+def walk_counts(walked: Walk, include_spanning_nodes: bool = False, reverse: bool = False) -> DataFrame:
+    """(kmer, frequency) of a walk's occurrences, counted from the bases along its paths without listing them."""
+    return sequence_counts(stretches_of(walked), walked.k, walked.graph.encoding, reverse, "nodes" if include_spanning_nodes else None)
+
+
 def frequency_index(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, include_spanning_nodes: bool = False, reverse: bool = False) -> DataFrame:
     """(kmer, frequency) over all occurrences, or over their rows at every path node."""
-    return kmer_counts(find(graph, k, include_spanning_nodes, max_variant_nodes, reverse))
+    return walk_counts(walk(graph, k, max_variant_nodes, paths=False), include_spanning_nodes, reverse)
 
 
 def frequency_table(spark: SparkSession, given: DataFrame | Mapping[int, int], k: int, reverse: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ tested in the join, so nothing grows that cannot end in a k-mer.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -101,26 +102,39 @@ def _steps(graph: SequenceGraph, k: int) -> DataFrame:
     return graph.edges.select("src", "dst", "out_ord").join(ahead, "dst")
 
 
-def occurrences(
-    graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: DataFrame | None = None, reverse: bool = False, max_steps: int = MAX_STEPS, paths: bool = True
-) -> DataFrame:
-    """(start_node, p, path, offsets, ords, kmer) of every occurrence, each once; only start_node, p and kmer without paths.
+@dataclass(frozen=True)
+class Walk:
+    """All paths that can end in a k-mer, written: nodes to start from, and a table for each round of steps.
 
-    path: its nodes; offsets: their places counted from the start of the first node (the first is 0); ords: the out-list
-    places of its edges; p: where the k-mer starts in the first node; kmer: its hash, of the reversed bases if reverse.
-    starts: node_id of the nodes to start from, all by default. RuntimeError if paths still grow after max_steps, as they
-    do on a cycle of empty nodes.
+    A row of grown is a path: text holds the last bases of its first node (suffix of them) and ext bases of what follows;
+    the k-mers that end in its last node are those that end after low + 1 to ext of these.
+    """
+
+    graph: SequenceGraph
+    k: int
+    nodes: DataFrame
+    grown: list[DataFrame]
+    carried: tuple[str, ...] = ()
+
+    @property
+    def ending(self) -> list[DataFrame]:
+        return [g.where("bases AND ext > low") for g in self.grown]
+
+
+def walk(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: DataFrame | None = None, max_steps: int = MAX_STEPS, paths: bool = True) -> Walk:
+    """The paths from the nodes in starts (node_id; all by default), within the limit on variant nodes.
+
+    paths: carry path, offsets and ords, see occurrences(); without them only hops, the edges of the path. RuntimeError if
+    paths still grow after max_steps, as they do on a cycle of empty nodes.
     """
     K.check_k(k)
     K.check_budget(max_variant_nodes)
     nodes = graph.nodes.where(f"length > 0 AND int(NOT is_ref) <= {max_variant_nodes}")
     if starts is not None:
         nodes = nodes.join(starts.select("node_id").distinct(), "node_id", "left_semi")
-    inner = linear_kmers(nodes.select(F.col("node_id").alias("start_node"), "seq"), k, "seq", graph.encoding, reverse)
-    first = {"path": F.array("start_node"), "offsets": F.expr("array(0)"), "ords": F.expr("cast(array() as array<int>)")} if paths else {}
-    found = [inner.select("start_node", F.col("position").cast("int").alias("p"), *(c.alias(n) for n, c in first.items()), "kmer")]
+    first = {"path": F.array("start_node"), "offsets": F.expr("array(0)"), "ords": F.expr("cast(array() as array<int>)")} if paths else {"hops": F.lit(0)}
     if k == 1:
-        return found[0]
+        return Walk(graph, k, nodes, [], tuple(first))
     front = nodes.select(
         F.col("node_id").alias("start_node"),
         F.col("length").alias("len0"),
@@ -131,7 +145,7 @@ def occurrences(
         F.lit(0).alias("ext"),
     ).select("*", *(c.alias(n) for n, c in first.items()))
     front = front.repartition(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), "start_node")  # paths grow where they are dealt, also over a small edge table
-    longer = {"path": F.array_append("path", F.col("dst")), "offsets": F.array_append("offsets", F.col("len0") + F.col("ext")), "ords": F.array_append("ords", F.col("out_ord"))}
+    longer = {"path": F.array_append("path", F.col("dst")), "offsets": F.array_append("offsets", F.col("len0") + F.col("ext")), "ords": F.array_append("ords", F.col("out_ord")), "hops": F.col("hops") + 1}
     grow = [
         F.col("start_node"),
         F.col("len0"),
@@ -145,25 +159,57 @@ def occurrences(
         F.expr("more > 0").alias("bases"),
     ]
     fits = F.expr(f"last = src AND n_var + v <= {max_variant_nodes}")
-    end = F.explode(F.expr("sequence(low + 1, ext)"))
-    own = K.digits(F.expr(f"substr(text, suffix - {k} + e + 1, {k})"), graph.encoding)
-    ended = [F.col("start_node"), F.expr(f"len0 - {k} + e").alias("p"), *first, K.hash_digits(F.reverse(own) if reverse else own).alias("kmer")]
-    steps = cut(_steps(graph, k), "edges")
+    steps, tables = cut(_steps(graph, k), "edges"), []
     for _ in range(0, max_steps, ROUND):
         rounds = []  # several steps between two writes; Spark shares their exchanges
         for i in range(ROUND):
             rounds.append(front.join(steps, fits).select(*grow, F.lit(i).alias("step")))
             front = rounds[-1].where(f"ext < {k - 1}").drop("low", "bases", "step")
         grown = cut(reduce(DataFrame.unionByName, rounds), "paths")
-        found.append(grown.where("bases AND ext > low").withColumn("e", end).select(ended))
+        tables.append(grown)
         front = grown.where(f"step = {ROUND - 1} AND ext < {k - 1}").drop("low", "bases", "step")
         if front.isEmpty():
             break
     else:
         raise RuntimeError(f"paths still grow after {max_steps} steps; is there a cycle of empty nodes?")
+    return Walk(graph, k, nodes, tables, tuple(first))
+
+
+def occurrences_of(walked: Walk, reverse: bool = False) -> DataFrame:
+    """The occurrences along a walk's paths, see occurrences()."""
+    graph, k = walked.graph, walked.k
+    paths = "path" in walked.carried
+    inner = linear_kmers(walked.nodes.select(F.col("node_id").alias("start_node"), "seq"), k, "seq", graph.encoding, reverse)
+    first = {"path": F.array("start_node"), "offsets": F.expr("array(0)"), "ords": F.expr("cast(array() as array<int>)")} if paths else {}
+    found = [inner.select("start_node", F.col("position").cast("int").alias("p"), *(c.alias(n) for n, c in first.items()), "kmer")]
+    own = K.digits(F.expr(f"substr(text, suffix - {k} + e + 1, {k})"), graph.encoding)
+    ended = [F.col("start_node"), F.expr(f"len0 - {k} + e").alias("p"), *first, K.hash_digits(F.reverse(own) if reverse else own).alias("kmer")]
+    found += [g.withColumn("e", F.explode(F.expr("sequence(low + 1, ext)"))).select(ended) for g in walked.ending]
     return reduce(DataFrame.unionByName, found)
 
 
+def stretches_of(walked: Walk) -> DataFrame:
+    """(seq, nodes): sequences whose k-mers, each once, are those of the walk's occurrences: whole nodes, and for each path
+    the bases of the k-mers that end in its last node. nodes: how many nodes such an occurrence's path has."""
+    k = walked.k
+    found = [walked.nodes.select("seq", F.lit(1).alias("nodes"))]
+    nodes = F.size("path") if "path" in walked.carried else F.col("hops") + 1
+    found += [g.select(F.expr(f"substr(text, suffix - {k} + low + 2, ext - low + {k - 1})").alias("seq"), nodes.alias("nodes")) for g in walked.ending]
+    return reduce(DataFrame.unionByName, found)
+
+
+def occurrences(
+    graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: DataFrame | None = None, reverse: bool = False, max_steps: int = MAX_STEPS, paths: bool = True
+) -> DataFrame:
+    """(start_node, p, path, offsets, ords, kmer) of every occurrence, each once; only start_node, p and kmer without paths.
+
+    path: its nodes; offsets: their places counted from the start of the first node (the first is 0); ords: the out-list
+    places of its edges; p: where the k-mer starts in the first node; kmer: its hash, of the reversed bases if reverse.
+    starts and errors: see walk().
+    """
+    return occurrences_of(walk(graph, k, max_variant_nodes, starts, max_steps, paths), reverse)
+
+
 def spread(found: DataFrame) -> DataFrame:
     """One row for each node of each occurrence's path: base start_position of node_id is base kmer_position of the k-mer."""
     each = found.select("*", F.posexplode("path").alias("i", "node_id"))

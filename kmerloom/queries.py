@@ -32,7 +32,7 @@ def pack_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linear_kmer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.kmer_counts(occurrences.linear_kmers(D.letters(spark, sf_dir).select("seq"), K_LARGE, positions=False))
+    return frequency.sequence_counts(D.letters(spark, sf_dir), K_LARGE)
 
 
 def distinct_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def _signatures(minimize: bool, align: bool, k: int = K_PAIRS):
 def signatures_given_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the k-mer counts of the documents' letters in place of the graph's."""
     finder = api.KmerFinder(D.bubble_graph(spark, sf_dir), K_PAIRS)
-    finder.set_frequency_index(frequency.kmer_counts(occurrences.linear_kmers(D.letters(spark, sf_dir).select("seq"), K_PAIRS, positions=False)))
+    finder.set_frequency_index(frequency.sequence_counts(D.letters(spark, sf_dir), K_PAIRS))
     return _listed(finder.find_variant_signatures(D.variant_pairs(spark, sf_dir), max_variant_nodes=BUDGET))
 
 

@@ -14,21 +14,46 @@ from kmerloom.sources.fasta import PIECE, read_fasta
 from kmerloom.sources.vcf import ALL, read_vcf
 
 
+def next_kept(variants: DataFrame) -> DataFrame:
+    """variants (numbered: rank, in order of chromosome, position and row) with nxt: the rank of the variant that is kept
+    next if this one is, the first that begins at or past its end; null after the last.
+
+    Beginnings and ends are read together from the last place to the first; what an end has seen last is what follows it.
+    """
+    begins = variants.select("chrom", F.col("pos").alias("at"), F.lit(0).alias("kind"), "rank", (-F.col("rank")).alias("seen"))
+    ends = variants.select("chrom", (F.col("pos") + F.length("ref")).alias("at"), F.lit(1).alias("kind"), "rank", F.lit(None).cast("long").alias("seen"))
+    swept = running(begins.unionByName(ends).withColumn("back", -F.col("at")), "chrom", ["back", "kind", "rank"], near=("max", "seen"))
+    found = swept.where("kind = 1").select("rank", (-F.col("near")).alias("near"))
+    last = variants.groupBy("chrom").agg(F.max("rank").alias("last"))
+    # a variant without reference bases ends where it begins: the next one in order follows
+    following = F.when(F.col("near").isNotNull(), F.greatest("near", F.col("rank") + 1))
+    out = variants.join(found, "rank").join(last, "chrom").withColumn("nxt", following)
+    return out.withColumn("nxt", F.when(F.col("nxt") <= F.col("last"), F.col("nxt"))).drop("near", "last")
+
+
 def kept_variants(variants: DataFrame) -> DataFrame:
     """variants without those that begin before the end of the last kept one, in order of (pos, row_id) per chromosome.
 
-    Where a variant begins at or past the end of all before it, it is kept and the sweep starts afresh; so only the
-    variants between two such places, few and overlapping, are swept one after the other.
-    """
-    ends = running(variants, "chrom", ["pos", "row_id"], past=("max", "pos + length(ref)"))
-    islands = running(ends, "chrom", ["pos", "row_id"], island=("sum", "CASE WHEN past IS NULL OR pos >= past THEN 1 ELSE 0 END"))
-    swept = islands.groupBy("chrom", "island").agg(F.sort_array(F.collect_list(F.struct("pos", "row_id", "ref", "alts"))).alias("own"))
-    fold = """
-        aggregate(own, named_struct('at', -1L, 'kept', filter(own, x -> false)),
-            (s, x) -> if(x.pos < s.at, s, named_struct('at', x.pos + length(x.ref), 'kept', array_append(s.kept, x))),
-            s -> s.kept)
+    A variant that begins at or past the end of all before it is kept, whatever came before. From each of these the kept
+    ones are a chain: each links to the first that begins past its end. Links are doubled, and in each round the targets
+    of kept variants are kept too, so a chain takes as many rounds as the logarithm of its length, and no task has a
+    whole stretch of overlapping variants.
     """
-    return swept.select("chrom", F.explode(F.expr(fold)).alias("x")).select("chrom", "x.*")
+    ranked = number_rows(variants, "rank", "chrom", "pos", "row_id")
+    ends = running(ranked, "chrom", ["pos", "row_id"], past=("max", "pos + length(ref)"))
+    linked = cut(next_kept(ends.withColumn("head", F.expr("past IS NULL OR pos >= past"))), "linked")
+    heads = linked.where("head").select(F.col("rank").alias("nxt"), F.lit(True).alias("is_head"))
+    # links to heads need not be followed: they are kept anyway
+    inner = linked.where("nxt IS NOT NULL").join(heads, "nxt", "left").where("is_head IS NULL").select("rank", "nxt")
+    jumps = cut(inner, "jumps")
+    kept = cut(linked.where("head").select("rank"), "kept")
+    while True:
+        reached = cut(jumps.join(kept, "rank", "left_semi").select(F.col("nxt").alias("rank")), "reached")
+        if reached.isEmpty():
+            break
+        kept = cut(kept.unionByName(reached).distinct(), "kept")
+        jumps = cut(jumps.join(jumps.select(F.col("rank").alias("nxt"), F.col("nxt").alias("then")), "nxt").select("rank", F.col("then").alias("nxt")), "jumps")
+    return linked.join(kept, "rank", "left_semi").select("chrom", "pos", "row_id", "ref", "alts")
 
 
 def in_pieces(contigs: DataFrame, piece: int = PIECE) -> DataFrame:

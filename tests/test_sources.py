@@ -167,3 +167,32 @@ def test_empty_graph(spark):
 
     own = store.empty_graph(spark)
     assert find(own, 3, True).isEmpty() and compress(own).nodes.isEmpty() and add_empty_nodes(own).nodes.isEmpty()
+
+
+def test_kept_variants_by_links(spark):
+    """Chains of links against a sweep in order: ties, insertions, nested and touching variants, and one long deletion over
+    very many others."""
+    import random
+
+    from kmerloom.sources.merge import kept_variants
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.randint(1, 2), rnd.randint(0, 400), "A" * rnd.choice([0, 0, 1, 1, 2, 5, 30]), ["C"]) for i in range(500)]
+    rows += [(1000 + i, 3, 7, "", ["C"]) for i in range(5)] + [(2000, 3, 7, "AC", ["C"]), (2001, 3, 8, "", ["C"]), (2002, 3, 9, "", ["C"])]
+
+    def swept(own):
+        out, at = [], {}
+        for i, chrom, pos, ref, _ in sorted(own, key=lambda r: (r[1], r[2], r[0])):
+            if pos >= at.get(chrom, -1):
+                out.append((chrom, i))
+                at[chrom] = pos + len(ref)
+        return sorted(out)
+
+    schema = "row_id long, chrom int, pos long, ref string, alts array<string>"
+    assert sorted((r.chrom, r.row_id) for r in kept_variants(spark.createDataFrame(rows, schema)).collect()) == swept(rows)
+    assert kept_variants(spark.createDataFrame([], schema)).collect() == []
+    many = spark.range(100_000).selectExpr("id + 1 AS row_id", "1 AS chrom", "id * 2 + 10 AS pos", "'ACG' AS ref", "array('T') AS alts")
+    over = spark.createDataFrame([(0, 1, 0, "A" * 100_000, [""])], schema).unionByName(many)
+    got = kept_variants(over).selectExpr("count(*)", "min(row_id)", "sum(row_id)").first()
+    later = [i + 1 for i in range(100_000) if i * 2 + 10 >= 100_000][::2]  # of those past the deletion, every second
+    assert tuple(got) == (1 + len(later), 0, sum(later))
