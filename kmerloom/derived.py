@@ -59,6 +59,17 @@ def chain_graph(spark: SparkSession, sf_dir: str) -> SequenceGraph:
     return SequenceGraph(nodes, with_in_order(edges))
 
 
+def long_chain_graph(spark: SparkSession, sf_dir: str) -> SequenceGraph:
+    """Nodes of up to three bases, some empty, of single parts; part i leads to i + 1 unless 97 divides it, and to i + 2 if
+    20 divides it. One node in 40 is a variant."""
+    part = table(spark, sf_dir, "part")
+    nodes = part.select(F.col("p_partkey").alias("node_id"), F.substr(bases(F.col("p_partkey").cast("string")), F.lit(1), F.col("p_size") % 4).alias("seq"), (F.col("p_partkey") % 40 != 3).alias("is_ref"))
+    nodes = nodes.select("node_id", "seq", F.length("seq").alias("length"), "is_ref", F.when(F.col("is_ref"), F.col("node_id")).alias("ref_index"))
+    ends = part.select(F.col("p_partkey").alias("src"), F.explode(F.array_compact(F.array(F.when(F.col("p_partkey") % 97 != 0, 0), F.when(F.col("p_partkey") % 20 == 0, 1)))).alias("out"))
+    edges = ends.select("src", (F.col("src") + 1 + F.col("out")).alias("dst"), F.col("out").alias("out_ord")).join(part.select(F.col("p_partkey").alias("dst")), "dst", "left_semi")
+    return SequenceGraph(nodes, with_in_order(edges))
+
+
 def gfa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(value, line_no): a header, a segment for each node of the bubble graph, its links, and a path over reference nodes
     for each hundred sites. Segment names are 3 times the node id and so leave gaps."""

@@ -119,8 +119,9 @@ def required_empty_node_count(graph: SequenceGraph) -> int:
     raise ValueError("the graph has a cycle")
 
 
-def chain_map(graph: SequenceGraph) -> DataFrame:
-    """(node_id, head, place, new_id): the chain each node belongs to, and its place there.
+def chain_map(graph: SequenceGraph, reference: bool = False) -> DataFrame:
+    """(node_id, head, place, new_id): the chain each node belongs to, and its place there. reference: chains of reference
+    nodes only.
 
     A chain goes on over an edge whose source has no other out-edge and whose target no other in-edge. Heads are found by
     pointer jumping, so rounds grow with the logarithm of the longest chain. new_id counts chains by their head. The
@@ -129,6 +130,9 @@ def chain_map(graph: SequenceGraph) -> DataFrame:
     degree = degrees(graph)
     one_out, one_in = degree.where("out_degree = 1").select(F.col("node_id").alias("src")), degree.where("in_degree = 1").select(F.col("node_id").alias("dst"))
     links = graph.edges.select("src", "dst").where("src <> dst").join(one_out, "src").join(one_in, "dst")
+    if reference:
+        ref = graph.nodes.where("is_ref")
+        links = links.join(ref.select(F.col("node_id").alias("src")), "src", "left_semi").join(ref.select(F.col("node_id").alias("dst")), "dst", "left_semi")
     state = graph.nodes.select("node_id").join(links.select(F.col("dst").alias("node_id"), F.col("src").alias("up")), "node_id", "left")
     state = cut(state.select("node_id", F.coalesce("up", "node_id").alias("up"), F.col("up").isNotNull().cast("long").alias("place")))
     limit = max(1, state.count()).bit_length() + 1

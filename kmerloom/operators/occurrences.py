@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ from kmerloom.functions import kmers as K
 from kmerloom.plans.lineage import cut
 from kmerloom.plans.model import SequenceGraph
 
+if TYPE_CHECKING:
+    from kmerloom.operators.unitigs import Unitigs
+
 #: Bases that one row of a long node spans before its k-mers are taken apart.
 CHUNK = 1 << 15
 #: Steps after which a path must have ended: k - 1 bases and a run of empty nodes between any two.
@@ -106,43 +110,54 @@ def _steps(graph: SequenceGraph, k: int) -> DataFrame:
 class Walk:
     """All paths that can end in a k-mer, written: nodes to start from, and a table for each round of steps.
 
-    A row of grown is a path: text holds the last bases of its first node (suffix of them) and ext bases of what follows;
+    inner: (start_node, seq) with the k-mers that need no step, each from one of the first bases of start_node on. A row of
+    grown is a path: text holds the last bases of its first node (suffix of them) and ext bases of what follows;
     the k-mers that end in its last node are those that end after low + 1 to ext of these.
     """
 
     graph: SequenceGraph
     k: int
-    nodes: DataFrame
+    inner: DataFrame
     grown: list[DataFrame]
     carried: tuple[str, ...] = ()
+    units: Unitigs | None = None
 
     @property
     def ending(self) -> list[DataFrame]:
         return [g.where("bases AND ext > low") for g in self.grown]
 
 
-def walk(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: DataFrame | None = None, max_steps: int = MAX_STEPS, paths: bool = True) -> Walk:
+def walk(
+    graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: DataFrame | None = None, max_steps: int = MAX_STEPS, paths: bool = True, units: Unitigs | None = None
+) -> Walk:
     """The paths from the nodes in starts (node_id; all by default), within the limit on variant nodes.
 
-    paths: carry path, offsets and ords, see occurrences(); without them only hops, the edges of the path. RuntimeError if
-    paths still grow after max_steps, as they do on a cycle of empty nodes.
+    paths: carry path, offsets and ords, see occurrences(); without them only hops, the edges of the path. units: the
+    unitigs of the graph for this k; paths then start in nodes and go on over unitigs, of which path and offsets tell, the
+    first being that of the start node. RuntimeError if paths still grow after max_steps, as they do on a cycle of empty
+    nodes.
     """
     K.check_k(k)
     K.check_budget(max_variant_nodes)
     nodes = graph.nodes.where(f"length > 0 AND int(NOT is_ref) <= {max_variant_nodes}")
     if starts is not None:
         nodes = nodes.join(starts.select("node_id").distinct(), "node_id", "left_semi")
-    first = {"path": F.array("start_node"), "offsets": F.expr("array(0)"), "ords": F.expr("cast(array() as array<int>)")} if paths else {"hops": F.lit(0)}
+    if units:
+        nodes = units.fronts(nodes)
+    else:
+        nodes = nodes.select("*", F.col("node_id").alias("unitig"), F.lit("").alias("ahead"), F.lit(0).alias("rest"))
+    inner = nodes.select(F.col("node_id").alias("start_node"), F.concat("seq", "ahead").alias("seq") if units else "seq")
+    first = {"path": F.array("last"), "offsets": F.expr("array(0)"), "ords": F.expr("cast(array() as array<int>)")} if paths else {"hops": F.lit(0)}
     if k == 1:
-        return Walk(graph, k, nodes, [], tuple(first))
-    front = nodes.select(
+        return Walk(graph, k, inner, [], tuple(first), units)
+    front = nodes.where(f"rest < {k - 1}").select(
         F.col("node_id").alias("start_node"),
         F.col("length").alias("len0"),
-        F.expr(f"right(seq, {k - 1})").alias("text"),
+        F.expr(f"concat(right(seq, {k - 1}), ahead)").alias("text"),
         F.expr(f"least(length, {k - 1})").alias("suffix"),
-        F.col("node_id").alias("last"),
+        F.col("unitig").alias("last"),
         F.expr("int(NOT is_ref)").alias("n_var"),
-        F.lit(0).alias("ext"),
+        F.col("rest").alias("ext"),
     ).select("*", *(c.alias(n) for n, c in first.items()))
     front = front.repartition(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), "start_node")  # paths grow where they are dealt, also over a small edge table
     longer = {"path": F.array_append("path", F.col("dst")), "offsets": F.array_append("offsets", F.col("len0") + F.col("ext")), "ords": F.array_append("ords", F.col("out_ord")), "hops": F.col("hops") + 1}
@@ -159,7 +174,7 @@ def walk(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: Dat
         F.expr("more > 0").alias("bases"),
     ]
     fits = F.expr(f"last = src AND n_var + v <= {max_variant_nodes}")
-    steps, tables = cut(_steps(graph, k), "edges"), []
+    steps, tables = units.steps if units else cut(_steps(graph, k), "edges"), []
     for _ in range(0, max_steps, ROUND):
         rounds = []  # several steps between two writes; Spark shares their exchanges
         for i in range(ROUND):
@@ -172,14 +187,14 @@ def walk(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, starts: Dat
             break
     else:
         raise RuntimeError(f"paths still grow after {max_steps} steps; is there a cycle of empty nodes?")
-    return Walk(graph, k, nodes, tables, tuple(first))
+    return Walk(graph, k, inner, tables, tuple(first), units)
 
 
 def occurrences_of(walked: Walk, reverse: bool = False) -> DataFrame:
     """The occurrences along a walk's paths, see occurrences()."""
     graph, k = walked.graph, walked.k
     paths = "path" in walked.carried
-    inner = linear_kmers(walked.nodes.select(F.col("node_id").alias("start_node"), "seq"), k, "seq", graph.encoding, reverse)
+    inner = linear_kmers(walked.inner, k, "seq", graph.encoding, reverse)
     first = {"path": F.array("start_node"), "offsets": F.expr("array(0)"), "ords": F.expr("cast(array() as array<int>)")} if paths else {}
     found = [inner.select("start_node", F.col("position").cast("int").alias("p"), *(c.alias(n) for n, c in first.items()), "kmer")]
     own = K.digits(F.expr(f"substr(text, suffix - {k} + e + 1, {k})"), graph.encoding)
@@ -190,9 +205,10 @@ def occurrences_of(walked: Walk, reverse: bool = False) -> DataFrame:
 
 def stretches_of(walked: Walk) -> DataFrame:
     """(seq, nodes): sequences whose k-mers, each once, are those of the walk's occurrences: whole nodes, and for each path
-    the bases of the k-mers that end in its last node. nodes: how many nodes such an occurrence's path has."""
+    the bases of the k-mers that end in its last node. nodes: how many nodes such an occurrence's path has, unless the walk
+    was over unitigs."""
     k = walked.k
-    found = [walked.nodes.select("seq", F.lit(1).alias("nodes"))]
+    found = [walked.inner.select("seq", F.lit(1).alias("nodes"))]
     nodes = F.size("path") if "path" in walked.carried else F.col("hops") + 1
     found += [g.select(F.expr(f"substr(text, suffix - {k} + low + 2, ext - low + {k - 1})").alias("seq"), nodes.alias("nodes")) for g in walked.ending]
     return reduce(DataFrame.unionByName, found)
@@ -219,16 +235,34 @@ def spread(found: DataFrame) -> DataFrame:
     ).drop("i")
 
 
-def find(graph: SequenceGraph, k: int, include_spanning_nodes: bool = False, max_variant_nodes: int = 255, reverse: bool = False, node_id: int | None = None) -> DataFrame:
+def _over_units(walked: Walk, reverse: bool) -> DataFrame:
+    """(start_node, p, kmer, units): the occurrences of a walk over unitigs, with what they cover behind the start node, see
+    Unitigs.node_rows()."""
+    k, own = walked.k, walked.units.members.select(F.col("node_id").alias("start_node"), F.col("unitig").alias("unit0"), "off", F.col("length").alias("len0"))
+    found = occurrences_of(walked, reverse).join(own, "start_node")
+    # behind the start node in its own unitig, then in each unitig of the path from its first base on
+    here = F.struct(F.col("unit0").alias("unitig"), (F.col("off") + F.col("len0")).alias("low"), (F.col("off") + F.col("p") + k - 1).alias("high"), (-F.col("off") - F.col("p")).alias("shift"))
+    there = F.expr(f"transform(slice(path, 2, size(path)), (u, i) -> struct(u AS unitig, 0L AS low, {k - 1}L - offsets[i + 1] + p AS high, cast(offsets[i + 1] - p AS long) AS shift))")
+    return found.select("start_node", "p", "kmer", F.concat(F.array(here), there).alias("units"))
+
+
+def find(
+    graph: SequenceGraph, k: int, include_spanning_nodes: bool = False, max_variant_nodes: int = 255, reverse: bool = False, node_id: int | None = None, units: Unitigs | None = None
+) -> DataFrame:
     """(kmer, node_id, start_position, kmer_position) of all occurrences: a row at the first node, or one for each node.
 
-    node_id: only the rows of that node; paths then start only where they can have one.
+    node_id: only the rows of that node; paths then start only where they can have one. units: the unitigs of the graph for
+    this k (see unitigs()), which spare a walk over long chains most of its rounds; the rows are the same.
     """
     starts = None
     if node_id is not None:
         centre = graph.spark.createDataFrame([(node_id,)], "centre long")
         starts = behind(graph, centre, k).select("node_id") if include_spanning_nodes else centre.select(F.col("centre").alias("node_id"))
-    found = occurrences(graph, k, max_variant_nodes, starts, reverse, paths=include_spanning_nodes)
+    walked = walk(graph, k, max_variant_nodes, starts, paths=include_spanning_nodes, units=units)
+    if include_spanning_nodes and units:
+        out = units.node_rows(_over_units(walked, reverse))
+        return out if node_id is None else out.where(F.col("node_id") == node_id)
+    found = occurrences_of(walked, reverse)
     if include_spanning_nodes:
         out = spread(found).select("kmer", "node_id", "start_position", "kmer_position")
     else:
@@ -237,25 +271,26 @@ def find(graph: SequenceGraph, k: int, include_spanning_nodes: bool = False, max
 
 
 def behind(graph: SequenceGraph, centres: DataFrame, k: int, max_steps: int = MAX_STEPS) -> DataFrame:
-    """(centre, node_id): nodes from which some path reaches the centre with at most k - 2 bases of other nodes between.
+    """(node_id): nodes from which some path reaches one of the centres with at most k - 2 bases of other nodes between.
 
-    centres: centre. Only the least number of bases to each node is kept, so the reach grows with nodes, not with paths.
+    centres: centre. A node keeps one label, the least number of bases to any centre, so rows grow with the nodes reached,
+    whatever the number of centres.
     """
     size = graph.nodes.select(F.col("node_id").alias("new"), "length")
     back_edges = graph.edges.select(F.col("src").alias("new"), F.col("dst").alias("node_id")).distinct().join(size, "new")
-    # used: the least number of bases from a node's first one to the centre; 0 for the centre itself
-    best = front = cut(centres.select("centre", F.col("centre").alias("node_id"), F.lit(0).alias("used")).distinct())
+    # used: the least number of bases from a node's first one to a centre; 0 for a centre itself
+    best = front = cut(centres.select(F.col("centre").cast("long").alias("node_id"), F.lit(0).alias("used")).distinct())
     if k == 1:
-        return best.select("centre", "node_id")
+        return best.select("node_id")
     back = cut(back_edges, "edges")
     for _ in range(max_steps):
-        step = front.where(f"used <= {k - 2}").join(back, "node_id").groupBy("centre", "new").agg(F.min(F.col("used") + F.col("length")).alias("used"))
-        known = best.select("centre", F.col("node_id").alias("new"), F.col("used").alias("had"))
-        step = step.join(known, ["centre", "new"], "left").where("had IS NULL OR used < had")
-        front = cut(step.select("centre", F.col("new").alias("node_id"), "used"))
+        step = front.where(f"used <= {k - 2}").join(back, "node_id").groupBy("new").agg(F.min(F.col("used") + F.col("length")).alias("used"))
+        known = best.select(F.col("node_id").alias("new"), F.col("used").alias("had"))
+        step = step.join(known, "new", "left").where("had IS NULL OR used < had")
+        front = cut(step.select(F.col("new").alias("node_id"), "used"))
         if front.isEmpty():
-            return best.select("centre", "node_id")
-        best = cut(best.unionByName(front).groupBy("centre", "node_id").agg(F.min("used").alias("used")))
+            return best.select("node_id")
+        best = cut(best.unionByName(front).groupBy("node_id").agg(F.min("used").alias("used")))
     raise RuntimeError(f"the search backwards still grows after {max_steps} steps")
 
 

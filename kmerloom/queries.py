@@ -9,7 +9,7 @@ from kmerloom import __main__ as command
 from kmerloom import api
 from kmerloom import derived as D
 from kmerloom.functions import kmers as K
-from kmerloom.operators import frequency, graph, occurrences, signatures
+from kmerloom.operators import frequency, graph, occurrences, signatures, unitigs
 from kmerloom.plans.lineage import cut, new_path
 from kmerloom.sources import fasta, gfa, literals, merge, store, vcf
 
@@ -51,6 +51,16 @@ def find_spanning_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences.find(D.bubble_graph(spark, sf_dir), K_LARGE, True, BUDGET)
 
 
+def find_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = D.long_chain_graph(spark, sf_dir)
+    return occurrences.find(own, K_LARGE, max_variant_nodes=BUDGET, units=unitigs.unitigs(own, K_LARGE))
+
+
+def find_compacted_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = D.long_chain_graph(spark, sf_dir)
+    return occurrences.find(own, K_LARGE, True, BUDGET, units=unitigs.unitigs(own, K_LARGE))
+
+
 def find_one_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences.find(D.bubble_graph(spark, sf_dir), K_LARGE, True, BUDGET, node_id=21)
 
@@ -315,7 +325,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *(hash_decode_reverse, pack_kmers, encoding_check, linear_kmer_frequency, distinct_kmers),
-        *(find_initial, find_spanning, find_spanning_large, find_max_variants_0, find_reversed, find_one_node, found_kmer_text),
+        *(find_initial, find_spanning, find_spanning_large, find_max_variants_0, find_reversed, find_one_node, found_kmer_text, find_compacted, find_compacted_spanning),
         *(kmer_frequency_index, spanning_frequency_index, spanning_node, variant_kmers, variant_kmers_large, kmer_windows, window_pairs_aligned),
         *(signatures_given_frequencies, signatures_wrapper, signature_text),
         *(in_edges_degrees, root_last_nodes, edge_and_parent, graph_arrays, describe_nodes, get_nodes, base_codes, next_reference, required_empty_node_count),
@@ -350,6 +360,15 @@ _GRAPH = """
 """
 
 
+#: The graph of long chains derived from part.
+_LONG = """
+    nodes AS (SELECT p_partkey AS node_id, substring(translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, (p_size % 4)::INT) AS seq,
+                     (p_size % 4)::INT AS length, p_partkey % 40 <> 3 AS is_ref FROM part),
+    edges AS (SELECT a.p_partkey AS src, b.p_partkey AS dst, (b.p_partkey - a.p_partkey - 1)::INT AS out_ord FROM part a JOIN part b
+              ON b.p_partkey = a.p_partkey + 1 AND a.p_partkey % 97 <> 0 OR b.p_partkey = a.p_partkey + 2 AND a.p_partkey % 20 = 0)
+"""
+
+
 def _hash(text: str) -> str:
     """A k-mer's base-4 number in DuckDB."""
     return f"list_reduce(list_transform(string_split(translate({text}, 'ACGT', '0123'), ''), lambda x: x::BIGINT), lambda a, b: a * 4 + b)"
@@ -550,6 +569,8 @@ ORACLES: dict[str, str] = {
     + """ SELECT pair_id, coalesce(array_to_string(reference_kmers, ','), '') AS reference, coalesce(array_to_string(variant_kmers, ','), '') AS variant, max_frequency
           FROM pair LEFT JOIN best USING (pair_id)""",
     "find_spanning_large": f"{_K31} SELECT {_hash('s')} AS kmer, node_id, start_position, kmer_position FROM rows",
+    "find_compacted": f"{_with(_LONG, _occurrences(K_LARGE, BUDGET))} SELECT {_hash('s')} AS kmer, start_node AS node_id, p::INT AS start_position, 0 AS kmer_position FROM occ",
+    "find_compacted_spanning": f"{_with(_LONG, _occurrences(K_LARGE, BUDGET))} SELECT {_hash('s')} AS kmer, node_id, start_position, kmer_position FROM rows",
     "find_one_node": f"{_K31} SELECT {_hash('s')} AS kmer, node_id, start_position, kmer_position FROM rows WHERE node_id = 21",
     "variant_kmers_large": f"""
         {_K31},

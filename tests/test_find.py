@@ -5,12 +5,14 @@ import pytest
 
 from kmerloom.api import KmerFinder
 from kmerloom.functions.kmers import hash_text
+from kmerloom.operators import unitigs
 from kmerloom.operators.frequency import frequency_index
+from kmerloom.operators.occurrences import find, walk
 from kmerloom.sources.literals import from_lists
 
 # The graphs T and U, and the first three of GRAPHS with their row counts, have known results.
 T = (["ACTGACTGACTG", "G", "T", "AT", "ACT", "CTA", "CTGCTTTTTTTT"], [[1, 2], [3], [3], [4, 5], [6], [6], []], [0, 1, 3, 4, 6])
-U = ([*T[0][:2], "", "AT", "AACTG", *T[0][5:]], *T[1:])
+U = (["ACTGACTGACTG", "G", "", "AT", "AACTG", "CTA", "CTGCTTTTTTTT"], *T[1:])
 
 
 def collected(df):
@@ -27,14 +29,6 @@ GRAPHS = [
         3,
         10,
     ),
-    (["GGATC" * 9, "TTAGC" * 15, "C" * 40 + "A", "GATTC" * 8], [[2, 1], [3], [3], []], [0, 2, 3], 4, 3),  # long nodes that repeat
-    (  # a ladder: two nodes a rung, each leading to both of the next
-        ["CAGTT", *(b for i in range(5) for b in ("TCAGT"[i], "GACTA"[i])), "TTGAC"],
-        [[1, 2], *([2 * i + 3, 2 * i + 4] for i in range(4) for _ in range(2)), [11], [11], []],
-        [0, 1, 3, 5, 7, 9, 11],
-        6,
-        2,
-    ),
     (["ACGT", "A", "C"], [[1, 2], [2, 0], []], [0, 2], 5, 1),  # a skip edge and a cycle
     (["ACGT", "GG"], [[1], []], None, 1, 0),
 ]
@@ -47,6 +41,70 @@ def test_find_matches_brute_force(spark, seqs, edges, ref, k, most):
         assert collected(finder.find(spanning, most)) == brute.rows(seqs, edges, ref, k, most, spanning)
 
 
+def layered(rnd, layers, sizes, skip=0.2):
+    """A graph drawn layer by layer: one to three nodes each, edges to some of the next layer and over it, some nodes empty."""
+    seqs, edges, before = [], [], []
+    for _ in range(layers):
+        own = list(range(len(seqs), len(seqs) + rnd.randint(1, 3)))
+        for v in own:
+            seqs.append("".join(rnd.choice("ACGTn") for _ in range(rnd.choice(sizes))))
+            edges.append([])
+        for v in before:
+            edges[v] += rnd.sample(own, rnd.randint(1, len(own)))
+            if v >= 2 and rnd.random() < skip:
+                edges[v - 2] += [x for x in own[:1] if x not in edges[v - 2]]
+        before = own
+    ref = [v for v in range(len(seqs)) if rnd.random() < 0.7]
+    return seqs, edges, ref
+
+
+@pytest.mark.parametrize("seed,layers,sizes,k,most", [(1, 7, [0, 1, 2, 3], 6, 3), (2, 4, [0, 2, 70, 130], 5, 2), (3, 9, [0, 0, 1, 4], 4, 255), (4, 5, [31, 32, 33, 64], 31, 1)])
+def test_drawn_graphs(spark, seed, layers, sizes, k, most):
+    seqs, edges, ref = layered(random.Random(seed), layers, sizes)
+    finder = KmerFinder(from_lists(spark, seqs, edges, ref=ref), k)
+    for spanning in (False, True):
+        assert collected(finder.find(spanning, most)) == brute.rows(seqs, edges, ref, k, most, spanning)
+
+
+def chained(rnd, chains):
+    """Chains of up to 40 nodes, many of them empty, that lead to the next one or two; a variant node now and then."""
+    seqs, edges, heads, ref = [], [], [], []
+    for _ in range(chains):
+        heads.append(len(seqs))
+        size = rnd.choice([1, 2, 10, 40])
+        for i in range(size):
+            seqs.append("".join(rnd.choice("ACGT") for _ in range(rnd.choice([0, 0, 1, 2]))))
+            edges.append([len(seqs)] if i + 1 < size else [])
+            if size > 1 or rnd.random() < 0.5:
+                ref.append(len(seqs) - 1)
+    ends = [h - 1 for h in heads[1:]] + [len(seqs) - 1]
+    for i, end in enumerate(ends):
+        edges[end] = heads[i + 1 : i + 3]
+    return seqs, edges, ref
+
+
+@pytest.mark.parametrize("seed,k,most", [(1, 7, 2), (2, 2, 1), (3, 12, 255), (4, 1, 0)])
+def test_unitigs_give_the_same_rows(spark, monkeypatch, seed, k, most):
+    monkeypatch.setattr(unitigs, "PIECE", 8)  # unitigs of many pieces
+    seqs, edges, ref = chained(random.Random(seed), 12)
+    graph = from_lists(spark, seqs, edges, ref=ref)
+    units = unitigs.unitigs(graph, k)
+    for spanning in (False, True):
+        assert collected(find(graph, k, spanning, most, units=units)) == brute.rows(seqs, edges, ref, k, most, spanning)
+    one = len(seqs) // 2
+    assert collected(find(graph, k, True, most, node_id=one, units=units)) == [r for r in brute.rows(seqs, edges, ref, k, most, True) if r[1] == one]
+
+
+def test_unitigs_need_fewer_rounds(spark):
+    seqs, edges = ["A", *["CG"[i % 2] for i in range(60)], "T", "G", "TT"], [[i + 1] for i in range(63)] + [[]]
+    edges[60] = [61, 62]
+    edges[61] = [63]
+    graph = from_lists(spark, seqs, edges)
+    units = unitigs.unitigs(graph, 31)
+    assert len(walk(graph, 31, units=units).grown) == 1 < len(walk(graph, 31).grown)
+    assert collected(find(graph, 31, units=units)) == brute.rows(seqs, edges, None, 31, 255, False)
+
+
 def test_rows_of_one_node(spark):
     seqs, edges, ref, k, most = GRAPHS[1]
     finder = KmerFinder(from_lists(spark, seqs, edges, ref=ref), k)
