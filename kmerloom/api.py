@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import MAX_K, check_k, reverse_hash
 from kmerloom.operators import frequency, occurrences, signatures
+from kmerloom.plans.lineage import cut
 from kmerloom.plans.model import SequenceGraph
+from kmerloom.sources import store
 from kmerloom.sources.literals import from_codes
 
 
@@ -31,14 +33,20 @@ class KmerFinder:
         return occurrences.variant_kmers(self.graph, self.k, pairs, max_variant_nodes, self.reverse_kmers)
 
     def create_frequency_index(self, max_variant_nodes: int = 255, set_index: bool = True) -> DataFrame:
-        """(kmer, frequency), keyed like find(); used by all later signatures if set_index. One walk over the graph."""
+        """(kmer, frequency), keyed like find(); used by all later signatures if set_index. It is counted and
+        written once, whatever the number of uses; write_index() of sources.store keeps it for other sessions."""
         if max_variant_nodes not in self._counted:
-            self._counted[max_variant_nodes] = frequency.frequency_index(self.graph, self.k, max_variant_nodes)
+            self._counted[max_variant_nodes] = cut(frequency.frequency_index(self.graph, self.k, max_variant_nodes), "index")
         own = self._counted[max_variant_nodes]
         if set_index:
             self._given = own
         return own.withColumn("kmer", reverse_hash(F.col("kmer"), self.k)) if self.reverse_kmers else own
 
+    def use_stored_index(self, path: str) -> None:
+        """Use the frequencies that sources.store.write_index() has written for this k, keyed like find() without
+        reverse_kmers. They are joined where they lie."""
+        self._given = store.read_index(self.graph.spark, path, self.k)
+
     def set_frequency_index(self, given: DataFrame | Mapping[int, int]) -> None:
         """Use the caller's frequencies, keyed like find(); k-mers that are not in them count 0."""
         self._given = frequency.frequency_table(self.graph.spark, given, self.k, self.reverse_kmers)
@@ -48,8 +56,8 @@ class KmerFinder:
     ) -> DataFrame:
         """Signatures of pairs, given as two lists of node ids or as a table (pair_id, ref_node, var_node).
 
-        Without an index set before, frequencies are those of this graph under the same number of variant nodes; they
-        are kept for later calls with that number.
+        Without an index set or made before, frequencies are those of this graph under the same number of variant nodes; only
+        the k-mers of the windows are counted then. create_frequency_index() makes a whole index for many calls.
         """
         if isinstance(reference_nodes, DataFrame):
             pairs = reference_nodes
@@ -58,12 +66,9 @@ class KmerFinder:
                 raise ValueError("as many variant as reference nodes are needed")
             rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(reference_nodes, variant_nodes, strict=True))]
             pairs = self.graph.spark.createDataFrame(rows, "pair_id long, ref_node long, var_node long")
-        found, counts = None, self._given if self._given is not None else self._counted.get(max_variant_nodes)
-        if counts is None:  # one walk over the graph for the index and the windows
-            walked = occurrences.walk(self.graph, self.k, max_variant_nodes)
-            found = occurrences.occurrences_of(walked)
-            counts = self._counted[max_variant_nodes] = frequency.walk_counts(walked)
-        return signatures.find_variant_signatures(self.graph, self.k, pairs, counts, max_variant_nodes, minimize_overlaps, align_windows, self.reverse_kmers, found)
+        counts = self._given if self._given is not None else self._counted.get(max_variant_nodes)
+        walked = occurrences.walk(self.graph, self.k, max_variant_nodes) if counts is None else None  # one walk for the windows and their counts
+        return signatures.find_variant_signatures(self.graph, self.k, pairs, counts, max_variant_nodes, minimize_overlaps, align_windows, self.reverse_kmers, walked=walked)
 
 
 def get_variant_signatures(graph: SequenceGraph, pairs: DataFrame, frequencies: DataFrame | Mapping[int, int], k: int = MAX_K) -> DataFrame:

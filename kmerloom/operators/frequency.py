@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
 from kmerloom.operators.occurrences import Walk, linear_kmers, stretches_of, walk
-from kmerloom.operators.superkmers import LEAST_K, superkmer_counts
+from kmerloom.operators.superkmers import LEAST_K, asked_kmers, superkmer_counts
 from kmerloom.plans.model import SequenceGraph
 
 
@@ -35,6 +35,17 @@ def walk_counts(walked: Walk, include_spanning_nodes: bool = False, reverse: boo
     return sequence_counts(stretches_of(walked), walked.k, walked.graph.encoding, reverse, "nodes" if include_spanning_nodes else None)
 
 
+def asked_counts(walked: Walk, rows: DataFrame, reverse: bool = False) -> DataFrame:
+    """(kmer, frequency) of a walk's occurrences, for all k-mers of the rows and perhaps some others.
+
+    A Bloom filter of the rows' k-mers goes to where stretches are cut, so that other k-mers are neither shuffled nor
+    counted; the join with the rows then is exact. Below LEAST_K all k-mers are counted, which are few.
+    """
+    if walked.k < LEAST_K:
+        return walk_counts(walked, reverse=reverse)
+    return superkmer_counts(stretches_of(walked), walked.k, walked.graph.encoding, reverse, asked=asked_kmers(rows))
+
+
 def frequency_index(graph: SequenceGraph, k: int, max_variant_nodes: int = 255, include_spanning_nodes: bool = False, reverse: bool = False) -> DataFrame:
     """(kmer, frequency) over all occurrences, or over their rows at every path node."""
     return walk_counts(walk(graph, k, max_variant_nodes, paths=False), include_spanning_nodes, reverse)

@@ -9,21 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
-from kmerloom.operators.frequency import with_frequency
-from kmerloom.operators.occurrences import MAX_STEPS, occurrences_over, sides
+from kmerloom.operators.frequency import asked_counts, with_frequency
+from kmerloom.operators.occurrences import MAX_STEPS, Walk, occurrences_of, occurrences_over, sides, walk
 from kmerloom.plans.lineage import cut
 from kmerloom.plans.model import SequenceGraph
 
 
-def back_keys(graph: SequenceGraph, k: int, starts: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
-    """(centre, start_node, back_key): where a start node comes in the order of discovery.
-
-    starts: centre, start_node of nodes that start an occurrence over the centre. back_key is the least array of negated
-    in-list places over paths from the centre backwards whose inner nodes are empty or starts themselves.
-    """
+def _back_paths(graph: SequenceGraph, k: int, starts: DataFrame, live: DataFrame | None, max_steps: int) -> DataFrame:
+    """(centre, start_node, back_key) of the starts that paths backwards from their centre reach: the least array of negated
+    in-list places over these paths. live: (centre, node_id) of the nodes that a path may go on from, beside empty ones."""
     size = graph.nodes.select(F.col("node_id").alias("src"), "length")
     back_edges = graph.edges.select("src", F.col("dst").alias("node_id"), (-F.col("in_ord")).alias("place")).join(size, "src")
-    live = cut(starts.select("centre", F.col("start_node").alias("node_id")).distinct())
     front = starts.select("centre").distinct().select("centre", F.col("centre").alias("node_id"), F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("back_key"))
     front, found = cut(front), []
     back = cut(back_edges, "edges")
@@ -31,31 +27,56 @@ def back_keys(graph: SequenceGraph, k: int, starts: DataFrame, max_steps: int =
         found.append(front.select("centre", "node_id", "back_key"))
         step = front.where(f"used <= {k - 2}").join(back, "node_id")
         step = step.select("centre", F.col("src").alias("node_id"), (F.col("used") + F.col("length")).alias("used"), F.array_append("back_key", F.col("place")).alias("back_key"), "length")
-        step = step.join(live.withColumn("alive", F.lit(True)), ["centre", "node_id"], "left").where("length = 0 OR alive")
+        if live is not None:
+            step = step.join(live.withColumn("alive", F.lit(True)), ["centre", "node_id"], "left").where("length = 0 OR alive")
         front = cut(step.groupBy("centre", "node_id", "used").agg(F.min("back_key").alias("back_key")))
         if front.isEmpty():
-            out = reduce(DataFrame.unionByName, found)
-            return out.join(live, ["centre", "node_id"], "left_semi").groupBy("centre", F.col("node_id").alias("start_node")).agg(F.min("back_key").alias("back_key"))
+            own = starts.select("centre", F.col("start_node").alias("node_id")).distinct()
+            out = reduce(DataFrame.unionByName, found).join(own, ["centre", "node_id"], "left_semi")
+            return out.groupBy("centre", F.col("node_id").alias("start_node")).agg(F.min("back_key").alias("back_key"))
     raise RuntimeError(f"the search backwards still grows after {max_steps} steps")
 
 
-def kmer_windows(graph: SequenceGraph, k: int, pairs: DataFrame, frequencies: DataFrame, max_variant_nodes: int = 255, found: DataFrame | None = None) -> DataFrame:
+def back_keys(graph: SequenceGraph, k: int, starts: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """(centre, start_node, late, back_key): where a start node comes in the order of discovery.
+
+    starts: centre, start_node of nodes that start an occurrence over the centre. back_key is the least array of negated
+    in-list places over paths from the centre backwards whose inner nodes are empty or starts themselves. Starts that no
+    such path reaches, as happens near a node without out-edges, come after all others (late), by the least array over
+    all paths.
+    """
+    starts = cut(starts.select("centre", "start_node").distinct())
+    found = cut(_back_paths(graph, k, starts, starts.select("centre", F.col("start_node").alias("node_id")), max_steps))
+    missed = starts.join(found, ["centre", "start_node"], "left_anti")
+    out = found.select("centre", "start_node", F.lit(False).alias("late"), "back_key")
+    if missed.isEmpty():
+        return out
+    rest = _back_paths(graph, k, cut(missed), None, max_steps)
+    return out.unionByName(rest.select("centre", "start_node", F.lit(True).alias("late"), "back_key"))
+
+
+def kmer_windows(graph: SequenceGraph, k: int, pairs: DataFrame, frequencies: DataFrame | None, max_variant_nodes: int = 255, found: DataFrame | None = None, walked: Walk | None = None) -> DataFrame:
     """(pair_id, side, node_id, window, start_position, kmer_position, kmers, max_frequency) of both nodes of each pair.
 
     k-mers over a node that lie alike on it form a window. kmers keeps repeats, in order of discovery; window counts the
     windows of a side from 0 in the order of their first k-mer; max_frequency is the greatest of its k-mers. found: the graph's
-    occurrences under the same k and limit, where they are at hand.
+    occurrences under the same k and limit, where they are at hand. walked: the walk over the whole graph; without
+    frequencies the k-mers of the windows, and only they, are counted along it.
     """
     wanted = sides(pairs)
+    if walked is not None:
+        found = occurrences_of(walked)
     rows = cut(occurrences_over(graph, k, wanted.select("centre"), max_variant_nodes, found=found))
+    if frequencies is None:
+        frequencies = asked_counts(walked if walked is not None else walk(graph, k, max_variant_nodes, paths=False), rows)
     keyed = rows.join(back_keys(graph, k, rows.select("centre", "start_node")), ["centre", "start_node"])
     keyed = with_frequency(keyed, frequencies)
-    own = F.struct("back_key", "ords", "p", "kmer", "frequency")
+    own = F.struct("late", "back_key", "ords", "p", "kmer", "frequency")
     grouped = keyed.groupBy("centre", "start_position", "kmer_position").agg(F.sort_array(F.collect_list(own)).alias("own"))
     windows = grouped.select(
         "centre", "start_position", "kmer_position", F.col("own.kmer").alias("kmers"), F.array_max("own.frequency").alias("max_frequency"), F.expr("own[0]").alias("first")
     )
-    at = F.row_number().over(W.partitionBy("centre").orderBy("first.back_key", "first.ords", "first.p")) - 1
+    at = F.row_number().over(W.partitionBy("centre").orderBy("first.late", "first.back_key", "first.ords", "first.p")) - 1
     windows = windows.withColumn("window", at).drop("first")
     return windows.join(wanted, "centre").select("pair_id", "side", F.col("centre").alias("node_id"), "window", "start_position", "kmer_position", "kmers", "max_frequency")
 
@@ -134,20 +155,21 @@ def find_variant_signatures(
     graph: SequenceGraph,
     k: int,
     pairs: DataFrame,
-    frequencies: DataFrame,
+    frequencies: DataFrame | None,
     max_variant_nodes: int = 255,
     minimize_overlaps: bool = False,
     align_windows: bool = False,
     reverse: bool = False,
     found: DataFrame | None = None,
+    walked: Walk | None = None,
 ) -> DataFrame:
     """(pair_id, reference_kmers, variant_kmers, max_frequency, hypotenuse_frequency), one row for each pair.
 
-    pairs: pair_id, ref_node, var_node. frequencies: see frequency_table(). A pair without windows, or without an aligned
+    pairs: pair_id, ref_node, var_node. frequencies: see frequency_table(); None for those of the graph. A pair without windows, or without an aligned
     pair of them, keeps its row with empty arrays and null scores. reverse: the k-mers found are hashed in reverse order.
-    found: see kmer_windows().
+    found, walked: see kmer_windows().
     """
-    windows = cut(kmer_windows(graph, k, pairs, frequencies, max_variant_nodes, found))
+    windows = cut(kmer_windows(graph, k, pairs, frequencies, max_variant_nodes, found, walked))
     best = aligned_signatures(window_pairs(graph, k, windows), minimize_overlaps) if align_windows else unaligned_signatures(windows, minimize_overlaps)
     out = pairs.select("pair_id").join(best, "pair_id", "left")
     for side in ("reference_kmers", "variant_kmers"):

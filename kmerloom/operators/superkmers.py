@@ -28,6 +28,8 @@ from kmerloom.plans.lineage import cut
 M, LEAST_K = 10, 12
 #: K-mers of a bin, and bytes of packed stretches that a task holds before it passes them on.
 BIN_KMERS, HELD_BYTES = 1 << 23, 1 << 25
+#: Bits of a filter of k-mers: one megabyte to 16.
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
 #: Pieces that are hashed at once.
 PIECES = 16
 #: Bases of a piece; a stretch is never longer.
@@ -66,11 +68,55 @@ def code_table(encoding: str) -> np.ndarray:
     return table
 
 
-def stretches(texts: list[bytes], k: int, table: np.ndarray):
+class Asked:
+    """A Bloom filter of k-mers: what it lets through is all that were put in, and few others while it is not too full.
+
+    Its bits are at most MOST_BITS, whatever is asked; filled up, it lets more through, and nothing else changes.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(kmers: np.ndarray, bits: int) -> np.ndarray:
+        """Two bits of each k-mer."""
+        h = kmers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return np.stack([h >> np.uint64(34), (h ^ h >> np.uint64(29)) & np.uint64(0x3FFFFFFF)]) % np.uint64(bits)
+
+    def holds(self, kmers: np.ndarray) -> np.ndarray:
+        at = self.places(kmers, 64 * len(self.words))
+        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+
+def asked_kmers(kmers: DataFrame) -> Asked:
+    """The filter of a table of k-mers (column kmer). Tasks fill bits, and Spark joins them word by word; the driver gets
+    16 bits for each row, between LEAST_BITS and MOST_BITS."""
+    n = kmers.count()
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < 16 * n:
+        bits *= 2
+
+    def run(batches):
+        words = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            at = Asked.places(np.asarray(batch.column(0), np.int64), bits).ravel()
+            np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        there = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(words[there].view(np.int64))], ["place", "word"])
+
+    rows = kmers.select("kmer").where("kmer IS NOT NULL").mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[np.asarray(rows["place"])] = np.asarray(rows["word"]).view(np.uint64)
+    return Asked(words)
+
+
+def stretches(texts: list[bytes], k: int, table: np.ndarray, asked: Asked | None = None, reverse: bool = False):
     """(codes, first, n, minimizer, text): the stretches of k-mers with one minimizer in some texts.
 
     codes: of all texts on end; first: the place of a stretch's first base there; n: its k-mers; text: which text it is in.
-    K-mers with other characters than bases are in none.
+    K-mers with other characters than bases are in none, nor are those that are not asked (if reverse, in reverse order).
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     codes = table[np.frombuffer(b"".join(texts), np.uint8)]
@@ -81,6 +127,8 @@ def stretches(texts: list[bytes], k: int, table: np.ndarray):
     bad = np.concatenate([[0], np.cumsum(codes > 3)])
     ends = np.cumsum(sizes)
     live = (np.repeat(ends, sizes) - np.arange(len(codes)) >= k)[: len(codes) - k + 1] & (bad[k:] == bad[: len(codes) - k + 1])
+    if asked is not None:
+        live &= asked.holds(rolled(codes & 3, k, reverse))
     least = _least_in_window(_mixed(rolled(codes & 3, m)), k - m + 1) & np.uint64((1 << 2 * M) - 1)
     at = np.flatnonzero(live)
     own = least[at].astype(np.int64)
@@ -105,14 +153,14 @@ def _batches(batches):
             yield [x.as_buffer() for x in part.column(0)], np.asarray(part.column(1), np.int64)
 
 
-def minimizer_loads(pieces: DataFrame, k: int, encoding: str) -> DataFrame:
+def minimizer_loads(pieces: DataFrame, k: int, encoding: str, asked: Asked | None = None, reverse: bool = False) -> DataFrame:
     """(minimizer, n): how many k-mers have each. A task passes on one number for each minimizer at most."""
     table, m = code_table(encoding), minimizer_size(k)
 
     def run(batches):
         total = np.zeros(4**m, np.int64)
         for texts, _ in _batches(batches):
-            _, _, n, minimizer, _ = stretches(texts, k, table)
+            _, _, n, minimizer, _ = stretches(texts, k, table, asked, reverse)
             total += np.bincount(minimizer, n, minlength=4**m).astype(np.int64)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["minimizer", "n"])
@@ -153,7 +201,7 @@ def _without_rest(data: np.ndarray, sizes: np.ndarray, n: np.ndarray, k: int) ->
     return out
 
 
-def binned_stretches(pieces: DataFrame, k: int, encoding: str, bins: np.ndarray, parts: np.ndarray) -> DataFrame:
+def binned_stretches(pieces: DataFrame, k: int, encoding: str, bins: np.ndarray, parts: np.ndarray, asked: Asked | None = None, reverse: bool = False) -> DataFrame:
     """(bin, split, n, weights, bases): stretches packed by bin; split marks parts of a heavy minimizer."""
     table, held = code_table(encoding), HELD_BYTES
 
@@ -187,7 +235,7 @@ def binned_stretches(pieces: DataFrame, k: int, encoding: str, bins: np.ndarray,
     def run(batches):
         own, size, runs = [], 0, Counter()
         for texts, weights in _batches(batches):
-            codes, first, n, minimizer, text = stretches(texts, k, table)
+            codes, first, n, minimizer, text = stretches(texts, k, table, asked, reverse)
             if not len(first):
                 continue
             weight, heavy = weights[text], parts[minimizer] > 1
@@ -229,20 +277,21 @@ def counts_of(table: pa.Table, k: int, reverse: bool) -> tuple[np.ndarray, np.nd
     return kmers[first], np.add.reduceat(weight, first)
 
 
-def superkmer_counts(sequences: DataFrame, k: int, encoding: str = K.DEFAULT_ENCODING, reverse: bool = False, weight: str | None = None, budget: int = BIN_KMERS) -> DataFrame:
+def superkmer_counts(sequences: DataFrame, k: int, encoding: str = K.DEFAULT_ENCODING, reverse: bool = False, weight: str | None = None, budget: int = BIN_KMERS, asked: Asked | None = None) -> DataFrame:
     """(kmer, frequency): how often each k bases in a row stand in the sequences (column seq), as counting them one by one
     gives. weight: a column that says how often a sequence counts. K-mers with other characters than bases, null and short
-    sequences count nothing. k is LEAST_K or more."""
+    sequences count nothing. asked: only k-mers that this filter lets through are shuffled and counted. k is LEAST_K or
+    more."""
     if K.check_k(k) < LEAST_K:
         raise ValueError(f"k is {LEAST_K} or more here")
     pieces = _pieces(sequences, k, weight)
-    bins, parts = share_out(minimizer_loads(pieces, k, encoding), k, budget)
+    bins, parts = share_out(minimizer_loads(pieces, k, encoding, asked, reverse), k, budget)
 
     def count(table: pa.Table) -> pa.Table:
         kmers, n = counts_of(table, k, reverse)
         return pa.table({"kmer": kmers, "frequency": n, "split": pa.array(np.full(len(kmers), table["split"][0].as_py()))})
 
-    counted = binned_stretches(pieces, k, encoding, bins, parts).groupBy("bin").applyInArrow(count, "kmer long, frequency long, split boolean")
+    counted = binned_stretches(pieces, k, encoding, bins, parts, asked, reverse).groupBy("bin").applyInArrow(count, "kmer long, frequency long, split boolean")
     if (parts == 1).all():
         return counted.select("kmer", "frequency")
     counted = cut(counted, "counted")  # read twice: counts of split bins are parts

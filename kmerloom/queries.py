@@ -142,6 +142,21 @@ def signatures_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(api.get_variant_signatures(own, D.variant_pairs(spark, sf_dir), counts, K_LARGE))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "index")
+    store.write_index(frequency.frequency_index(D.bubble_graph(spark, sf_dir), K_LARGE, BUDGET), path, K_LARGE)
+    return store.read_index(spark, path, K_LARGE)
+
+
+def stored_index_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of all pairs with a stored index of the whole graph."""
+    own, path = D.bubble_graph(spark, sf_dir), new_path(spark, "index")
+    store.write_index(frequency.frequency_index(own, K_PAIRS, BUDGET), path, K_PAIRS)
+    finder = api.KmerFinder(own, K_PAIRS)
+    finder.use_stored_index(path)
+    return _listed(finder.find_variant_signatures(D.variant_pairs(spark, sf_dir), max_variant_nodes=BUDGET, minimize_overlaps=True))
+
+
 def signature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = api.KmerFinder(D.bubble_graph(spark, sf_dir), K_PAIRS).find_variant_signatures(D.variant_pairs(spark, sf_dir), max_variant_nodes=BUDGET)
     text = store.signature_text(found, K_PAIRS)
@@ -327,7 +342,7 @@ QUERIES = {
         *(hash_decode_reverse, pack_kmers, encoding_check, linear_kmer_frequency, distinct_kmers),
         *(find_initial, find_spanning, find_spanning_large, find_max_variants_0, find_reversed, find_one_node, found_kmer_text, find_compacted, find_compacted_spanning),
         *(kmer_frequency_index, spanning_frequency_index, spanning_node, variant_kmers, variant_kmers_large, kmer_windows, window_pairs_aligned),
-        *(signatures_given_frequencies, signatures_wrapper, signature_text),
+        *(signatures_given_frequencies, signatures_wrapper, signature_text, stored_index, stored_index_signatures),
         *(in_edges_degrees, root_last_nodes, edge_and_parent, graph_arrays, describe_nodes, get_nodes, base_codes, next_reference, required_empty_node_count),
         *(compress_nodes, compress_edges, add_empty_nodes, edge_list_graph, code_table_graph, binary_round_trip, stored_graph, extended_nodes, extended_edges),
         *(gfa_nodes, gfa_edges, gfa_dense_nodes, gfa_compressed_nodes, vcf_normalize, vcf_structural_filter),
@@ -416,11 +431,19 @@ def _windows_sql(k: int = K_PAIRS, freq: str = "SELECT s, count(*) AS n FROM occ
         SELECT b.centre, e.src, b.used + n.length, list_append(b.key, -e.in_ord)
         FROM back b JOIN edges e ON e.dst = b.node_id JOIN nodes n ON n.node_id = e.src LEFT JOIN live l ON l.centre = b.centre AND l.start_node = e.src
         WHERE b.used <= {k - 2} AND (n.length = 0 OR l.centre IS NOT NULL)),
-    keys AS (SELECT b.centre, b.node_id AS start_node, min(b.key) AS key FROM back b JOIN live l ON l.centre = b.centre AND l.start_node = b.node_id GROUP BY ALL),
-    found AS (SELECT o.node_id AS centre, o.start_position, o.kmer_position, o.s, k.key, o.ords, o.p, coalesce(f.n, 0) AS n
+    reached AS (SELECT b.centre, b.node_id AS start_node, min(b.key) AS key FROM back b JOIN live l ON l.centre = b.centre AND l.start_node = b.node_id GROUP BY ALL),
+    missed AS (SELECT centre, start_node FROM live ANTI JOIN reached USING (centre, start_node)),
+    rest(centre, node_id, used, key) AS (
+        SELECT DISTINCT centre, centre, 0, []::INT[] FROM missed
+        UNION ALL
+        SELECT b.centre, e.src, b.used + n.length, list_append(b.key, -e.in_ord)
+        FROM rest b JOIN edges e ON e.dst = b.node_id JOIN nodes n ON n.node_id = e.src WHERE b.used <= {k - 2}),
+    keys AS (SELECT centre, start_node, false AS late, key FROM reached
+             UNION ALL SELECT m.centre, m.start_node, true, min(b.key) FROM missed m JOIN rest b ON b.centre = m.centre AND b.node_id = m.start_node GROUP BY ALL),
+    found AS (SELECT o.node_id AS centre, o.start_position, o.kmer_position, o.s, k.late, k.key, o.ords, o.p, coalesce(f.n, 0) AS n
               FROM over_centre o JOIN keys k ON k.centre = o.node_id AND k.start_node = o.start_node LEFT JOIN freq f ON f.s = o.s),
-    grouped AS (SELECT centre, start_position, kmer_position, list({item} ORDER BY key, ords, p) AS kmers, max(n)::BIGINT AS max_frequency,
-                       arg_min(row(key, ords, p), row(key, ords, p)) AS first
+    grouped AS (SELECT centre, start_position, kmer_position, list({item} ORDER BY late, key, ords, p) AS kmers, max(n)::BIGINT AS max_frequency,
+                       arg_min(row(late, key, ords, p), row(late, key, ords, p)) AS first
                 FROM found GROUP BY ALL),
     numbered AS (SELECT *, (row_number() OVER (PARTITION BY centre ORDER BY first) - 1)::INT AS window_no FROM grouped),
     windows AS (SELECT s.pair_id, s.side, g.centre AS node_id, g.window_no AS "window", g.start_position, g.kmer_position, g.kmers, g.max_frequency
@@ -699,6 +722,8 @@ _MERGED = f"""
 
 ORACLES |= {
     "stored_graph": ORACLES["describe_nodes"],
+    "stored_index": ORACLES["kmer_frequency_index"],
+    "stored_index_signatures": ORACLES["signatures_unaligned_min_overlap"],
     "gfa_compressed_nodes": ORACLES["compress_nodes"],
     "command_line": f"WITH RECURSIVE {_MERGED} SELECT count(*) AS n_nodes FROM numbered",
     "fasta_pieces": _pieces_sql("true"),

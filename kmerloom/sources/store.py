@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import pandas as pd
@@ -28,6 +29,42 @@ def read_graph(spark: SparkSession, path: str) -> SequenceGraph:
     return SequenceGraph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/encoding").first()[0])
 
 
+def write_index(counts: DataFrame, path: str, k: int, buckets: int | None = None) -> None:
+    """(kmer, frequency), one row for each k-mer, under path: in files of k-mers by hash, sorted.
+
+    buckets: how many files, by default as many as shuffle partitions. Joins and groups by k-mer over what read_index()
+    gives then need no exchange of the index, whatever its size.
+    """
+    spark = counts.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _index_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    rows = counts.select(F.col("kmer").cast("long").alias("kmer"), F.col("frequency").cast("long").alias("frequency")).repartition(n, "kmer")
+    rows.write.mode("overwrite").format("parquet").option("path", f"{path}/counts").bucketBy(n, "kmer").sortBy("kmer").saveAsTable(name)
+    spark.createDataFrame([(k, n)], "k int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def _index_name(path: str) -> str:
+    return "kmer_index_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def read_index(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """The (kmer, frequency) that write_index() has stored under path, in any session; ValueError if it is for another k."""
+    own, buckets = spark.read.parquet(f"{path}/about").first()
+    if own != k:
+        raise ValueError(f"the index holds k-mers of {own} bases, not {k}")
+    name = _index_name(path)
+    if not spark.catalog.tableExists(name):  # another session has written it: its buckets are known by the names of its files
+        place = f"{path}/counts".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} (kmer BIGINT, frequency BIGINT) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+def forget_index(spark: SparkSession, path: str) -> None:
+    """Drop the name of a stored index from the session's catalog; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {_index_name(path)}")
+
+
 def _parse(content: bytes):
     if content[: len(MAGIC)] != MAGIC or content[len(MAGIC)] != VERSION:
         raise ValueError("not a binary graph of version 1")
