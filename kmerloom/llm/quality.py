@@ -176,14 +176,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id
     """Fit on at most fit_rows labelled documents that are not held out, the ones of least id hash.
 
     Null labels and ids are skipped; of several labels of a document the highest counts; of rows of documents that
-    share an id each is used. A fifth of the rows only sets the temperature. Tasks send the driver a context matrix of
+    share an id the one of least text hash is used, so that there are never more than fit_rows. An empty table and very
+    long texts are nothing special: texts count whole. Other columns are not looked at, whatever their names. A fifth of the rows only sets the temperature. Tasks send the driver a context matrix of
     fixed size each, and one feature vector a fitted row. Without any labelled document every score is 0.5; with one
     class only, nearly that class.
     """
     spark = docs.sparkSession
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
-    rows = C.materialize(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).repartition(FIT_TASKS, id_col), "fit")
+    own = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    least = own.groupBy(id_col).agg(F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))).alias("_least"), F.first("_label").alias("_label"))
+    rows = C.materialize(least.select(id_col, F.col("_least.t").alias(text_col), "_label").repartition(FIT_TASKS, id_col), "fit")
 
     def contexts(batches):
         total = np.zeros((WORDS + SHAPES, DIMS))

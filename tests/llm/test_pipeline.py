@@ -67,11 +67,20 @@ def test_stages(spark, corpus, folder):
     assert corpus_pipeline.run(spark, folder).count() == frames[5].count()
 
 
+def test_line_stage_keeps_the_callers_columns(spark):
+    """Columns named like those of the operator come back as they were, and n_chars may be missing."""
+    rows = [(1, "a\nb\nc\nd", 77, 88), (2, "a\nb\nc", 79, 90), (3, "a\nb\nc\ne", None, 91), (4, None, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, N_Removed long")
+    assert sorted(map(tuple, corpus_pipeline.line_stage(spark, docs, "").collect())) == [rows[0], (3, "e", None, 91), rows[3]]
+    counted = docs.withColumn("n_chars", docs.doc_id * 0)
+    assert sorted((r.doc_id, r.n_chars) for r in corpus_pipeline.line_stage(spark, counted, "").collect()) == [(1, 0), (3, 1), (4, 0)]
+
+
 def test_registered_queries_are_complete():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
 
 

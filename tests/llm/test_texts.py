@@ -242,3 +242,16 @@ def test_perspectives(spark):
     assert [r.n_turns for r in rows] == [64, 64, 64, 8]
     whole = "".join(f"<|im_start|>{'assistant' if t % 2 == 0 else 'user name=b'}\n{f'm{t} ' * (20_000 if t == 5 else 1)}<|im_end|>\n" for t in range(200))
     assert "".join(r.dialogue for r in rows) == whole
+
+
+def test_fit_rows_bounds_rows(spark, monkeypatch):
+    """Rows that share a labelled id are one row of the fit."""
+    from kmerloom.llm import quality as Q
+
+    seen = []
+    train = Q.train
+    monkeypatch.setattr(Q, "train", lambda x, y: seen.append(len(x)) or train(x, y))
+    docs = spark.createDataFrame([(2, f"text number {i}") for i in range(300)] + [(3, "other"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    Q.fit_quality(docs, labels, fit_rows=10)
+    assert seen == [sum(1 for i in (2, 3, 5) if __import__("zlib").crc32(str(i).encode()) % 3 != 1)]
