@@ -26,7 +26,7 @@ if TYPE_CHECKING:
 
 #: Bases that one row of a long node spans before its k-mers are taken apart.
 CHUNK = 1 << 15
-#: Steps after which a path must have ended: k - 1 bases and a run of empty nodes between any two.
+#: Steps after which a path must have ended; each takes it on by a base at least.
 MAX_STEPS = 10_000
 #: Steps of a walk between two writes to the shared folder.
 ROUND = 3
@@ -100,6 +100,38 @@ def linear_kmers(sequences: DataFrame, k: int, seq: str = "seq", encoding: str =
     return pieces.mapInArrow(run, out.schema)
 
 
+def over_empty_runs(steps: DataFrame, max_variant_nodes: int) -> DataFrame:
+    """steps that lead over runs of empty nodes to the next node with bases: src, dst, run, ords, v, more, prefix.
+
+    run: the nodes of the step, dst last; ords: the out-list places of its edges; v: its variant nodes, within the limit.
+    Runs are joined by doubling: with all ways of at most n edges to a node with bases, and all ways of n edges among empty
+    nodes, there are those of 2n. So rounds grow with the logarithm of the longest run. A way of more edges than there
+    are empty nodes, none of them a variant, has a cycle: RuntimeError.
+    """
+    fits = F.col("v") <= max_variant_nodes
+    one = steps.where(fits).select("src", "dst", F.array("dst").alias("run"), F.array("out_ord").alias("ords"), "v", (F.col("more") == 0).alias("soft"))
+    soft = one.where("soft").drop("soft")
+    ways = one.where("NOT soft").drop("soft")
+    ahead = steps.select("dst", "more", "prefix").where("more > 0").dropDuplicates(["dst"])
+    if soft.isEmpty():
+        return ways.join(ahead, "dst")
+    empty, edges = steps.where("more = 0").select("dst").distinct().count(), 1
+    soft = cut(soft, "runs")
+
+    def then(a: DataFrame, b: DataFrame) -> DataFrame:
+        """The ways of a that those of b go on from where they end."""
+        on = b.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("run").alias("_run"), F.col("ords").alias("_ords"), F.col("v").alias("_v"))
+        both = a.join(on, "dst").where(f"v + _v <= {max_variant_nodes}")
+        return both.select("src", F.col("_to").alias("dst"), F.concat("run", "_run").alias("run"), F.concat("ords", "_ords").alias("ords"), (F.col("v") + F.col("_v")).alias("v"))
+
+    while not soft.isEmpty():
+        if edges > empty and not soft.where("v = 0").isEmpty():  # with variant nodes in it, the limit ends a way
+            raise RuntimeError("there is a cycle of empty nodes")
+        ways = cut(ways.unionByName(then(soft, ways)), "runs")
+        soft, edges = cut(then(soft, soft), "runs"), 2 * edges
+    return ways.join(ahead, "dst")
+
+
 def _steps(graph: SequenceGraph, k: int) -> DataFrame:
     """Edges with what a path needs of the node they lead to."""
     ahead = graph.nodes.select(F.col("node_id").alias("dst"), F.least(F.col("length"), F.lit(k - 1)).alias("more"), F.substring("seq", 1, k - 1).alias("prefix"), (~F.col("is_ref")).cast("int").alias("v"))
@@ -124,7 +156,7 @@ class Walk:
 
     @property
     def ending(self) -> list[DataFrame]:
-        return [g.where("bases AND ext > low") for g in self.grown]
+        return [g.where("ext > low") for g in self.grown]
 
 
 def walk(
@@ -134,8 +166,8 @@ def walk(
 
     paths: carry path, offsets and ords, see occurrences(); without them only hops, the edges of the path. units: the
     unitigs of the graph for this k; paths then start in nodes and go on over unitigs, of which path and offsets tell, the
-    first being that of the start node. RuntimeError if paths still grow after max_steps, as they do on a cycle of empty
-    nodes.
+    first being that of the start node. Every step leads to a node with bases, so there are k - 1 at most, whatever runs
+    of empty nodes lie between; RuntimeError if empty reference nodes form a cycle.
     """
     K.check_k(k)
     K.check_budget(max_variant_nodes)
@@ -160,7 +192,7 @@ def walk(
         F.col("rest").alias("ext"),
     ).select("*", *(c.alias(n) for n, c in first.items()))
     front = front.repartition(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), "start_node")  # paths grow where they are dealt, also over a small edge table
-    longer = {"path": F.array_append("path", F.col("dst")), "offsets": F.array_append("offsets", F.col("len0") + F.col("ext")), "ords": F.array_append("ords", F.col("out_ord")), "hops": F.col("hops") + 1}
+    longer = {"path": F.expr("concat(path, run)"), "offsets": F.expr("concat(offsets, array_repeat(len0 + ext, size(run)))"), "ords": F.expr("concat(ords, step_ords)"), "hops": F.expr("hops + size(run)")}
     grow = [
         F.col("start_node"),
         F.col("len0"),
@@ -171,22 +203,21 @@ def walk(
         F.expr(f"least(ext + more, {k - 1})").alias("ext"),
         *(longer[n].alias(n) for n in first),
         F.expr(f"greatest(ext, {k - 1} - suffix)").alias("low"),
-        F.expr("more > 0").alias("bases"),
     ]
     fits = F.expr(f"last = src AND n_var + v <= {max_variant_nodes}")
-    steps, tables = units.steps if units else cut(_steps(graph, k), "edges"), []
+    steps, tables = cut(over_empty_runs(units.steps if units else cut(_steps(graph, k), "edges"), max_variant_nodes).withColumnRenamed("ords", "step_ords"), "steps"), []
     for _ in range(0, max_steps, ROUND):
         rounds = []  # several steps between two writes; Spark shares their exchanges
         for i in range(ROUND):
             rounds.append(front.join(steps, fits).select(*grow, F.lit(i).alias("step")))
-            front = rounds[-1].where(f"ext < {k - 1}").drop("low", "bases", "step")
+            front = rounds[-1].where(f"ext < {k - 1}").drop("low", "step")
         grown = cut(reduce(DataFrame.unionByName, rounds), "paths")
         tables.append(grown)
-        front = grown.where(f"step = {ROUND - 1} AND ext < {k - 1}").drop("low", "bases", "step")
+        front = grown.where(f"step = {ROUND - 1} AND ext < {k - 1}").drop("low", "step")
         if front.isEmpty():
             break
     else:
-        raise RuntimeError(f"paths still grow after {max_steps} steps; is there a cycle of empty nodes?")
+        raise RuntimeError(f"paths still grow after {max_steps} steps")
     return Walk(graph, k, inner, tables, tuple(first), units)
 
 

@@ -254,6 +254,10 @@ def required_empty_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(graph.required_empty_node_count(D.heap_graph(spark, sf_dir)),)], "n long")
 
 
+def required_empty_node_count_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(graph.required_empty_node_count(D.long_chain_graph(spark, sf_dir)),)], "n long")
+
+
 def next_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.next_reference(D.bubble_graph(spark, sf_dir))
 
@@ -343,7 +347,7 @@ QUERIES = {
         *(find_initial, find_spanning, find_spanning_large, find_max_variants_0, find_reversed, find_one_node, found_kmer_text, find_compacted, find_compacted_spanning),
         *(kmer_frequency_index, spanning_frequency_index, spanning_node, variant_kmers, variant_kmers_large, kmer_windows, window_pairs_aligned),
         *(signatures_given_frequencies, signatures_wrapper, signature_text, stored_index, stored_index_signatures),
-        *(in_edges_degrees, root_last_nodes, edge_and_parent, graph_arrays, describe_nodes, get_nodes, base_codes, next_reference, required_empty_node_count),
+        *(in_edges_degrees, root_last_nodes, edge_and_parent, graph_arrays, describe_nodes, get_nodes, base_codes, next_reference, required_empty_node_count, required_empty_node_count_chain),
         *(compress_nodes, compress_edges, add_empty_nodes, edge_list_graph, code_table_graph, binary_round_trip, stored_graph, extended_nodes, extended_edges),
         *(gfa_nodes, gfa_edges, gfa_dense_nodes, gfa_compressed_nodes, vcf_normalize, vcf_structural_filter),
         *(fasta_contigs, fasta_pieces, fasta_chromosome, kept_variants, fasta_vcf_nodes, fasta_vcf_edges, command_line),
@@ -618,6 +622,12 @@ ORACLES: dict[str, str] = {
         walk(i, d) AS (SELECT i, 0 FROM root UNION SELECT e.dst, w.d + 1 FROM walk w JOIN edge e ON e.src = w.i)
         SELECT coalesce(max(d) - min(d), 0)::BIGINT AS n FROM walk WHERE i = (SELECT i FROM last)
     """,
+    "required_empty_node_count_chain": f"""
+        WITH RECURSIVE {_LONG},
+        root AS (SELECT min(node_id) AS i FROM nodes WHERE node_id NOT IN (SELECT dst FROM edges)), last AS (SELECT min(node_id) AS i FROM nodes WHERE node_id NOT IN (SELECT src FROM edges)),
+        walk(i, d) AS (SELECT i, 0 FROM root UNION SELECT e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.i)
+        SELECT coalesce(max(d) - min(d), 0)::BIGINT AS n FROM walk WHERE i = (SELECT i FROM last)
+    """,
     "edge_list_graph": f"""
         WITH RECURSIVE {_CHAINS} SELECT i AS node_id, seq, is_ref, coalesce((SELECT string_agg(dst::VARCHAR, ',' ORDER BY out_ord) FROM edge WHERE src = i), '') AS out_nodes,
         coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src) FROM edge WHERE dst = i), '') AS in_nodes FROM bits

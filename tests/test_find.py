@@ -167,12 +167,23 @@ def test_spanning_node_and_variant_kmers(spark):
         assert sorted(own) == sorted(brute_rows)
 
 
-def test_cycle_of_empty_nodes_is_an_error(spark):
-    from kmerloom.operators.occurrences import occurrences
-
-    graph = from_lists(spark, ["AC", "", ""], [[1], [2], [1]])
-    with pytest.raises(RuntimeError):
-        occurrences(graph, 4, max_steps=6)
+def test_cycle_of_empty_nodes_is_an_error(spark, monkeypatch):
+    """It is found before the walk, in few rounds; a run of many empty nodes is no cycle and takes one step."""
+    from kmerloom.operators import occurrences as O
+
+    written = []
+    monkeypatch.setattr(O, "cut", lambda df, what="step", own=O.cut: written.append(what) or own(df, what))
+    graph = from_lists(spark, ["AC", *[""] * 40, "G"], [[1], *[[i + 2, *([41] if i == 20 else [])] for i in range(39)], [1], []])
+    with pytest.raises(RuntimeError, match="cycle of empty nodes"):
+        O.occurrences(graph, 4)
+    assert "paths" not in written and len(written) < 20
+    seqs, edges = ["ACG", *[""] * 40, "GTT"], [[1], *[[i + 2, *([41] if i == 20 else [])] for i in range(39)], [41], []]
+    run = from_lists(spark, seqs, edges)
+    assert len(walk(run, 6).grown) == 1
+    assert collected(find(run, 6, True)) == brute.rows(seqs, edges, None, 6, 255, True)
+    # variant nodes end by the limit, in a cycle too
+    seqs, edges = ["AC", "", "", "GG"], [[1], [2], [1, 3], []]
+    assert collected(find(from_lists(spark, seqs, edges, ref=[0, 3]), 3, True, 5)) == brute.rows(seqs, edges, [0, 3], 3, 5, True)
 
 
 def test_bad_arguments(spark):

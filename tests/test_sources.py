@@ -196,3 +196,22 @@ def test_kept_variants_by_links(spark):
     got = kept_variants(over).selectExpr("count(*)", "min(row_id)", "sum(row_id)").first()
     later = [i + 1 for i in range(100_000) if i * 2 + 10 >= 100_000][::2]  # of those past the deletion, every second
     assert tuple(got) == (1 + len(later), 0, sum(later))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_depth_difference_of_drawn_graphs(spark, seed):
+    """Long chains, bubbles, dead ends and unreachable parts, against the layers of all walks."""
+    import random
+
+    rnd = random.Random(seed)
+    n, edges = 60, [[] for _ in range(64)]
+    for v in range(n - 1):
+        if v != 40:  # node 40 is the last one
+            edges[v] = sorted({min(n - 1, v + d) for d in rnd.choice([[1], [1], [1], [1, 3], [1, 2, 7]])})
+    edges[60], edges[61], edges[62] = [61], [60, 62], [30]  # a cycle that the root does not reach
+    edges[40] = []
+    layer, depths, depth = {0}, [], 0
+    while layer:
+        depths += [depth] * (40 in layer)
+        layer, depth = {w for v in layer for w in edges[v]}, depth + 1
+    assert required_empty_node_count(from_lists(spark, ["A"] * 64, edges)) == max(depths) - min(depths) > 0
