@@ -13,6 +13,7 @@ a written table, so that nothing depends on running a task twice alike.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -80,7 +81,7 @@ class Pieces(dict):
         if len(self) > CACHE:
             self.clear()
         new = list(set(words).difference(self))
-        self.update(zip(new, (np.array(x, np.int32).tobytes() for x in self.model.encode([w[1:].decode() for w in new], num_threads=1)), strict=True))
+        self.update(zip(new, (array("i", x).tobytes() for x in self.model.encode([w[1:].decode() for w in new], num_threads=1)), strict=True))
         self[b" "] = self.space  # a last space by itself; the model adds none before an empty text
         found = list(map(self.__getitem__, words))
         cut = np.searchsorted(starts, offsets).tolist()
@@ -134,15 +135,18 @@ class Aligned:
             lists = [pc.if_else(pa.array(whole), v, pa.scalar([], v.type)) for v in lists]
         self.n = len(texts)
         self.ids, self.doc, tables = [], [], []
+        longest = pa.scalar(max(map(len, spaced), default=0) + 1, pa.int64())
         for x in (0, 1):
             flat, doc = pc.list_flatten(lists[x]), pc.list_parent_indices(lists[x])
             total = pc.cumulative_sum(pc.take(own.sizes[x], flat))
             heads = np.concatenate([[0], np.asarray(total)])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists[x])))])[:-1]]
             end = pc.subtract(total, pc.take(pa.array(heads, pa.int64()), doc))  # segmented: from the document's own start
-            tables.append(pa.table({"doc": doc.cast(pa.int64()), "end": end, f"t{x}": pa.array(np.arange(len(flat)))}))
+            doc = doc.cast(pa.int64())
+            key = pc.add(pc.multiply(doc, longest), end)  # (document, end) as one number
+            tables.append(pa.table({"key": key, f"t{x}": pa.array(np.arange(len(flat)))}))
             self.ids.append(np.asarray(flat, np.int64))
             self.doc.append(np.asarray(doc, np.int64))
-        both = tables[0].join(tables[1], ["doc", "end"], join_type="inner", use_threads=False)
+        both = tables[0].join(tables[1], "key", join_type="inner", use_threads=False)
         self.closes, self.group = [], []
         for x in (0, 1):
             closes = np.zeros(len(self.ids[x]), bool)
