@@ -65,7 +65,7 @@ def brute_signatures(own, k, most):
     return out
 
 
-@pytest.mark.parametrize("k,most", [(4, 4), (6, 6), (8, 8), (12, 12), (16, 16), (24, 4), (31, 4), (31, 31)])
+@pytest.mark.parametrize("k,most", [(4, 4), (8, 8), (12, 12), (16, 16), (31, 31)])
 def test_signatures_at_many_settings(spark, graph, k, most):
     """Each side's k-mers are a window of least (overlap, frequency); their frequencies add up."""
     made, own = graph
