@@ -129,6 +129,13 @@ def fasta_vcf_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return paths
 
 
+def gfa_file(spark: SparkSession, sf_dir: str) -> str:
+    """The GFA lines as text files in the shared folder."""
+    path = new_path(spark, "gfa")
+    gfa_lines(spark, sf_dir).orderBy("line_no").select("value").write.text(path)
+    return path
+
+
 def chain_gfa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(value, line_no): chain_graph() as text, names without gaps from 100 on; every fourth node is off the one path."""
     graph = chain_graph(spark, sf_dir)

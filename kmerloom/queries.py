@@ -11,11 +11,13 @@ from kmerloom import derived as D
 from kmerloom.functions import kmers as K
 from kmerloom.operators import frequency, graph, occurrences, signatures, unitigs
 from kmerloom.plans.lineage import cut, new_path
-from kmerloom.sources import fasta, gfa, literals, merge, store, vcf
+from kmerloom.sources import fasta, gfa, indexed, literals, merge, store, vcf
 
 #: Parameters of the registered queries.
 K_SMALL, K_LARGE, K_PAIRS, BUDGET = 5, 31, 9, 4
 ENCODING = "CGAT"
+#: Bytes of a range of the indexed files, small enough for many ranges in the derived text.
+INDEX_RANGE = 1 << 12
 
 
 def hash_decode_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,6 +322,30 @@ def fasta_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.contig_pieces(D.fasta_lines(spark, sf_dir), 2).withColumn("text", F.md5("text"))
 
 
+def indexed_fasta_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = D.fasta_vcf_files(spark, sf_dir)[0]
+    index = indexed.write_line_index(spark, path, "fasta", new_path(spark, "line-index"), INDEX_RANGE)
+    return fasta.read_fasta(spark, path, 2, index).withColumn("text", F.md5("text"))
+
+
+def indexed_vcf_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = D.fasta_vcf_files(spark, sf_dir)[1]
+    index = indexed.write_line_index(spark, path, "vcf", new_path(spark, "line-index"), INDEX_RANGE)
+    return vcf.read_vcf(spark, path, 3, index).withColumn("alts", F.array_join("alts", ","))
+
+
+def indexed_gfa_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = D.gfa_file(spark, sf_dir)
+    index = indexed.write_line_index(spark, path, "gfa", new_path(spark, "line-index"), INDEX_RANGE)
+    return gfa.from_gfa(spark, path, compress=False, index=index).nodes
+
+
+def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each chromosome of the FASTA text, counted by what the index says of them."""
+    found = indexed.line_index(spark, D.fasta_vcf_files(spark, sf_dir)[0], "fasta", INDEX_RANGE)
+    return found.groupBy(F.col("low").alias("chrom")).agg(F.min("first_line").alias("first_line"), F.sum(F.col("stop") - F.col("start")).alias("n_bytes"))
+
+
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return command.build(spark, *D.fasta_vcf_files(spark, sf_dir), new_path(spark, "graph"))
 
@@ -351,6 +377,7 @@ QUERIES = {
         *(compress_nodes, compress_edges, add_empty_nodes, edge_list_graph, code_table_graph, binary_round_trip, stored_graph, extended_nodes, extended_edges),
         *(gfa_nodes, gfa_edges, gfa_dense_nodes, gfa_compressed_nodes, vcf_normalize, vcf_structural_filter),
         *(fasta_contigs, fasta_pieces, fasta_chromosome, kept_variants, fasta_vcf_nodes, fasta_vcf_edges, command_line),
+        *(line_index, indexed_fasta_chromosome, indexed_vcf_chromosome, indexed_gfa_nodes),
     )
 }
 QUERIES |= {
@@ -738,6 +765,13 @@ ORACLES |= {
     "command_line": f"WITH RECURSIVE {_MERGED} SELECT count(*) AS n_nodes FROM numbered",
     "fasta_pieces": _pieces_sql("true"),
     "fasta_chromosome": _pieces_sql("chrom = 2"),
+    "indexed_fasta_chromosome": _pieces_sql("chrom = 2"),
+    "indexed_vcf_chromosome": f"WITH {_VCF} SELECT row_id + 2 AS row_id, chrom, pos, ref, alts FROM variant WHERE chrom = 3",
+    "indexed_gfa_nodes": ORACLES["gfa_nodes"],
+    "line_index": """
+        SELECT c::INT AS chrom, (c - 1) * (count(*) + 1) AS first_line, sum(33 + CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 11 = 0 THEN 4 ELSE 0 END)::BIGINT + 10 AS n_bytes
+        FROM part, (VALUES (1), (2), (3)) t(c) GROUP BY c
+    """,
     "fasta_contigs": f"""
         WITH {_CONTIGS} SELECT (chrom - 1) * ((SELECT count(*) FROM part) + 1) AS contig, chrom || ' contig' AS name, chrom, md5(seq) AS seq_md5, length(seq) AS length FROM contig
     """,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.plans.lineage import cut
 from kmerloom.plans.numbering import running
+from kmerloom.sources.indexed import indexed_lines
 from kmerloom.sources.lines import read_lines
 from kmerloom.sources.vcf import ALL, chromosome_number
 
@@ -55,6 +56,8 @@ def contigs(lines: DataFrame, chromosome: int = ALL) -> DataFrame:
     return contig_pieces(lines, chromosome).groupBy("contig", "name", "chrom").agg(text.alias("seq"))
 
 
-def read_fasta(spark: SparkSession, path: str, chromosome: int = ALL) -> DataFrame:
-    """contig_pieces() of a file."""
-    return contig_pieces(read_lines(spark, path), chromosome)
+def read_fasta(spark: SparkSession, path: str, chromosome: int = ALL, index: str | None = None) -> DataFrame:
+    """contig_pieces() of a file. With its stored line index only the chromosome's byte ranges are read."""
+    if index is None:
+        return contig_pieces(read_lines(spark, path), chromosome)
+    return contig_pieces(indexed_lines(spark, index, *([] if chromosome == ALL else [chromosome])), chromosome)

@@ -11,6 +11,7 @@ from kmerloom.operators.graph import compress as compact
 from kmerloom.plans.lineage import cut
 from kmerloom.plans.model import SequenceGraph, node_table
 from kmerloom.plans.numbering import number_rows
+from kmerloom.sources.indexed import indexed_lines
 from kmerloom.sources.lines import read_lines
 
 
@@ -18,20 +19,25 @@ def _field(i: int) -> Column:
     return F.get(F.split(F.col("value"), "\t"), i)
 
 
+def _records(lines: DataFrame, letter: str) -> DataFrame:
+    """The lines of one kind of record."""
+    return lines.where(F.col("value").startswith(letter + "\t"))
+
+
 def segments(lines: DataFrame) -> DataFrame:
     """(line_no, name, seq) of the S lines; names are integers."""
-    return lines.where("value LIKE 'S\t%'").select("line_no", _field(1).try_cast("long").alias("name"), F.coalesce(_field(2), F.lit("")).alias("seq"))
+    return _records(lines, "S").select("line_no", _field(1).try_cast("long").alias("name"), F.coalesce(_field(2), F.lit("")).alias("seq"))
 
 
 def links(lines: DataFrame) -> DataFrame:
     """(line_no, a, b, forward) of the L lines; forward: both ends in forward orientation."""
-    own = lines.where("value LIKE 'L\t%'")
+    own = _records(lines, "L")
     return own.select("line_no", _field(1).try_cast("long").alias("a"), _field(3).try_cast("long").alias("b"), ((_field(2) == "+") & (_field(4) == "+")).alias("forward"))
 
 
 def path_nodes(lines: DataFrame) -> DataFrame:
     """(name, ref_index): each node of any path, with its place in the last path that holds it (the last place there)."""
-    own = lines.where("value LIKE 'P\t%'").select("line_no", F.posexplode(F.regexp_extract_all(_field(2), F.lit("([0-9]+)[+-]"), 1)).alias("at", "name"))
+    own = _records(lines, "P").select("line_no", F.posexplode(F.regexp_extract_all(_field(2), F.lit("([0-9]+)[+-]"), 1)).alias("at", "name"))
     return own.groupBy(F.col("name").cast("long").alias("name")).agg(F.max_by("at", F.struct("line_no", "at")).cast("long").alias("ref_index"))
 
 
@@ -49,12 +55,16 @@ def from_gfa_lines(lines: DataFrame, encoding: str = DEFAULT_ENCODING, compress:
     Lines of other kinds are skipped. ValueError for links that are not forward at both ends, for names that are no
     integers or repeat, and for links or paths to missing segments.
     """
-    found, joined = cut(segments(lines)), cut(links(lines))
+    return _from_records(lines, lines, lines, encoding, compress)
+
+
+def _from_records(s_lines: DataFrame, l_lines: DataFrame, p_lines: DataFrame, encoding: str, compress: bool) -> SequenceGraph:
+    found, joined = cut(segments(s_lines)), cut(links(l_lines))
     if not joined.where("NOT forward OR a IS NULL OR b IS NULL").isEmpty():
         raise ValueError("only links between forward ends of integer names are read")
     if not found.where("name IS NULL").isEmpty() or not found.groupBy("name").count().where("count > 1").isEmpty():
         raise ValueError("segment names are distinct integers")
-    ids, on_path = cut(dense_ids(found)), cut(path_nodes(lines))
+    ids, on_path = cut(dense_ids(found)), cut(path_nodes(p_lines))
     if not on_path.join(ids, "name", "left_anti").isEmpty():
         raise ValueError("a path goes over a missing segment")
     nodes = found.join(ids, "name").join(on_path, "name", "left").withColumn("is_ref", F.col("ref_index").isNotNull())
@@ -68,5 +78,8 @@ def from_gfa_lines(lines: DataFrame, encoding: str = DEFAULT_ENCODING, compress:
     return compact(graph) if compress else graph
 
 
-def from_gfa(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODING, compress: bool = True) -> SequenceGraph:
-    return from_gfa_lines(read_lines(spark, path), encoding, compress)
+def from_gfa(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODING, compress: bool = True, index: str | None = None) -> SequenceGraph:
+    """from_gfa_lines() of a file. With its stored line index each kind of record is read from its own byte ranges."""
+    if index is None:
+        return from_gfa_lines(read_lines(spark, path), encoding, compress)
+    return _from_records(*(indexed_lines(spark, index, ord(x)) for x in "SLP"), encoding, compress)

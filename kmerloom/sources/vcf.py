@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.sources.indexed import indexed_lines
 from kmerloom.sources.lines import read_lines
 
 #: Every chromosome, each by itself.
@@ -57,6 +58,9 @@ def from_vcf_lines(lines: DataFrame, chromosome: int = ALL) -> DataFrame:
     return normalised(small_variants(records(lines, chromosome)))
 
 
-def read_vcf(spark: SparkSession, path: str, chromosome: int = ALL) -> DataFrame:
-    """Normalised small variants of a VCF file."""
-    return from_vcf_lines(read_lines(spark, path), chromosome)
+def read_vcf(spark: SparkSession, path: str, chromosome: int = ALL, index: str | None = None) -> DataFrame:
+    """Normalised small variants of a VCF file. With its stored line index only byte ranges that may hold the chromosome
+    are read."""
+    if index is None:
+        return from_vcf_lines(read_lines(spark, path), chromosome)
+    return from_vcf_lines(indexed_lines(spark, index, *([] if chromosome == ALL else [chromosome])), chromosome)
