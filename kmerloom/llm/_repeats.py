@@ -71,10 +71,10 @@ class Block:
 
 
 def slices(h1: np.ndarray, buckets: int):
-    """(bucket, from, to) of sorted hashes."""
+    """(bucket, from, to) of sorted hashes, for the buckets that have some."""
     own = ((h1 >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
-    return [(b, edges[b], edges[b + 1]) for b in range(buckets) if edges[b] < edges[b + 1]]
+    edges = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint64(1), append=own[-1:] + np.uint64(1))).tolist()
+    return list(zip(own[edges[:-1]].tolist(), edges[:-1], edges[1:], strict=True))
 
 
 def _concat(column, dtype) -> np.ndarray:

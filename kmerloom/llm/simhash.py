@@ -4,8 +4,9 @@
 partitions; partition i gets its own threshold t_i >= -1 with sum(t_i) = t - m + 1, so that any pair within t agrees on
 some partition within its threshold. A dynamic program over candidate counts, taken from all fingerprints, chooses the
 thresholds (and m). Fingerprints meet on the partition's value, either side up to one bit off, and the full distance
-verifies them. A meeting that costs more than splitting it is split by partitions of the bits that are left, with
-thresholds from the same program on the rows that meet there, until no such meeting is left.
+verifies them. A meeting that costs more than splitting it is split once more: all bits that are left are then one
+partition, whose threshold is the whole distance, so its rows meet with every neighbour one bit off. That last step is no
+pigeonhole any more; splitting by several partitions again would triple the rows of a dense cluster in each round.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BITS = 64
 #: Words in a shingle, seed of its XXH64, greatest Hamming distance of a link.
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Partition counts the plan may choose from in the first rounds, and the number of these; later all bits left are one.
-PARTITIONS, ROUNDS = (1, 2, 3, 4), 1
+PARTITIONS, ROUNDS = (2, 3, 4), 1
 #: A meeting is split once each of its rows stands before more than so many pairs for each row that splitting makes of it.
 WORTH = 1.0
 _ALL = (1 << BITS) - 1
@@ -171,8 +172,9 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     A row is (done, w, fp): w is fp with at most one bit flipped, and rows meet where they agree in w on the bits of the
     mask done. Two fingerprints within 2 differ in a partition by no more than its threshold for some partition, and so
     meet there when each flips one of those bits at most; the same holds again for the bits that are left. So every
-    round is the same step on the rows of the meetings that are worth splitting, and once all bits are in the mask, a
-    meeting holds no more than the neighbours of one value. Rows grow with the fingerprints, whatever the groups.
+    round is the same step on the rows of the meetings that are worth splitting. The thresholds of the first round come
+    from the program; after it all bits left are one partition, and as then all bits are in the mask, a meeting holds no
+    more than the neighbours of one value. Rows grow with the fingerprints, whatever the groups.
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance is 0, 1 or 2")

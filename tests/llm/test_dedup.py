@@ -212,3 +212,37 @@ def test_drop_near_duplicates(spark, corpus):
     ids = {r.doc_id for r in S.simhash_components(docs).collect() if r.doc_id == r.component_id}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == ids
     assert len(ids & set(range(100, 105))) + (3 in ids) == 1
+
+
+def test_slices_take_only_the_buckets_that_occur():
+    import time
+
+    import numpy as np
+
+    from kmerloom.llm._repeats import slices
+
+    rnd = np.random.default_rng(5)
+    for n, buckets in ((0, 3), (1, 1), (1, 7), (50, 1), (200, 13), (300, 100000)):
+        h = np.sort(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+        want = {}
+        for i, x in enumerate(h.tolist()):
+            want.setdefault((x >> 32) * buckets >> 32, []).append(i)
+        assert slices(h, buckets) == [(b, own[0], own[-1] + 1) for b, own in want.items()]
+    h = np.sort(rnd.integers(0, 1 << 64, 1000, dtype=np.uint64))
+    took = {}
+    for buckets in (1 << 12, 1 << 30):
+        begun = time.perf_counter()
+        slices(h, buckets)
+        took[buckets] = time.perf_counter() - begun
+    assert took[1 << 30] < 0.1
+
+
+def test_first_round_of_a_dense_cluster_is_a_pigeonhole(spark):
+    """Fingerprints all within four bits of one: still two partitions or more, with thresholds that sum as they must."""
+    base = 0x0123456789ABCDEF
+    pairs = [base ^ (1 << i) ^ (1 << j) for i in range(24) for j in range(i)]
+    fps = spark.createDataFrame([(S._signed(x),) for x in pairs], "fp long")
+    rows = fps.selectExpr("0L AS done", "fp AS w", "fp")
+    chosen = S.plan(rows, [0], S.bit_counts(fps), S.DISTANCE)[0]
+    assert all(mask != S._ALL for mask, _ in chosen)
+    assert sum(t + 1 for _, t in chosen) == S.DISTANCE + 1
