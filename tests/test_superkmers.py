@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kmerloom.functions.kmers import hash_text
@@ -94,3 +95,21 @@ def test_graph_counts_without_listing(spark):
         for spanning in (False, True):
             want = counted(frequency.kmer_counts(occurrences.find(graph, k, spanning, most)))
             assert counted(frequency.frequency_index(graph, k, most, spanning)) == want
+
+
+def test_short_pieces_are_hashed_together():
+    """Thousands of short sequences, such as the paths of a graph, are a few passes over arrays; a long one is cut off."""
+    texts = [b"ACGTTGCA" * 5] * 9000 + [b"ACGT" * 8000] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["piece", "weight"])
+    own = list(superkmers._batches([batch.slice(0, 0), batch.slice(3)]))
+    assert len(own) < 8 and max(len(data) for data, _, _ in own) < 2 * superkmers.BATCH
+    assert b"".join(data.tobytes() for data, _, _ in own) == b"".join(texts[3:])
+    assert np.concatenate([sizes for _, sizes, _ in own]).tolist() == [len(t) for t in texts[3:]]
+    assert np.concatenate([weights for _, _, weights in own]).tolist() == list(range(3, len(texts)))
+
+
+def test_bins_are_not_drawn_into_one_task(spark, texts):
+    """Packed bins are few bytes and much work; Spark would read all of them in one task."""
+    df = spark.createDataFrame([(t,) for t in texts[:40]], "seq string")
+    own = superkmers.superkmer_counts(df, 21)
+    assert own.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
