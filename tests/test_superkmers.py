@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -108,6 +109,21 @@ def test_short_pieces_are_hashed_together():
     assert np.concatenate([weights for _, _, weights in own]).tolist() == list(range(3, len(texts)))
 
 
+def test_a_bin_of_single_kmers_takes_little_memory():
+    """A bin whose stretches are single k-mers is unpacked in parts: a hash of each of its bases would take 256 bytes a k-mer."""
+    many, rnd = 1 << 17, np.random.default_rng(3)
+    data = rnd.integers(0, 256, 8 * many, np.uint8)
+    rows = pa.table({"n": [np.ones(many, np.uint16).tobytes()], "weights": pa.array([b""], pa.binary()), "bases": [data.tobytes()], "split": [False]})
+    tracemalloc.start()
+    kmers, n = superkmers.counts_of(rows, 31, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 * many
+    codes = np.stack([data >> 6, data >> 4 & 3, data >> 2 & 3, data & 3], axis=1).reshape(-1, 32)[:, :31].astype(np.int64)
+    want = Counter((codes * 4 ** np.arange(30, -1, -1)).sum(axis=1).tolist())
+    assert dict(zip(kmers.tolist(), n.tolist(), strict=True)) == want
+
+
 def test_bins_are_not_drawn_into_one_task(spark, texts):
     """Packed bins are few bytes and much work; Spark would read all of them in one task."""
     df = spark.createDataFrame([(t,) for t in texts[:40]], "seq string")
