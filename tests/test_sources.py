@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.operators.graph import add_empty_nodes, compress, describe_node, get_node, node_base, required_empty_node_count, root_node
 from kmerloom.sources import fasta, gfa, merge, store, vcf
@@ -215,3 +216,12 @@ def test_depth_difference_of_drawn_graphs(spark, seed):
         depths += [depth] * (40 in layer)
         layer, depth = {w for v in layer for w in edges[v]}, depth + 1
     assert required_empty_node_count(from_lists(spark, ["A"] * 64, edges)) == max(depths) - min(depths) > 0
+
+
+def test_variant_lines_are_made_and_split_once(spark):
+    """What a line is made by stands in the plan for the filter on lines, its split and the filter that Spark adds to that; not
+    for each column, and each prefix of an allele, that is read from it."""
+    made = F.concat_ws("\t", F.lit("1"), (F.col("id") + 5).cast("string"), F.substring(F.md5(F.col("id").cast("string")), 1, 3), F.lit("AC"), F.lit("AG,A"))
+    plan = vcf.from_vcf_lines(spark.range(4).select(made.alias("value"), F.col("id").alias("line_no")))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 4
+    assert [tuple(r) for r in plan.orderBy("row_id").limit(1).collect()] == [(0, 1, 5, "C", ["G", ""])]
