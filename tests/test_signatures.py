@@ -2,11 +2,14 @@ import math
 from collections import Counter
 
 import brute
+from pyspark.sql import functions as F
 from test_find import T, U
 
 from kmerloom.api import KmerFinder, get_variant_signatures
 from kmerloom.functions.kmers import hash_text
-from kmerloom.operators.signatures import kmer_windows, window_pairs
+from kmerloom.operators.occurrences import kmers_over, paths_over, walk
+from kmerloom.operators.signatures import _back_paths, kmer_windows, window_pairs
+from kmerloom.operators.superkmers import few_counts
 from kmerloom.sources.literals import from_lists
 
 # Frequencies and the signatures that follow from them.
@@ -118,3 +121,44 @@ def test_wrapper_reverses_keys_and_results(spark):
     ref = {x[::-1] for path, _, x in brute.occurrences(["ACTG", "A", "G", "CCCC"], [[1, 2], [3], [3], []], [0, 1, 3], 3, 4) if 1 in path}
     assert set(got.reference_kmers) <= {hash_text(x) for x in ref} and got.reference_kmers
     assert got.max_frequency == max(given[x] for x in got.reference_kmers) + max(given[x] for x in got.variant_kmers)
+
+
+def test_kmers_are_listed_for_paths(spark):
+    """k-mers over long and short nodes, in both orders of their bases, against brute force; back keys as arrays and as numbers."""
+    seqs, edges, ref = ["ACGTTGCA" * 9 + "G", "TTA", "", "CCGATAGT" * 5], [[1, 2], [3], [3], []], [0, 1, 3]
+    graph = from_lists(spark, seqs, edges, ref=ref)
+    centres = spark.createDataFrame([(0,), (2,), (3,)], "centre long")
+    for k in (4, 31):
+        paths = paths_over(walk(graph, k, 4), centres)
+        assert all(len(r.seq) >= k for r in paths.collect())
+        for reverse in (False, True):
+            got = Counter((r.centre, r.start_position, r.kmer_position, r.p, r.kmer) for r in kmers_over(paths, k, reverse=reverse).collect())
+            want = Counter()
+            for path, p, x in brute.occurrences(seqs, edges, ref, k, 4):
+                off = 0
+                for i, n in enumerate(path):
+                    if n in (0, 2, 3):
+                        want[(n, p if i == 0 else 0, 0 if i == 0 else off - p, p, hash_text(x[::-1] if reverse else x))] += 1
+                    off += len(seqs[n])
+            assert got == want
+
+
+def test_back_keys_as_numbers_and_as_arrays(spark):
+    graph = from_lists(spark, T[0], T[1], ref=T[2])
+    centres = graph.nodes.select(F.col("node_id").alias("centre"))
+    starts = paths_over(walk(graph, 5, 4), centres).select("centre", "start_node").distinct()
+    packed, whole = (_back_paths(graph, 5, starts, True, 100, p).orderBy("centre", "back_key").select("centre", "start_node").collect() for p in (True, False))
+    assert packed == whole and len(whole) > 10
+
+
+def test_short_kmers_are_added_up_in_tasks(spark):
+    rows = spark.createDataFrame([("ACGTNACG", 2), ("ACXACGT", 3), ("AC", 5), (None, 1), ("ACGT" * 9000, 1)], "seq string, w long").coalesce(1)
+    want = Counter()
+    for r in rows.collect():
+        s = (r.seq or "").replace("N", "A")
+        for x in (s[i : i + 3] for i in range(len(s) - 2)):
+            if "X" not in x:
+                want[hash_text(x)] += r.w
+    counted = few_counts(rows, 3, weight="w")
+    assert dict(map(tuple, counted.collect())) == want
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]  # bases aren't moved
