@@ -225,3 +225,12 @@ def test_variant_lines_are_made_and_split_once(spark):
     plan = vcf.from_vcf_lines(spark.range(4).select(made.alias("value"), F.col("id").alias("line_no")))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 4
     assert [tuple(r) for r in plan.orderBy("row_id").limit(1).collect()] == [(0, 1, 5, "C", ["G", ""])]
+
+
+def test_chains_are_not_broadcast(spark):
+    from kmerloom.operators.graph import chain_map, compress
+    from kmerloom.sources.literals import from_lists
+
+    graph = from_lists(spark, ["A", "C", "G", "T"], [[1], [2], [3], []], ref=[0, 1, 2, 3])
+    assert {(r.head, r.place) for r in chain_map(graph).collect()} == {(0, 0), (0, 1), (0, 2), (0, 3)}
+    assert "BroadcastHashJoin" not in compress(graph).edges._jdf.queryExecution().executedPlan().toString()
