@@ -6,9 +6,11 @@ a few numpy passes over many documents at once instead of a loop over words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +142,32 @@ def small_batches(batches, rows: int = 1000):
             yield batch.slice(a, rows)
 
 
+#: Cached functions whose results a Python worker need not keep for tasks that do not call them.
+CACHES: list = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Empty CACHES and return free memory to the system, which allocators keep for a worker's life otherwise."""
+    for own in CACHES:
+        own.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(run):
+    """run, a function for mapInArrow, in a worker that gives back what earlier tasks left, and what this one leaves."""
+
+    @wraps(run)
+    def own(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
 def packed(arrays, kind) -> pa.Array:
     return pa.array([np.ascontiguousarray(a).tobytes() for a in arrays], kind)
 

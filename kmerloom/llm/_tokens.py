@@ -6,6 +6,8 @@ import json
 from array import array
 from functools import lru_cache
 
+from kmerloom.llm import _common as C
+
 #: Words the cache of one Python worker may hold (later ones are encoded each time), and the longest word it keeps. A word
 #: enters when it comes a second time, judged by one of so many marks.
 CACHE_WORDS, CACHE_CHARS, CACHE_MARKS = 300_000, 64, 1 << 22
@@ -99,3 +101,6 @@ class Encoder(dict):
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+C.CACHES.append(encoder)

@@ -140,4 +140,4 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID,
 
     encoded = C.materialize(docs.select(id_col, text_col).mapInArrow(tokens, f"`{id_col}` {kind}, ids binary, key long"), "tokens")
     laid = encoded.repartitionByRange(C.shuffle_partitions(spark), "key", id_col).sortWithinPartitions("key", id_col, "ids")
-    return laid.select(id_col, "ids").mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long")
+    return laid.select(id_col, "ids").mapInArrow(C.lean(cut), f"`{id_col}` {kind}, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long")

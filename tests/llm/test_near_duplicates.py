@@ -8,6 +8,7 @@ from conftest_llm import frame
 from test_dedup import components
 from test_pipeline import folder, shingles, similar  # noqa: F401
 
+from kmerloom.llm import _tokens as T
 from kmerloom.llm import near_duplicates as N
 from kmerloom.llm import simhash as S
 
@@ -70,3 +71,25 @@ def test_benchmark_stage_with_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, passage), (None, "clean one"), (1, passage), (1, "clean two"), (1, "clean two"), (2, None), (None, None)]
     kept = corpus_pipeline.benchmark_stage(spark, frame(spark, rows), str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(((i, t) for i, t in rows if t != passage), key=repr)
+
+
+def resident_mb():
+    with open("/proc/self/status") as lines:
+        return int(next(x for x in lines if x.startswith("VmRSS")).split()[1]) / 1024
+
+
+def test_tasks_give_back_what_earlier_ones_left(monkeypatch):
+    class Table:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(N, "_dealt", lambda met: met)
+    run = N.shared(Table())
+    T.encoder(T.default_path())
+    held = [bytearray(2000) for _ in range(50_000)]
+    pin = bytearray(2000)  # free memory below it stays with the process
+    del held
+    before = resident_mb()
+    assert list(run(iter([]))) == [] and len(pin) == 2000
+    assert T.encoder.cache_info().currsize == 0
+    assert resident_mb() < before - 80
