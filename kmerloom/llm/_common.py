@@ -9,7 +9,6 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -17,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from kmerloom.plans.lineage import discard, scratch, without_shuffle_files, written  # noqa: F401
+
 #: Bytes of text that one numpy pass takes; a longer document is one pass of its own. A worker keeps some 60 bytes for each.
 CHUNK_BYTES = 1 << 18
 #: Order of null ids: before all others.
@@ -60,34 +61,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-_SCRATCH: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Tables that materialize() writes within go at the end, but for those it is told to keep."""
-    _SCRATCH.append([])
-    try:
-        yield
-    finally:
-        for path in _SCRATCH.pop():
-            discard(spark, path)
-
-
 def materialize(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and no executor holds the only copy."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a finished intermediate table from the shared folder."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return written(df, new_path(df.sparkSession, what), keep, "zstd")
 
 
 def majority(hashes: np.ndarray) -> np.uint64:

@@ -251,8 +251,8 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str
             rows = own.join(roots, "fp").select("row.id", "row.text_hash", "root")
         least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("m")).select("m.id", "m.text_hash")
         least = C.materialize(least, "kept", keep=True)
-    hidden, text_hash = C.free_name(docs, "text_hash"), F.xxhash64(text_col)
-    own = docs.withColumn(hidden, text_hash)
-    stay = least.select(F.col("id").alias(C.free_name(docs, "kept_id")), F.col("text_hash").alias(C.free_name(docs, "kept_hash")))
-    out = own.join(stay, own[id_col].eqNullSafe(stay[stay.columns[0]]) & (own[hidden] == stay[stay.columns[1]]), "left_semi")
-    return out.dropDuplicates([id_col, hidden]).select(docs.columns)
+    # one column as key, so that rows are dealt once for both steps; within it a null id equals another
+    hidden, row = C.free_name(docs, "row"), lambda i, t: F.struct(F.col(i).alias("id"), t.alias("text_hash"))
+    stay = least.select(row("id", F.col("text_hash")).alias(hidden))
+    own = docs.withColumn(hidden, row(id_col, F.xxhash64(text_col)).cast(stay.schema[hidden].dataType))
+    return own.join(stay, hidden, "left_semi").dropDuplicates([hidden]).select(docs.columns)

@@ -1,5 +1,8 @@
 """The pipeline's stages against brute force on a small corpus."""
 
+import time
+from pathlib import Path
+
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from test_texts import contamination, labelled
 from test_tokens import ids_of
 
 from kmerloom.llm import quality as Q
-from kmerloom.llm._common import materialize
+from kmerloom.llm._common import materialize, shared_dir
 
 
 def shingles(text):
@@ -86,3 +89,22 @@ def test_registered_queries_are_complete():
 
 def test_frame_helper(spark):
     assert frame(spark, []).count() == 0
+
+
+def test_run_leaves_what_its_last_stage_reads(spark, folder):
+    """No stage's documents or tables stay once the next one's are written."""
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    tables = set(shared.iterdir())
+    out = corpus_pipeline.run(spark, folder)
+    assert {x.name.split("-")[0] for x in set(shared.iterdir()) - tables} == {"benchmark", "tokens"} and out.count()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in local for f in Path(str(d)).rglob("shuffle_*.data")}
+    before = files()
+    materialize(spark.range(1000).repartition(2, "id"), "dealt")
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:  # Spark deletes them in the background
+        time.sleep(0.2)
+    assert not left
