@@ -49,6 +49,14 @@ def test_components_are_those_of_similar_sets(spark, copies, monkeypatch, freque
     assert S.drop_near_duplicates(frame(spark, []), shingle=5, similar=(4, 5)).count() == 0
 
 
+@pytest.mark.parametrize("sample", [1, 40])
+def test_no_pair_depends_on_the_sample(spark, copies, monkeypatch, sample):
+    """The sample orders shingles; all sets meet in that order, whatever it is."""
+    monkeypatch.setattr(N, "SAMPLE", sample)
+    kept = S.drop_near_duplicates(frame(spark, copies), shingle=5, similar=(4, 5)).collect()
+    assert {r.doc_id for r in kept} == survivors(copies)
+
+
 def test_stage_catches_one_changed_word(spark, tmp_path):
     rnd = random.Random(5)
     rows = []
