@@ -1,15 +1,18 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 from test_find import T, U
 
 from kmerloom.api import KmerFinder, get_variant_signatures
 from kmerloom.functions.kmers import hash_text
 from kmerloom.operators.occurrences import kmers_over, paths_over, walk
-from kmerloom.operators.signatures import _back_paths, kmer_windows, window_pairs
+from kmerloom.operators.signatures import _back_paths, aligned_signatures, kmer_windows, unaligned_signatures, window_pairs
 from kmerloom.operators.superkmers import few_counts
+from kmerloom.plans.lineage import shared_dir
 from kmerloom.sources.literals import from_lists
 
 # Frequencies and the signatures that follow from them.
@@ -162,3 +165,17 @@ def test_short_kmers_are_added_up_in_tasks(spark):
     counted = few_counts(rows, 3, weight="w")
     assert dict(map(tuple, counted.collect())) == want
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]  # bases aren't moved
+
+
+@pytest.mark.parametrize("align", [True, False])
+def test_signatures_leave_their_result_only(spark, align):
+    """A pair's windows are dealt once, and what is written on the way goes with the search."""
+    graph, pairs, _, windows = _windows(spark)
+    scored = aligned_signatures(window_pairs(graph, 5, windows), True) if align else unaligned_signatures(windows, True)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan.splitlines() if "Exchange hashpartitioning(pair_id" in x]
+    assert len(wide) <= (3 if align else 1)  # aligned: the nodes of a pair and their lengths are narrow tables
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    tables = set(shared.iterdir())
+    out = KmerFinder(graph, 5).find_variant_signatures(pairs, minimize_overlaps=True, align_windows=align)
+    assert {x.name.split("-")[0] for x in set(shared.iterdir()) - tables} == {"best"} and out.count() == 2
